@@ -723,6 +723,15 @@ def season_run(spark, sf):
     )
 
 
+@query
+def weekly_run(spark, sf):
+    """History to balanced plan: the whole older run, 30 days ahead."""
+    days = season.weekly_days(
+        inputs.history(spark, sf), POLICY.with_(horizon_days=30), LAST_TRAIN_DAY, inputs.stock(spark, sf)
+    )
+    return weekly.balance_plan(days)
+
+
 @query
 def entry_slice(spark, sf):
     """Daily totals, gap filling, lags, a flat forecast, needs and totals in one plan."""
