@@ -45,4 +45,4 @@ def iso_week(day: Column) -> Column:
 
 
 def date_text(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("string")

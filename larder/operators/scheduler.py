@@ -47,19 +47,45 @@ def demand_statistics(plan: DataFrame, policy: Policy) -> DataFrame:
     special_std          the same deviation with today included
     lead_demand          today and the rest of the lead time
     future_<days>        the `days` rows after today, for each distinct expiry window
+
+    Means and deviations come from running totals and their value 29 rows back, so a row
+    costs the same whatever the window's length. The totals are of whole numbers around
+    the series' rounded mean: exact sums, and no cancellation of large squares.
     """
-    qty = F.col("qty_total").cast("double")
-    before, with_today = by_day().rowsBetween(-28, -1), by_day().rowsBetween(-28, 0)
-    first_proxy = F.first("_proxy").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
+    qty, today = F.col("qty_total").cast("double"), by_day()
+    shifted = plan.withColumn("_mean", F.avg(qty).over(whole_series())).withColumn("_c", qty - F.rint("_mean"))
+    so_far = today.rowsBetween(Window.unboundedPreceding, 0)
+    totals = shifted.withColumns({
+        "_n": F.row_number().over(today),
+        "_s": F.sum("_c").over(so_far),
+        "_q": F.sum(F.col("_c") * F.col("_c")).over(so_far),
+    })
+
+    def back(column: str, rows: int) -> Column:
+        return F.lag(column, rows, 0.0).over(today) if rows else F.col(column)
+
     columns = {
-        "buy_mean": F.coalesce(F.avg(qty).over(before), F.avg(qty).over(whole_series())),
-        "buy_std": F.coalesce(F.stddev_samp(qty).over(before), first_proxy),
-        "special_std": F.coalesce(F.stddev_samp(qty).over(with_today), first_proxy),
+        "_s1": back("_s", 1) - back("_s", 29), "_q1": back("_q", 1) - back("_q", 29),
+        "_s0": F.col("_s") - back("_s", 29), "_q0": F.col("_q") - back("_q", 29),
+        # a deviation is undefined on the first row and, without today, on the second
+        "_first": F.coalesce(F.lag(qty, 1).over(today), qty),
         "lead_demand": summed(F.col("qty_total"), 0, policy.lead_time_days - 1),
     }
-    for days in sorted({policy.expiry_days(i) for i in policy.ingredients}):
-        columns[f"future_{days}"] = summed(F.col("qty_total"), 1, days)
-    return plan.withColumn("_proxy", std_proxy(qty)).withColumns(columns).drop("_proxy")
+    futures = sorted({policy.expiry_days(i) for i in policy.ingredients})
+    columns |= {f"future_{days}": summed(F.col("qty_total"), 1, days) for days in futures}
+    before, with_today = F.least(F.col("_n") - 1, F.lit(28)), F.least(F.col("_n"), F.lit(29))
+    first_proxy = F.col("_first") * 0.25
+
+    def deviation(n: Column, s: str, q: str) -> Column:
+        spread = (n * F.col(q) - F.col(s) * F.col(s)) / (n * (n - 1))
+        return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(first_proxy)
+
+    mean = (F.rint("_mean") * before + F.col("_s1")) / before
+    return totals.withColumns(columns).withColumns({
+        "buy_mean": F.when(before > 0, mean).otherwise(F.col("_mean")),
+        "buy_std": deviation(before, "_s1", "_q1"),
+        "special_std": deviation(with_today, "_s0", "_q0"),
+    }).select(*plan.columns, "buy_mean", "buy_std", "special_std", "lead_demand", *[f"future_{d}" for d in futures])
 
 
 def reorder_levels(policy: Policy, per_item: Column) -> tuple[Column, Column, Column]:
@@ -168,62 +194,65 @@ def scheduled_plan(days: DataFrame) -> DataFrame:
 
 def schedule_advisories(days: DataFrame, policy: Policy) -> DataFrame:
     """BUY and SPECIAL rows in the advisory layout."""
-    date = F.col("date")
+    nothing = F.lit(None).cast("bigint")
+    decisions = F.array(*[
+        F.struct(
+            F.lit(ingredient).alias("ingredient"),
+            F.lit(float(per)).alias("per_item"),
+            F.lit(", ".join(seeded_ideas(ingredient, policy))).alias("ideas"),
+            F.col("held")[k].alias("held"),
+            (F.col("orders")[k] if kind == "BUY" else nothing).alias("qty"),
+            (nothing if kind == "BUY" else F.col("extras")[k]).alias("special_qty"),
+        )
+        for k, (ingredient, per) in enumerate(policy.recipe.items())
+        for kind in ("BUY", "SPECIAL")
+    ])
+    given = [p for p in PREDICTIONS if p in days.columns]
+    rows = days.select(
+        "series", "date", "buy_mean", "buy_std", "lead_demand", *given, F.inline(decisions)
+    ).where((F.col("qty") > 0) | (F.col("special_qty") > 0))
+
+    date, ingredient, buys = F.col("date"), F.col("ingredient"), F.col("qty") > 0
+    _, rop, target = reorder_levels(policy, F.col("per_item"))
+    buy = messages.buy_message(date, F.col("qty"), ingredient, F.col("held"), whole(rop), whole(target))
+    special = messages.special_message(date, F.col("special_qty"), ingredient)
     summary = F.lit(None).cast("string")
-    if all(p in days.columns for p in PREDICTIONS):
+    if len(given) == len(PREDICTIONS):
         summary = messages.prediction_summary(*[F.col(p) for p in PREDICTIONS])
-    found = []
-    for k, ingredient in enumerate(policy.ingredients):
-        name, order, added = F.lit(ingredient), F.col("orders")[k], F.col("extras")[k]
-        _, rop, target = reorder_levels(policy, F.lit(float(policy.recipe[ingredient])))
-        buy_text = messages.buy_message(date, order, name, F.col("held")[k], whole(rop), whole(target))
-        found.append(F.when(order > 0, F.struct(
-            messages.advisory_type("BUY", name).alias("type"),
-            name.alias("ingredient"),
-            order.alias("qty"),
-            F.lit(None).cast("bigint").alias("special_qty"),
-            messages.with_summary(buy_text, summary).alias("message"),
-            F.lit(None).cast("string").alias("suggestions"),
-            F.lit("below_ROP").alias("reason"),
-        )))
-        special_text = messages.special_message(date, added, name)
-        found.append(F.when(added > 0, F.struct(
-            messages.advisory_type("SPECIAL", name).alias("type"),
-            name.alias("ingredient"),
-            F.lit(None).cast("bigint").alias("qty"),
-            added.alias("special_qty"),
-            messages.with_summary(special_text, summary).alias("message"),
-            F.lit(", ".join(seeded_ideas(ingredient, policy))).alias("suggestions"),
-            F.lit("surplus_burn").alias("reason"),
-        )))
-    given = [p for p in PREDICTIONS if p in days.columns]
-    busy = days.where(F.exists("orders", lambda x: x > 0) | F.exists("extras", lambda x: x > 0))
-    rows = busy.select(
-        "series", "date", *given, summary.alias("pred_summary"),
-        F.inline(F.array_compact(F.array(*found))),
-    )
-    return advisory_table(rows)
-
+    worded = rows.withColumns({
+        "pred_summary": summary,
+        "type": messages.advisory_type(F.when(buys, "BUY").otherwise("SPECIAL"), ingredient),
+        "text": F.when(buys, buy).otherwise(special),
+        "suggestions": F.when(~F.coalesce(buys, F.lit(False)), F.col("ideas")),
+        "reason": F.when(buys, "below_ROP").otherwise("surplus_burn"),
+    })
+    return advisory_table(worded.withColumn(
+        "message", messages.with_summary(F.col("text"), F.col("pred_summary"))
+    ))
 
-def surplus_by_day(stock: DataFrame, plan: DataFrame, policy: Policy) -> DataFrame:
-    """Rank each day's ingredients by surplus over future need and safety, largest first.
 
-    `stock` is (series, date, ingredient, stock); ties keep recipe order.
-    """
+def surplus_lines(plan: DataFrame, policy: Policy) -> DataFrame:
+    """Each planned day's ingredients with their need, future need and safety stock."""
     numbers = demand_statistics(plan, policy)
     lines = F.array(*[
         F.struct(
             F.lit(pos).alias("pos"),
             F.lit(i).alias("ingredient"),
+            (F.col("qty_total") * F.lit(float(per))).alias("need"),
             whole(F.col(f"future_{policy.expiry_days(i)}") * F.lit(float(per))).alias("future_need"),
             safety_stock(F.col("special_std") * F.lit(float(per)), policy.lead_time_days, policy.z).alias("safety"),
         )
         for pos, (i, per) in enumerate(policy.recipe.items())
     ])
-    wanted = numbers.select("series", "date", F.inline(lines))
-    joined = stock.join(wanted, ["series", "date", "ingredient"])
+    return numbers.select("series", "date", F.inline(lines))
+
+
+def rank_surplus(lines: DataFrame) -> DataFrame:
+    """Add `surplus` over future need and safety, and its `rank` within the day.
+
+    Largest first, ties in recipe order. `lines` has a `stock` column; rows that are
+    already partitioned by series stay where they are.
+    """
     surplus = F.col("stock") - F.col("future_need") - F.col("safety")
     order = Window.partitionBy("series", "date").orderBy(F.desc("surplus"), "pos")
-    return joined.withColumn("surplus", surplus).withColumn("rank", F.row_number().over(order)).select(
-        "series", "date", "ingredient", "stock", "future_need", "safety", "surplus", "rank"
-    )
+    return lines.withColumn("surplus", surplus).withColumn("rank", F.row_number().over(order))

@@ -6,11 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions import messages
 from larder.functions.calendar import iso_week, iso_year, weekday
-from larder.operators.advisories import advisory_table
+from larder.operators.advisories import advisory_table, weekly_texts
 from larder.operators.grid import LONGS, fold, lists, matrix, nest, unnest
-from larder.operators.menu import idea_text
 from larder.operators.stock import start_stock_columns
 from larder.tables import Policy
 
@@ -136,24 +134,15 @@ def balance_plan(days: DataFrame) -> DataFrame:
 def balance_advisories(days: DataFrame, policy: Policy) -> DataFrame:
     """BUY rows on a week's first day, one SPECIAL row on the last day of a surplus week."""
     date = F.col("date")
-    found = []
-    for k, ingredient in enumerate(policy.ingredients):
-        bought = (date == F.col("week_start")) & (F.col("buy")[k] == 1)
-        named = (date == F.col("week_end")) & (F.col("pick") == k + 1)
-        name = F.lit(ingredient)
-        ideas = idea_text(name, policy)
-        for test, kind, message in (
-            (bought, "BUY", messages.week_buy_message(date, name)),
-            (named, "SPECIAL", messages.week_special_message(date, name, ideas)),
-        ):
-            found.append(F.when(test, F.struct(
-                name.alias("ingredient"),
-                messages.advisory_type(kind, name).alias("type"),
-                message.alias("message"),
-            )))
-    rows = days.select(
+    starts, ends = date == F.col("week_start"), date == F.col("week_end")
+    advice = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(ingredient).alias("ingredient"), due.alias("due"))
+        for k, ingredient in enumerate(policy.ingredients)
+        for kind, due in (("BUY", starts & (F.col("buy")[k] == 1)), ("SPECIAL", ends & (F.col("pick") == k + 1)))
+    ])
+    found = days.where(starts | ends).select(
         "series", "date", iso_week(date).alias("week"),
         F.col("week_start").alias("window_start"), F.col("week_end").alias("window_end"),
-        F.inline(F.array_compact(F.array(*found))),
-    )
-    return advisory_table(rows)
+        F.inline(advice),
+    ).where("due")
+    return advisory_table(weekly_texts(found, policy))

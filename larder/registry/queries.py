@@ -382,22 +382,17 @@ def future_need(spark, sf):
 OPENING = 5000.0
 
 
-def _running_stock(spark, sf) -> DataFrame:
-    need = forecast.recipe_need(inputs.plan(spark, sf), POLICY)
-    return stock.clamped_running_stock(need.withColumn("opening", F.lit(OPENING)), "opening")
-
-
 @query
 def clamped_running_stock(spark, sf):
-    return _running_stock(spark, sf).select("series", "date", "ingredient", "need", "stock")
+    need = forecast.recipe_need(inputs.plan(spark, sf), POLICY).withColumn("opening", F.lit(OPENING))
+    rows = stock.clamped_running_stock(need, "opening")
+    return rows.select("series", "date", "ingredient", "need", "stock")
 
 
 @query
 def surplus_rank(spark, sf):
-    ranked = scheduler.surplus_by_day(
-        _running_stock(spark, sf).select("series", "date", "ingredient", "stock"),
-        inputs.bare_plan(spark, sf), POLICY,
-    )
+    lines = scheduler.surplus_lines(inputs.bare_plan(spark, sf), POLICY).withColumn("opening", F.lit(OPENING))
+    ranked = scheduler.rank_surplus(stock.clamped_running_stock(lines, "opening"))
     return ranked.select(
         "series", "date", "ingredient", "stock", "future_need", r6("safety"), r6("surplus"), "rank"
     )
