@@ -56,9 +56,8 @@ def holdout_metrics(history: DataFrame, last_train_day: str) -> DataFrame:
     """(series, alpha, rows, mae, mape): tune and fit on train, score on the later rows."""
     train, test = split_features(history, last_train_day)
     model = fit_best_alpha(training_rows(train))
-    scored = with_prediction(test, model)
+    scored = with_prediction(test, model, "alpha")
     y, p = F.col("qty_sold"), F.col("pred")
-    errors = scored.groupBy("series").agg(
-        F.count("*").alias("rows"), mae(y, p).alias("mae"), mape(y, p).alias("mape")
+    return scored.groupBy("series").agg(
+        F.first("alpha").alias("alpha"), F.count("*").alias("rows"), mae(y, p).alias("mae"), mape(y, p).alias("mape")
     )
-    return errors.join(model.select("series", "alpha"), "series").select("series", "alpha", "rows", "mae", "mape")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.calendar import calendar_features
@@ -14,22 +14,32 @@ def with_calendar(rows: DataFrame) -> DataFrame:
     return rows.withColumns(calendar_features(F.col("date")))
 
 
-def past_mean(days: int, full_only: bool) -> Column:
-    """Mean of the `days` rows before this one; null until all exist when `full_only`."""
-    past = by_day().rowsBetween(-days, -1)
-    mean = F.avg("qty_sold").over(past)
-    if full_only:
-        return F.when(F.count("qty_sold").over(past) == days, mean)
-    return mean
+def with_past_means(history: DataFrame, days: dict[str, int], full_only: bool = False) -> DataFrame:
+    """Add means of the rows before this one, named by `days`; null until full if `full_only`.
+
+    A mean is the difference of two running totals, so a row costs the same whatever the
+    window's length. Whole quantities give the same value as summing the window.
+    """
+    past = by_day().rowsBetween(Window.unboundedPreceding, -1)
+    totals = history.withColumns({
+        "_sum": F.coalesce(F.sum("qty_sold").over(past), F.lit(0.0)),
+        "_count": F.count("qty_sold").over(past),
+    })
+
+    def mean(n: int) -> Column:
+        total = F.col("_sum") - F.lag("_sum", n, 0.0).over(by_day())
+        count = F.col("_count") - F.lag("_count", n, 0).over(by_day())
+        return F.when(count == n if full_only else count > 0, total / count)
+
+    return totals.withColumns({name: mean(n) for name, n in days.items()}).drop("_sum", "_count")
 
 
 def with_past_demand(history: DataFrame, full_only: bool = False) -> DataFrame:
-    return history.withColumns({
+    lagged = history.withColumns({
         "lag_1": F.lag("qty_sold", 1).over(by_day()),
         "lag_7": F.lag("qty_sold", 7).over(by_day()),
-        "roll7": past_mean(7, full_only),
-        "roll28": past_mean(28, full_only),
     })
+    return with_past_means(lagged, {"roll7": 7, "roll28": 28}, full_only)
 
 
 def with_features(history: DataFrame, full_only: bool = False) -> DataFrame:

@@ -145,25 +145,32 @@ def predicted(coef: str = "coef", intercept: str = "intercept") -> Column:
     return total
 
 
-def with_prediction(features: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows of modelled series with `pred`.
+def with_prediction(features: DataFrame, model: DataFrame, *keep: str) -> DataFrame:
+    """Rows of modelled series with `pred`, and with the model columns named in `keep`.
 
     The join is left to the optimiser: the model has one short row per series, the
     features are already partitioned by series.
     """
-    joined = features.join(model.select("series", "intercept", "coef"), "series")
-    return joined.select(*features.columns, predicted().alias("pred"))
+    wanted = dict.fromkeys(["series", "intercept", "coef", *keep])
+    joined = features.join(model.select(*wanted), "series")
+    return joined.select(*features.columns, *keep, predicted().alias("pred"))
 
 
-def with_residual(features: DataFrame, model: DataFrame) -> DataFrame:
-    return with_prediction(features, model).withColumn("resid", F.col("qty_sold") - F.col("pred"))
+def with_residual(features: DataFrame, model: DataFrame, *keep: str) -> DataFrame:
+    scored = with_prediction(features, model, *keep)
+    return scored.withColumn("resid", F.col("qty_sold") - F.col("pred"))
 
 
-def residual_quantiles(residuals: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """(series, q_lo, q_hi): offsets that turn a prediction into a central interval."""
+def residual_quantiles(residuals: DataFrame, alpha: float = 0.05, *keep: str) -> DataFrame:
+    """(series, q_lo, q_hi): offsets that turn a prediction into a central interval.
+
+    Columns named in `keep` are constant within a series and carried along.
+    """
     bounds = F.percentile("resid", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    quantiles = residuals.groupBy("series").agg(bounds.alias("q"))
-    return quantiles.select("series", F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
+    quantiles = residuals.groupBy("series").agg(bounds.alias("q"), *[F.first(k).alias(k) for k in keep])
+    return quantiles.select(
+        "series", *keep, F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi")
+    )
 
 
 def bootstrap_quantiles(
@@ -204,10 +211,15 @@ def bootstrap_quantiles(
 def fit_with_interval(
     training: DataFrame, alpha: float = 1.0, interval_alpha: float = 0.05, bootstrap: bool = False
 ) -> DataFrame:
-    """Per-series model with the residual offsets q_lo and q_hi."""
+    """Per-series model with the residual offsets q_lo and q_hi.
+
+    The model's columns ride along with the residuals, so the fit is planned once.
+    """
     model = fit_by_series(training, alpha)
-    quantiles = bootstrap_quantiles if bootstrap else residual_quantiles
-    return model.join(quantiles(with_residual(training, model), interval_alpha), "series")
+    if bootstrap:
+        return model.join(bootstrap_quantiles(with_residual(training, model), interval_alpha), "series")
+    residuals = with_residual(training, model, *MODEL_COLUMNS)
+    return residual_quantiles(residuals, interval_alpha, *MODEL_COLUMNS)
 
 
 # --- choosing alpha by expanding-window validation -------------------------------------
@@ -282,10 +294,14 @@ def fit_alpha_grid(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS
     return gathered.mapInArrow(run, schema)
 
 
-def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
-    """(series, alpha, mean_mae): mean over folds of the mean absolute error."""
-    tested = with_validation_block(training, folds).where(F.col("block") >= 1)
-    scored = tested.join(grid.select("series", "fold_models"), "series")
+def _validated(training: DataFrame, grid: DataFrame, alphas, folds: int, *keep: str) -> DataFrame:
+    """(series, mae_0.., *keep): mean over folds of each alpha's mean absolute error.
+
+    Rows outside the test blocks have no fold model and so no error; a series without
+    any test block keeps its row, with null errors.
+    """
+    blocks = with_validation_block(training, folds)
+    scored = blocks.join(grid.select("series", "fold_models", *keep), "series")
     first = (F.col("block") - 1) * (len(alphas) * (P + 1))
 
     def error(a: int) -> Column:
@@ -297,17 +313,20 @@ def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, f
             total = total + weight(i + 1) * F.col(name)
         return F.abs(F.col("qty_sold") - total)
 
-    per_fold = scored.groupBy("series", "block").agg(
-        *[F.avg(error(a)).alias(f"mae_{a}") for a in range(len(alphas))]
-    )
-    per_alpha = per_fold.groupBy("series").agg(
-        *[F.avg(f"mae_{a}").alias(f"mae_{a}") for a in range(len(alphas))]
-    )
+    names = [f"mae_{a}" for a in range(len(alphas))]
+    carried = [F.first(k).alias(k) for k in keep]
+    per_fold = scored.groupBy("series", "block").agg(*[F.avg(error(a)).alias(n) for a, n in enumerate(names)], *carried)
+    return per_fold.groupBy("series").agg(*[F.avg(n).alias(n) for n in names], *carried)
+
+
+def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
+    """(series, alpha, mean_mae) of the series long enough to validate."""
     choices = F.array(*[
-        F.struct(F.lit(a).alias("at"), F.lit(float(alpha)).alias("alpha"), F.col(f"mae_{a}").alias("mean_mae"))
+        F.struct(F.lit(float(alpha)).alias("alpha"), F.col(f"mae_{a}").alias("mean_mae"))
         for a, alpha in enumerate(alphas)
     ])
-    return per_alpha.select("series", F.inline(choices)).select("series", "at", "alpha", "mean_mae")
+    scores = _validated(training, grid, alphas, folds).select("series", F.inline(choices))
+    return scores.where(F.col("mean_mae").isNotNull())
 
 
 def fit_best_alpha(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
@@ -316,11 +335,11 @@ def fit_best_alpha(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS
     Ties go to the earlier alpha; a series too short to validate keeps alpha 1.
     """
     grid = fit_alpha_grid(training, alphas, folds)
-    best = validation_scores(training, grid, alphas, folds).groupBy("series").agg(
-        F.min_by("at", F.struct("mean_mae", "at")).alias("at")
-    )
+    scored = _validated(training, grid, alphas, folds, "n_train", "final_models")
+    errors = F.array(*[F.col(f"mae_{a}") for a in range(len(alphas))])
     default = list(alphas).index(1.0) if 1.0 in alphas else 0
-    chosen = grid.join(best, "series", "left").withColumn("at", F.coalesce("at", F.lit(default)))
+    best = F.array_position(errors, F.array_min(errors)).cast("int") - 1
+    chosen = scored.withColumn("at", F.coalesce(best, F.lit(default)))
     model = F.slice("final_models", F.col("at") * (P + 1) + 1, F.lit(P + 1))
     return chosen.select(
         "series", "n_train",

@@ -22,8 +22,10 @@ def daily_totals(sales: DataFrame, series: str, day: str, qty: str) -> DataFrame
     The sum is partially aggregated before the exchange and the exchange is on
     (series, date), so a series holding a large share of the raw rows is spread over
     its days and shrinks to its calendar before anything is grouped by series alone.
+    Rows without a series belong to no history. Leaving them out here also gives every
+    later branch the same scan, so that one exchange serves them all.
     """
-    keyed = sales.select(
+    keyed = sales.where(F.col(series).isNotNull()).select(
         F.col(series).alias("series"),
         F.col(day).cast("date").alias("date"),
         F.col(qty).cast("double").alias("qty_sold"),
@@ -57,20 +59,20 @@ def horizon_end(last_day: Column, policy: Policy) -> Column:
     return F.least(end, F.make_date(F.lit(policy.forecast_year), F.lit(12), F.lit(31)))
 
 
-def history_ends(history: DataFrame, policy: Policy) -> DataFrame:
-    """(series, start, end): the days to forecast. A history past the cut has no row."""
-    last = history.groupBy("series").agg(F.max("date").alias("last_day"))
-    return last.select(
-        "series",
-        F.date_add("last_day", 1).alias("start"),
-        horizon_end(F.col("last_day"), policy).alias("end"),
-    ).where(F.col("start") <= F.col("end"))
+def forecast_window(last_day: Column, policy: Policy) -> dict[str, Column]:
+    return {"start": F.date_add(last_day, 1), "end": horizon_end(last_day, policy)}
 
 
 def forecast_days(history: DataFrame, policy: Policy) -> DataFrame:
     """(series, step, date) for every day to forecast; step counts from 0."""
-    return history_ends(history, policy).select(
-        "series", F.posexplode(F.sequence("start", "end")).alias("step", "date")
+    last = history.groupBy("series").agg(F.max("date").alias("last_day"))
+    return explode_window(last.withColumns(forecast_window(F.col("last_day"), policy)))
+
+
+def explode_window(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per day from `start` to `end`. A history past the cut has none."""
+    return rows.where(F.col("start") <= F.col("end")).select(
+        "series", *keep, F.posexplode(F.sequence("start", "end")).alias("step", "date")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.quantities import with_recipe
-from larder.operators.features import past_mean
+from larder.operators.features import with_past_means
 from larder.operators.spine import daily_totals, densify
 from larder.tables import Policy
 
@@ -33,9 +33,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history as a baseline plan; the last full week's mean plays the prediction."""
-    week = past_mean(7, full_only=True)
-    qty = F.col("qty_sold").cast("bigint")
-    return history(spark, sf_dir).select(
+    week, qty = F.col("week"), F.col("qty_sold").cast("bigint")
+    return with_past_means(history(spark, sf_dir), {"week": 7}, full_only=True).select(
         "series", "date", qty.alias("qty_sold"), qty.alias("qty_total"),
         F.lit(0).cast("bigint").alias("special_added"),
         week.alias("pred_mean"), (week * 0.8).alias("pred_lower"), (week * 1.2).alias("pred_upper"),
