@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.operators.spine import by_day, whole_series
+from larder.session import settle
 from larder.tables import ALPHA_GRID, CV_FOLDS, DEMAND_FEATURES, FEATURES
 
 P = len(FEATURES)
@@ -294,52 +295,38 @@ def fit_alpha_grid(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS
     return gathered.mapInArrow(run, schema)
 
 
-def _validated(training: DataFrame, grid: DataFrame, alphas, folds: int, *keep: str) -> DataFrame:
-    """(series, mae_0.., *keep): mean over folds of each alpha's mean absolute error.
+def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
+    """(series, at, alpha, mean_mae) of the series long enough to validate.
 
-    Rows outside the test blocks have no fold model and so no error; a series without
-    any test block keeps its row, with null errors.
+    A tested row is repeated once per alpha: the generated code stays short enough to be
+    compiled, and the partial aggregation takes the copies out before any exchange.
     """
-    blocks = with_validation_block(training, folds)
-    scored = blocks.join(grid.select("series", "fold_models", *keep), "series")
-    first = (F.col("block") - 1) * (len(alphas) * (P + 1))
-
-    def error(a: int) -> Column:
-        def weight(k: int) -> Column:
-            return F.get("fold_models", first + (a * (P + 1) + k))
-
-        total = weight(0)
-        for i, name in enumerate(FEATURES):
-            total = total + weight(i + 1) * F.col(name)
-        return F.abs(F.col("qty_sold") - total)
-
-    names = [f"mae_{a}" for a in range(len(alphas))]
-    carried = [F.first(k).alias(k) for k in keep]
-    per_fold = scored.groupBy("series", "block").agg(*[F.avg(error(a)).alias(n) for a, n in enumerate(names)], *carried)
-    return per_fold.groupBy("series").agg(*[F.avg(n).alias(n) for n in names], *carried)
-
-
-def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
-    """(series, alpha, mean_mae) of the series long enough to validate."""
-    choices = F.array(*[
-        F.struct(F.lit(float(alpha)).alias("alpha"), F.col(f"mae_{a}").alias("mean_mae"))
-        for a, alpha in enumerate(alphas)
-    ])
-    scores = _validated(training, grid, alphas, folds).select("series", F.inline(choices))
-    return scores.where(F.col("mean_mae").isNotNull())
+    tested = with_validation_block(training, folds).where(F.col("block") >= 1)
+    scored = tested.join(grid.select("series", "fold_models"), "series").select(
+        "series", "block", "qty_sold", *FEATURES, "fold_models",
+        F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("at", "alpha"),
+    )
+    first = ((F.col("block") - 1) * len(alphas) + F.col("at")) * (P + 1)
+    pred = F.get("fold_models", F.col("first"))
+    for i, name in enumerate(FEATURES):
+        pred = pred + F.get("fold_models", F.col("first") + (i + 1)) * F.col(name)
+    errors = scored.withColumn("first", first).withColumn("error", F.abs(F.col("qty_sold") - pred))
+    per_fold = errors.groupBy("series", "block", "at", "alpha").agg(F.avg("error").alias("mae"))
+    return per_fold.groupBy("series", "at", "alpha").agg(F.avg("mae").alias("mean_mae"))
 
 
 def fit_best_alpha(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
     """model(series, n_train, alpha, intercept, coef) with the alpha of lowest mean error.
 
-    Ties go to the earlier alpha; a series too short to validate keeps alpha 1.
+    Ties go to the earlier alpha; a series too short to validate keeps alpha 1. The grid
+    of fits is a short row per series that scoring and choosing both read: it is settled.
     """
-    grid = fit_alpha_grid(training, alphas, folds)
-    scored = _validated(training, grid, alphas, folds, "n_train", "final_models")
-    errors = F.array(*[F.col(f"mae_{a}") for a in range(len(alphas))])
+    grid = settle(fit_alpha_grid(training, alphas, folds), "grid")
+    best = validation_scores(training, grid, alphas, folds).groupBy("series").agg(
+        F.min_by("at", F.struct("mean_mae", "at")).alias("at")
+    )
     default = list(alphas).index(1.0) if 1.0 in alphas else 0
-    best = F.array_position(errors, F.array_min(errors)).cast("int") - 1
-    chosen = scored.withColumn("at", F.coalesce(best, F.lit(default)))
+    chosen = grid.join(best, "series", "left").withColumn("at", F.coalesce("at", F.lit(default)))
     model = F.slice("final_models", F.col("at") * (P + 1) + 1, F.lit(P + 1))
     return chosen.select(
         "series", "n_train",

@@ -17,7 +17,7 @@ from larder.operators.scheduler import schedule, schedule_advisories, scheduled_
 from larder.operators.stock import last_stock
 from larder.operators.weekly import balance_advisories, balance_plan, weekly_balance
 from larder.operators.exports import advisory_export, plan_export, with_window
-from larder.session import shared_folder
+from larder.session import settle
 from larder.sources.published import publish
 from larder.tables import Policy
 
@@ -31,13 +31,9 @@ def season_days(history: DataFrame, policy: Policy, bootstrap: bool = False) ->
 def run_season(history: DataFrame, policy: Policy, out: str, run_id: str) -> None:
     """Publish `<out>/plan` and `<out>/advisories`.
 
-    The scheduled days feed both tables, so they are written once to the shared folder
-    and read back; a lost executor costs the tasks it ran, not the whole lineage.
+    The scheduled days feed both tables, so they are settled in the shared folder first.
     """
-    spark = history.sparkSession
-    folder = shared_folder(spark, "season")
-    season_days(history, policy).write.parquet(folder)
-    days = spark.read.parquet(folder)
+    days = settle(season_days(history, policy), "season")
     plan = with_need_columns(scheduled_plan(days), policy)
     publish(plan_export(plan), f"{out}/plan", run_id)
     publish(advisory_export(schedule_advisories(days, policy)), f"{out}/advisories", run_id)
@@ -75,10 +71,8 @@ def run_weekly(
     history: DataFrame, policy: Policy, last_train_day: str, out: str, run_id: str, stock: DataFrame | None = None
 ) -> None:
     """Publish plan and advisories of the older run, in folders named by the window."""
-    spark = history.sparkSession
-    folder = shared_folder(spark, "weekly")
-    weekly_days(history, policy, last_train_day, stock).write.parquet(folder)
-    plan, signals, advisories = weekly_tables(spark.read.parquet(folder), policy, stock)
+    days = settle(weekly_days(history, policy, last_train_day, stock), "weekly")
+    plan, signals, advisories = weekly_tables(days, policy, stock)
     wide = with_signal_columns(plan, signals, policy)
     publish(with_window(plan_export(wide)), f"{out}/plan", run_id, "window_start", "window_end")
     publish(advisory_export(advisories), f"{out}/advisories", run_id)

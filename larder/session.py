@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "larder", **conf) -> SparkSession:
@@ -38,3 +38,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(table: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For results that several later steps read: they are worked out once, and a lost
+    executor costs the tasks it ran rather than the whole lineage.
+    """
+    folder = shared_folder(table.sparkSession, purpose)
+    table.write.parquet(folder)
+    return table.sparkSession.read.parquet(folder)
