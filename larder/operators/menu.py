@@ -1,9 +1,13 @@
-"""Menu ideas for an ingredient: seeded, table-driven or random."""
+"""Menu ideas for an ingredient: seeded or random picks from its pool.
+
+The menu is a setting held by the policy, so a pool is a literal array. Picking works on
+that array within the asking row: no join, no pair rows, no exchange.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.tables import Policy
@@ -32,48 +36,35 @@ def idea_text(ingredient: Column, policy: Policy) -> Column:
     return text
 
 
-def menu_rows(asked: DataFrame, menu: DataFrame) -> DataFrame:
-    """Each asked (ingredient, ...) row with the items of its pool, or of `_default`.
-
-    `menu` is (ingredient, pos, item). The pool name is settled first by a semi-lookup of
-    distinct names, so the item join is a plain equi-join.
-    """
-    named = menu.select(F.col("ingredient").alias("pool")).distinct()
-    keyed = asked.join(named, asked["ingredient"] == named["pool"], "left").withColumn(
-        "pool", F.coalesce("pool", F.lit(FALLBACK))
-    )
-    return keyed.join(menu.withColumnRenamed("ingredient", "pool"), "pool")
+def pool_name(ingredient: Column, policy: Policy) -> Column:
+    """The ingredient's own pool, or `_default` where the menu has none."""
+    known = [name for name in policy.menu if name != FALLBACK]
+    return F.when(ingredient.isin(known), ingredient).otherwise(FALLBACK)
 
 
-def _top_k(rows: DataFrame, keys: list[str], rank: list[Column], k: int) -> DataFrame:
-    # a row_number filter lets Spark keep only k rows per key before it shuffles
-    order = Window.partitionBy(*keys).orderBy(*rank)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def pool_items(pool: Column, policy: Policy) -> Column:
+    pools = [(F.lit(name), F.array(*map(F.lit, items))) for name, items in policy.menu.items() if items]
+    return F.create_map(*[column for pair in pools for column in pair])[pool]
 
 
-def table_ideas(asked: DataFrame, menu: DataFrame, k: int = 5) -> DataFrame:
-    """(ingredient, seed, ideas): k items per asked row by hash rank, the same on each run.
+def hashed_ideas(asked: DataFrame, policy: Policy) -> DataFrame:
+    """(*asked, ideas): picks by the hash rank of a `seed` column, the same on every engine.
 
-    A pool of at most k items is returned whole in menu order.
+    A pool of at most `suggestion_count` items is returned whole in menu order.
     """
-    rows = menu_rows(asked.select("ingredient", "seed").distinct(), menu)
-    small = F.count("*").over(Window.partitionBy("ingredient", "seed")) <= k
-    digest = F.md5(F.concat_ws("#", F.col("seed").cast("string"), "pool", "item"))
-    ranked = rows.withColumn("key", F.when(small, F.format_string("%08d", F.col("pos"))).otherwise(digest))
-    kept = _top_k(ranked, ["ingredient", "seed"], [F.col("key"), F.col("pos")], k)
-    ideas = F.sort_array(F.collect_list(F.struct("rank", "item")))
-    return kept.groupBy("ingredient", "seed").agg(ideas.alias("_i")).select(
-        "ingredient", "seed", F.array_join(F.col("_i.item"), ", ").alias("ideas")
+    k = policy.suggestion_count
+    rows = asked.withColumn("_pool", pool_name(F.col("ingredient"), policy)).withColumn(
+        "_items", pool_items(F.col("_pool"), policy)
     )
-
-
-def random_ideas(asked: DataFrame, menu: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """k random items per asked row, without replacement and without a seed."""
-    rows = menu_rows(asked.select(*keys).distinct(), menu).withColumn("_r", F.rand())
-    return _top_k(rows, keys, [F.col("_r")], k).select(*keys, "rank", "item")
-
-
-def menu_table(spark, policy: Policy) -> DataFrame:
-    """The policy's menu as menu(ingredient, pos, item)."""
-    rows = [(i, pos, item) for i, items in policy.menu.items() for pos, item in enumerate(items)]
-    return spark.createDataFrame(rows, "ingredient string, pos int, item string")
+    seed, pool = F.col("seed").cast("string"), F.col("_pool")
+    ranked = F.sort_array(F.transform(
+        "_items", lambda item: F.struct(F.md5(F.concat_ws("#", seed, pool, item)).alias("rank"), item.alias("item"))
+    ))
+    picked = F.when(F.size("_items") <= k, F.col("_items")).otherwise(F.slice(ranked.getField("item"), 1, k))
+    return rows.withColumn("ideas", F.array_join(picked, ", ")).drop("_pool", "_items")
+
+
+def random_ideas(asked: DataFrame, policy: Policy) -> DataFrame:
+    """(*asked, items): random picks without replacement and without a seed."""
+    pool = pool_items(pool_name(F.col("ingredient"), policy), policy)
+    return asked.withColumn("items", F.slice(F.shuffle(pool), 1, policy.suggestion_count))

@@ -60,4 +60,5 @@ def accepted_contacts(contacts: DataFrame) -> DataFrame:
 
 
 def newest_first(contacts: DataFrame) -> DataFrame:
-    return contacts.orderBy(F.desc("ts"), "id")
+    """By time, newest first; more columns keep messages of one second from being one key."""
+    return contacts.orderBy(F.desc("ts"), "id", "email", "name")

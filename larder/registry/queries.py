@@ -531,13 +531,13 @@ def _asked(spark, sf) -> DataFrame:
 
 @query
 def menu_seeded(spark, sf):
-    return menu.table_ideas(_asked(spark, sf), menu.menu_table(spark, POLICY))
+    return menu.hashed_ideas(_asked(spark, sf), POLICY)
 
 
 @query
 def menu_random(spark, sf):
-    rows = menu.random_ideas(_asked(spark, sf), menu.menu_table(spark, POLICY), ["ingredient", "seed"])
-    return rows.groupBy("ingredient", "seed").agg(F.count_distinct("item").alias("items"))
+    picked = menu.random_ideas(_asked(spark, sf), POLICY)
+    return picked.select("ingredient", "seed", F.size(F.array_distinct("items")).cast("bigint").alias("items"))
 
 
 # --- serving and exports -----------------------------------------------------------------------

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from larder.functions import messages
 from larder.functions.calendar import calendar_features, iso_week, iso_year
 from larder.functions.quantities import round_up_lot, safety_stock, weekday_list, whole_demand, z_scores
-from larder.operators.menu import menu_table, random_ideas, seeded_ideas, table_ideas
+from larder.operators.menu import hashed_ideas, random_ideas, seeded_ideas
+from larder.sources.policy import policy_from_tables
 from larder.tables import Policy, weekday_numbers
 from tests.conftest import rows_of
 
@@ -100,20 +101,28 @@ def test_seeded_ideas():
     assert seeded_ideas("apples", policy.with_(suggestion_count=9)) == list(policy.menu["apples"])
 
 
-def test_table_ideas(spark):
-    menu = spark.createDataFrame(
-        [("a", 0, "one"), ("a", 1, "two"), *[("_default", i, f"d{i}") for i in range(8)]],
-        "ingredient string, pos int, item string",
-    )
+def test_hashed_ideas(spark):
+    policy = Policy(menu={"a": ["two", "one"], "_default": [f"d{i}" for i in range(8)]}, suggestion_count=3)
     asked = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "ingredient string, seed int")
-    found = {(i, s): t.split(", ") for i, s, t in rows_of(table_ideas(asked, menu, 3), "ingredient", "seed")}
-    assert found["a", 1] == ["one", "two"]
-    assert len(set(found["b", 1])) == 3 and set(found["b", 1]) <= {f"d{i}" for i in range(8)}
-    again = {(i, s): t.split(", ") for i, s, t in rows_of(table_ideas(asked, menu, 3), "ingredient", "seed")}
-    assert again == found
-
-
-def test_random_ideas_differ_within_a_key(spark):
-    asked = spark.createDataFrame([("apples",)], "ingredient string")
-    rows = random_ideas(asked, menu_table(spark, Policy()), ["ingredient"], 5).collect()
-    assert len({r["item"] for r in rows}) == 5
+    found = {(i, s): t.split(", ") for i, s, t in hashed_ideas(asked, policy).collect()}
+    assert found["a", 1] == ["two", "one"]
+    assert len(set(found["b", 1])) == 3 and set(found["b", 1]) <= set(policy.menu["_default"])
+    assert found == {(i, s): t.split(", ") for i, s, t in hashed_ideas(asked, policy).collect()}
+
+
+def test_random_ideas_differ_within_a_row(spark):
+    asked = spark.createDataFrame([("apples",), ("salt",)], "ingredient string")
+    for row in random_ideas(asked, Policy()).collect():
+        pool = Policy().menu.get(row["ingredient"], Policy().menu["_default"])
+        assert len(set(row["items"])) == 5 and set(row["items"]) <= set(pool)
+
+
+def test_policy_tables(spark):
+    recipe = spark.createDataFrame([("dough", 1, 1.0), ("apples", 0, 3.0)], "ingredient string, pos int, per_item double")
+    lots = spark.createDataFrame([("dough", 60)], "ingredient string, lot_size int")
+    menu = spark.createDataFrame([("dough", 1, "b"), ("dough", 0, "a")], "ingredient string, pos int, item string")
+    policy = policy_from_tables(recipe, lots, menu=menu, base=Policy(shelf_life={"dough": 9}))
+    assert policy.ingredients == ["apples", "dough"] and policy.lots == {"dough": 60}
+    assert policy.menu == {"dough": ["a", "b"]} and policy.expiry_days("dough") == 6
+    with pytest.raises(ValueError):
+        policy_from_tables(menu=spark.range(20000).selectExpr("'x' ingredient", "id pos", "'i' item"))
