@@ -6,9 +6,11 @@ scheduler. `weekly_*` is the older one: tuned alpha, weekly balance, daily signa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.advisories import unpivot_signals, weekly_advisories
+from larder.operators.exports import advisory_export, plan_export, with_window
 from larder.operators.features import split_features, training_rows
 from larder.operators.forecast import as_plan, forecast_demand, recursive_forecast, with_need_columns
 from larder.operators.ledger import daily_signals
@@ -16,9 +18,9 @@ from larder.operators.ridge import fit_best_alpha
 from larder.operators.scheduler import schedule, schedule_advisories, scheduled_plan
 from larder.operators.stock import last_stock
 from larder.operators.weekly import balance_advisories, balance_plan, weekly_balance
-from larder.operators.exports import advisory_export, plan_export, with_window
 from larder.session import settle
 from larder.sources.published import publish
+from larder.sources.sales import read_csv
 from larder.tables import Policy
 
 
@@ -76,3 +78,19 @@ def run_weekly(
     wide = with_signal_columns(plan, signals, policy)
     publish(with_window(plan_export(wide)), f"{out}/plan", run_id, "window_start", "window_end")
     publish(advisory_export(advisories), f"{out}/advisories", run_id)
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """A wide plan written as CSV or Parquet, its date and signal columns typed by name."""
+    is_csv = path.rstrip("/").lower().endswith(".csv")
+    plan = read_csv(spark, path) if is_csv else spark.read.parquet(path)
+    signals = {c: F.col(c).try_cast("int") for c in plan.columns if c.startswith("signal_")}
+    return plan.withColumns({"date": F.col("date").try_cast("date"), **signals})
+
+
+def run_advisories_from_plan(spark: SparkSession, plan_path: str, out: str, run_id: str, policy: Policy) -> None:
+    """Weekly advisories derived from a stored plan, published with the plan's name as `source`."""
+    signals = unpivot_signals(read_plan(spark, plan_path))
+    source = plan_path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
+    advisories = weekly_advisories(signals, policy).withColumn("source", F.lit(source))
+    publish(advisory_export(advisories), out, run_id, "source")

@@ -74,7 +74,9 @@ def upsert_series(upload: DataFrame, path: str, snapshot: str, buckets: int = BU
     if touched:
         current = read_series(spark, path, before=snapshot, only=set(touched))
         merged = upload if current is None else replace_series(current, upload)
-        spread = merged.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket", "series")
+        # ranges end within a long series too, and a task writes to few buckets
+        order = [c for c in ("bucket", "series", "date") if c in ("bucket", *merged.columns)]
+        spread = merged.withColumn("bucket", _bucket(buckets)).repartitionByRange(*order)
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshot={snapshot}")
         log = spark.createDataFrame([(snapshot, b) for b in touched], "id string, bucket int")
         log.coalesce(1).write.mode("append").parquet(f"{path}/published")

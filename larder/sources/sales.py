@@ -44,19 +44,19 @@ def payload_rows(payloads: DataFrame, content: str = "csv_content", max_columns:
     required column yields rows whose value is null there, for `validate` to reject.
     """
     others = [c for c in payloads.columns if c != content]
-    fields = ", ".join(f"c{i} string" for i in range(max_columns))
+    fields = F.lit(", ".join(f"c{i} string" for i in range(max_columns)))
 
-    def parsed(line):
-        row = F.from_csv(line, F.lit(fields))
-        return F.array(*[row[f"c{i}"] for i in range(max_columns)])
+    def cells(row: str):
+        return F.array(*[F.col(f"{row}.c{i}") for i in range(max_columns)])
 
+    # a line is parsed into a struct first, so that its parser runs once and not per cell
     lines = payloads.select(*others, F.split(content, "\r?\n").alias("_lines"))
-    header = F.transform(parsed(F.col("_lines")[0]), lambda c: F.btrim(c))
-    body = lines.select(
-        *others, header.alias("_header"),
-        F.posexplode(F.slice("_lines", 2, F.size("_lines"))).alias("line", "_text"),
+    headed = lines.withColumn("_names", F.from_csv(F.col("_lines")[0], fields))
+    header = F.transform(cells("_names"), lambda c: F.btrim(c))
+    body = headed.withColumn("_header", header).select(
+        *others, "_header", F.posexplode(F.slice("_lines", 2, F.size("_lines"))).alias("line", "_text"),
     ).where(F.btrim("_text") != "")
-    values = body.withColumn("_values", parsed(F.col("_text")))
+    values = body.withColumn("_row", F.from_csv("_text", fields)).withColumn("_values", cells("_row"))
 
     def named(name: str):
         at = F.array_position("_header", name)

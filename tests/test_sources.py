@@ -110,6 +110,17 @@ def test_runs_publish_their_tables(spark, tmp_path, history):
     assert plan.count() == 14 and plan.select("window_end").distinct().count() == 1
 
 
+def test_advisories_from_a_stored_plan(spark, tmp_path):
+    days = [f"s,2026-01-{d:02d},{10 + d},{int(d == 7)},{-int(d == 11)}" for d in range(5, 12)]
+    write(str(tmp_path / "plan_2026.csv"), "part.csv", "\n".join(["series,date,qty_sold,signal_apples,signal_dough", *days]))
+    out = str(tmp_path / "out")
+    season.run_advisories_from_plan(spark, str(tmp_path / "plan_2026.csv"), out, "r1", Policy())
+    found = published.read_latest(spark, out).select("type", "date", "source")
+    assert rows_of(found, "type") == [
+        ("BUY_APPLES", "2026-01-05", "plan_2026"), ("SPECIAL_DOUGH", "2026-01-11", "plan_2026"),
+    ]
+
+
 def test_csv_export(spark, tmp_path, history):
     from larder.operators.exports import with_window, write_export
 
