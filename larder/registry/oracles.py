@@ -256,7 +256,7 @@ def renamed(text: str, prefix: str) -> str:
     for name in ("moments", "system", "elimination", "solved", "models"):
         text = text.replace(f"{name} AS", f"{prefix}{name} AS").replace(f"FROM {name}", f"FROM {prefix}{name}")
         text = text.replace(f"JOIN {name}", f"JOIN {prefix}{name}")
-    return text.replace("alphas)", "alphas)")
+    return text
 
 
 BEST = f"""{SEARCH},

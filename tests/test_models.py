@@ -178,6 +178,17 @@ def test_short_series_get_a_flat_forecast(history):
     assert boot.where("pred_lower < pred_mean AND pred_mean < pred_upper").count() == 5
 
 
+def test_unknown_recent_quantities_get_a_flat_forecast(history):
+    table = history({"gap": (FIRST, demand(60)), "full": (FIRST, demand(60))})
+    last = table.agg(F.max("date")).first()[0]
+    holed = table.withColumn("qty_sold", F.when(
+        (F.col("series") == "gap") & (F.col("date") >= last - dt.timedelta(days=1)), F.lit(None)
+    ).otherwise(F.col("qty_sold")))
+    found = forecast_demand(holed, Policy(horizon_days=3)).where("series = 'gap'").collect()
+    wanted = int(np.mean(demand(60)[-7:-2]))
+    assert [(r["qty_sold"], r["pred_mean"], r["forecast_method"]) for r in found] == [(wanted, None, "flat")] * 3
+
+
 def test_one_series_does_not_change_another(history):
     alone = history({"a": (FIRST, demand(60, 1))})
     both = history({"a": (FIRST, demand(60, 1)), "b": (FIRST, demand(90, 9, 200))})
