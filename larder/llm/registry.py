@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from larder.llm.bpe import encode_decode
 from larder.llm.common import table
+from larder.llm.language import fit, predict, remainder
+from larder.llm.mixing import measured, mix
 from larder.llm.pieces import read_pieces, token_counts
+from larder.llm.spans import remove_repeated_spans
+
+MIX = {"weights": (3, 1, 2), "share": 1.5, "most": 2.0}
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +21,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), pieces)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(measured(table(spark, sf_dir, "documents")), **MIX)
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = fit(docs.where(remainder(3) != 1))
+    return predict(docs, trees).withColumn("held_out", remainder(3) == 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(
         table(spark, sf_dir, "documents"),
@@ -30,6 +50,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_mixing": op5_mixing,
+    "op8_sentence_spans": op8_sentence_spans,
+    "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
