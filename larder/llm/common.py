@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,37 +26,22 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def by_row(frame: DataFrame, schema: str, rows: Callable[[dict], Iterable[tuple]], at_most: int = 4096) -> DataFrame:
-    """`rows` turns one input row into output rows; results leave in batches of bounded size.
+class PerWorker:
+    """A recipe that is broadcast; what it builds lives as long as the worker process.
 
-    `rows` is a zero-argument factory when it has a `make` attribute, so that caches live as
-    long as a task and not longer.
+    Only for things of bounded size, such as a vocabulary and a cache with a fixed capacity.
     """
-    target = frame.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(target)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = rows.make() if hasattr(rows, "make") else rows
-        held: list[tuple] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.extend(each(row))
-                if len(held) >= at_most:
-                    yield batch_of(held, arrow)
-                    held = []
-        if held:
-            yield batch_of(held, arrow)
-
-    return frame.mapInArrow(run, target)
-
-
-def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(column), field.type) for column, field in zip(columns, schema, strict=True)], schema=schema
-    )
+
+    def __init__(self, make: Callable, *args):
+        self.make, self.args, self.built = make, args, None
+
+    def __getstate__(self):
+        return {"make": self.make, "args": self.args, "built": None}
+
+    def get(self):
+        if self.built is None:
+            self.built = self.make(*self.args)
+        return self.built
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.annuli import exact_top
 from larder.llm.bpe import encode_decode
 from larder.llm.common import table
 from larder.llm.language import fit, predict, remainder
 from larder.llm.mixing import measured, mix
+from larder.llm.permutation import approximate_neighbours
 from larder.llm.pieces import read_pieces, token_counts
 from larder.llm.spans import remove_repeated_spans
 
@@ -21,10 +23,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), pieces)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(measured(table(spark, sf_dir, "documents")), **MIX)
 
 
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -50,10 +60,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
+    "op6_top_products": op6_top_products,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_top_products": """
+        WITH usable AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 5
+    """,
+}
