@@ -14,10 +14,16 @@ from larder.llm.mixing import measured, mix
 from larder.llm.permutation import approximate_neighbours
 from larder.llm.pieces import read_pieces, token_counts
 from larder.llm.spans import remove_repeated_spans
+from larder.llm.suffixes import remove_repeats
 
 MIX = {"weights": (3, 1, 2), "share": 1.5, "most": 2.0}
 
 
+def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts(table(spark, sf_dir, "documents"), pieces)
@@ -59,6 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_arrays": op1_suffix_arrays,
     "op3_token_counts": op3_token_counts,
     "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
