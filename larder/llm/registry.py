@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larder.llm.annuli import exact_top
 from larder.llm.bpe import encode_decode
 from larder.llm.common import table
+from larder.llm.jaccard import link_documents
 from larder.llm.language import fit, predict, remainder
 from larder.llm.mixing import measured, mix
 from larder.llm.permutation import approximate_neighbours
@@ -24,6 +25,10 @@ def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts(table(spark, sf_dir, "documents"), pieces)
@@ -66,6 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_arrays": op1_suffix_arrays,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
