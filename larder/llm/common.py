@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -21,6 +23,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        *(F.col(name) for name in more))
 
 
+def with_kept(docs: DataFrame, keep: Sequence[str], fields: str) -> T.StructType:
+    """The fields an operator adds, then the columns of `docs` that it carries along."""
+    return T.StructType([*T.StructType.fromDDL(fields), *(docs.schema[name] for name in keep)])
+
+
+def record(schema: T.StructType, columns: Sequence, batch: pa.RecordBatch, keep: Sequence[str]) -> pa.RecordBatch:
+    """New columns followed by the kept ones of the same rows."""
+    return pa.RecordBatch.from_arrays([*columns, *(batch.column(name) for name in keep)], names=schema.names)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case (A-Z only) words between ASCII white space, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

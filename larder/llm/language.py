@@ -21,7 +21,7 @@ Ties go to the language first in code point order. Null doc_id hashes as the emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import texts
+from larder.llm.common import record, texts, with_kept
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -193,18 +193,19 @@ class Coder:
         return np.add.reduceat(np.vstack([costs, np.zeros((1, self.width), np.float32)]), bounds, 0, np.float64)[::2]
 
 
-def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte (of the shortest code) for every row, from its text alone."""
+def predict(docs: DataFrame, trees: Trees | None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, bits_per_byte (of the shortest code) for every row, from its text
+    alone; then the columns to keep."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    schema = with_kept(docs, keep, "doc_id bigint, lang_pred string, score double, bits_per_byte double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value) if shared.value else None
         for batch in batches:
             found = judged(batch.column("text").to_pylist(), coder, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found],
-                                             names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield record(schema, [batch.column("doc_id"), *found], batch, keep)
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double, bits_per_byte double")
+    return texts(docs, *(name for name in keep if name != "text")).mapInArrow(run, schema)
 
 
 def judged(found: list[str | None], coder: Coder | None, trees: Trees | None) -> list[pa.Array]:

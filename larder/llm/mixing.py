@@ -25,28 +25,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.common import record, texts, with_kept
 from larder.session import settle
 
 SUSPECT = bytes(set(range(33, 127)) - set(b"'\",.;:!?()-") - set(range(65, 91)) - set(range(97, 123)))
 LEAST_QUALITY = 0.05
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), quality (share of bytes that aren't digits or symbols)."""
+def measured(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size (words), quality (share of bytes that aren't digits or symbols); then
+    the columns to keep."""
+    schema = with_kept(docs, keep, "doc_id bigint, source string, size bigint, quality double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = [(text or "").encode("utf-8", "replace") for text in batch.column("text").to_pylist()]
             clean = [len(raw.translate(None, SUSPECT)) / len(raw) if raw else 1.0 for raw in raws]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"),
-                 pa.array([len(raw.split()) for raw in raws], pa.int64()),
-                 pa.array(np.maximum(clean, LEAST_QUALITY), pa.float64())],
-                names=["doc_id", "source", "size", "quality"])
-
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                         F.col("source").cast("string").alias("source"))
-    return narrow.mapInArrow(run, "doc_id bigint, source string, size bigint, quality double")
+            yield record(schema, [
+                batch.column("doc_id"), batch.column("source"), pa.array([len(raw.split()) for raw in raws], pa.int64()),
+                pa.array(np.maximum(clean, LEAST_QUALITY), pa.float64())], batch, keep)
+
+    more = [name for name in keep if name != "text"]
+    return texts(docs.withColumn("source", F.col("source").cast("string")), "source", *more).mapInArrow(run, schema)
 
 
 def source_key() -> Column:

@@ -29,7 +29,7 @@ share only doc_id are ordered by a hash of their text. An empty table gives an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import mixed, texts
+from larder.llm.common import mixed, record, texts, with_kept
 from larder.session import settle
 
 LENGTH = 100
@@ -398,35 +398,36 @@ def cover_batch(doc, tag, start, stop) -> pa.RecordBatch:
         names=["doc", "tag", "start", "stop"])
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+def compressed(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    schema = with_kept(docs, keep, "doc_id bigint, doc bigint, tag int, packed binary")
+
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = [packer.compress((text or "").encode("utf-8", "replace")) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), batch.column("tag"), pa.array(packed, pa.binary())],
-                                             names=["doc_id", "doc", "tag", "packed"])
+            yield record(schema, [batch.column(c) for c in ("doc_id", "doc", "tag")] + [pa.array(packed, pa.binary())], batch, keep)
 
-    return docs.mapInArrow(pack_texts, "doc_id bigint, doc bigint, tag int, packed binary")
+    return docs.mapInArrow(pack_texts, schema)
 
 
-def keyed_documents(docs: DataFrame) -> DataFrame:
+def keyed_documents(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     tag: Column = F.pmod(F.xxhash64("text"), F.lit((1 << 18) - 1)).cast("int")
-    return texts(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), tag.alias("tag"))
+    return texts(docs, *keep).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), tag.alias("tag"), *keep)
 
 
-def remove_repeats(docs: DataFrame, batch_rows: int = BATCH_ROWS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row."""
-    keyed = keyed_documents(docs)
-    dealt = scanned(keyed).repartition("to").sortWithinPartitions("doc", "place")
+def remove_repeats(docs: DataFrame, batch_rows: int = BATCH_ROWS, hot: int = HOT, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row; then the columns to keep."""
+    keyed = keyed_documents(docs, keep)
+    dealt = scanned(keyed.select("text", "doc", "tag")).repartition("to").sortWithinPartitions("doc", "place")
     found = settle(looked_up(dealt, batch_rows, hot), "suffixes")
-    packed = compressed(keyed)
+    packed = compressed(keyed, keep)
     asks = found.where(F.col("gram").isNotNull()).groupBy("doc", "tag").agg(
         F.collect_list(F.struct("start", "stop", "gram", "hot")).alias("runs"))
-    asked = packed.drop("doc_id")
-    parts = compared(cut_out(asked.join(asks, ["doc", "tag"])))
+    parts = compared(cut_out(compressed(keyed, ()).drop("doc_id").join(asks, ["doc", "tag"])))
     covers = found.where(F.col("gram").isNull()).select("doc", "tag", "start", "stop").unionByName(parts)
     by_document = covers.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
-    joined = packed.join(by_document, ["doc", "tag"], "left").select("doc_id", "packed", "covers")
+    joined = packed.join(by_document, ["doc", "tag"], "left").select("doc_id", "packed", "covers", *keep)
+    schema = with_kept(docs, keep, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -434,11 +435,10 @@ def remove_repeats(docs: DataFrame, batch_rows: int = BATCH_ROWS, hot: int = HOT
             rows = [remaining(unpacker.decompress(packed), covers or ())
                     for packed, covers in zip(batch.column("packed").to_pylist(), batch.column("covers").to_pylist(), strict=True)]
             size, removed, spans, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield record(schema, [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, removed, spans)),
+                                  pa.array(kept, pa.binary())], batch, keep)
 
-    return joined.mapInArrow(rest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.mapInArrow(rest, schema)
 
 
 def remaining(raw: bytes, covers: list[dict]) -> tuple[int, int, int, bytes]:
