@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A piece of text is a linked list of tokens. Every adjacent pair whose join has a rank waits
-in the bucket of that rank; a three-level bitmap over the buckets yields the smallest rank
+in the bucket of that rank; a two-level bitmap over the buckets yields the smallest rank
 in use by find-first-set. Pairs that a merge has changed are left in their buckets and
 skipped when they come up. A merge costs a constant number of queue steps, so a piece of
 millions of bytes takes n log n time and not n squared.
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import array
 import base64
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from larder.llm.common import texts
+from larder.llm.common import PerWorker, record, texts, with_kept
 
 # Code points that the installed `regex` counts as letters or numbers and
 # tiktoken's older Unicode tables don't. To the pattern they are neither.
@@ -39,9 +40,10 @@ NEWER = (
 ).replace(" ", "")
 UNASSIGNED = "͸"
 
-CACHED_PIECES = 200_000
+CACHED = 400_000
 CACHED_BYTES = 64
 LONG_TEXT = 1 << 20
+LOOSE_SPACE = re.compile(r" (?:\s|$)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,48 +52,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions in buckets by rank; `pop` gives the smallest rank, then the smallest position."""
+    """Positions in buckets by rank: `low` has a bit per rank in words of 64, `top` a bit per
+    word in use, so two find-first-sets lead to the smallest rank. A bucket yields its smallest
+    position first. The queue is empty again when a piece is done."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * (ranks // 64 + 1)
-        self.middle = [0] * (ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        i = first_set(self.top)
-        j = i << 6 | first_set(self.middle[i])
-        rank = j << 6 | first_set(self.low[j])
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[j] &= ~(1 << (rank & 63))
-            if not self.low[j]:
-                self.middle[i] &= ~(1 << (j & 63))
-                if not self.middle[i]:
-                    self.top &= ~(1 << i)
-        return rank, position
-
-
-def first_set(bits: int) -> int:
-    return (bits & -bits).bit_length() - 1
+        self.bits = [1 << i for i in range(max(64, len(self.low)))]
 
 
 class Encoder:
-    """Ids of single pieces; holds the queue and a bounded cache of short pieces."""
+    """Ids of single pieces; holds the queue and bounded caches of short pieces and words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -100,20 +72,45 @@ class Encoder:
         self.newer = regex.compile(f"[{NEWER}]")
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.spaced: dict[str, tuple[bytes, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        size, rank_of, queue = len(piece), self.ranks.get, self.queue
+        """The queue's steps stand here in line: a call for each would double the time."""
+        ranks = self.ranks
+        if piece in ranks:
+            return [ranks[piece]]
+        size, rank_of = len(piece), ranks.get
+        buckets, low, bits, top = self.queue.buckets, self.queue.low, self.queue.bits, 0
         end = list(range(1, size + 1))  # of the token that starts here
         before = list(range(-1, size - 1))
-        pair: list[int | None] = [None] * size  # rank of the token here joined with the next
-        for i in range(size - 1):
-            pair[i] = rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, left = found
+        # rank of the token here joined with the next
+        pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(size - 1)]
+        pair.append(None)
+        found = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
+        while found or top:
+            for rank, i in found:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    low[word] |= bits[rank & 63]
+                    top |= bits[word]
+            first_word = top & -top
+            word = first_word.bit_length() - 1
+            used = low[word]
+            first = used & -used
+            rank = (word << 6) + first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                left = heappop(bucket)
+            else:
+                left = bucket[0]
+                del buckets[rank]
+                low[word] = used = used ^ first
+                if not used:
+                    top ^= first_word
+            found = []
             if pair[left] != rank:
                 continue  # stale
             right = end[left]
@@ -121,16 +118,19 @@ class Encoder:
             pair[right] = None
             if stop < size:
                 before[stop] = left
-            pair[left] = new = rank_of(piece[left : end[stop]]) if stop < size else None
-            if new is not None:
-                queue.push(new, left)
-            if (previous := before[left]) >= 0:
+                pair[left] = new = rank_of(piece[left : end[stop]])
+                if new is not None:
+                    found.append((new, left))
+            else:
+                pair[left] = None
+            previous = before[left]
+            if previous >= 0:
                 pair[previous] = new = rank_of(piece[previous:stop])
                 if new is not None:
-                    queue.push(new, previous)
+                    found.append((new, previous))
         ids, i = [], 0
         while i < size:
-            ids.append(self.ranks[piece[i : end[i]]])
+            ids.append(ranks[piece[i : end[i]]])
             i = end[i]
         return ids
 
@@ -144,12 +144,20 @@ class Encoder:
             raw = piece.encode("utf-8", "replace")
             ids = self.merge(raw)
             found = array.array("i", ids).tobytes(), self.decode(ids)
-            if len(raw) <= CACHED_BYTES:
-                if len(self.cache) >= CACHED_PIECES:
-                    self.cache.clear()
-                self.cache[piece] = found
+            keep(self.cache, piece, found)
+        return found
+
+    def after_space(self, word: str) -> tuple[bytes, bytes]:
+        """The same for a word and the space in front of it, by its pieces."""
+        found = self.joined(" " + word)
+        keep(self.spaced, word, found)
         return found
 
+    def joined(self, text: str) -> tuple[bytes, bytes]:
+        get, both = self.cache.get, self.both
+        found = [get(piece) or both(piece) for piece in self.split(text)]
+        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+
     def split(self, text: str) -> Iterable[str]:
         try:
             text.encode("latin-1")
@@ -161,32 +169,44 @@ class Encoder:
             return (m.group() for m in self.pieces.finditer(text))
         return self.pieces.findall(text)
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+    def encode(self, text: str | None, by_word: bool = True) -> tuple[bytes, bytes]:
+        """`by_word`: the pattern starts a piece at every space with a non-space behind it, so
+        that words can be looked up whole; texts with other spaces go through the pattern."""
         if not text:
             return b"", b""
-        get, both = self.cache.get, self.both
-        found = [get(piece) or both(piece) for piece in self.split(text)]
+        if not by_word or len(text) > LONG_TEXT or LOOSE_SPACE.search(text):
+            return self.joined(text)
+        first, *rest = text.split(" ")
+        get, after_space = self.spaced.get, self.after_space
+        found = [self.joined(first)] if first else []
+        found += [get(word) or after_space(word) for word in rest]
         return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded binary (what the ids stand for) of every whole text.
+def keep(cache: dict[str, tuple[bytes, bytes]], key: str, found: tuple[bytes, bytes]) -> None:
+    if len(key) <= CACHED_BYTES:
+        if len(cache) >= CACHED:
+            cache.clear()
+        cache[key] = found
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids array<int>, decoded binary (what the ids stand for) of every whole text; then
+    the columns to keep.
 
     The vocabulary, a file of fixed size, travels to the tasks as one broadcast value.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(PerWorker(Encoder, read_ranks(vocabulary), pattern))
+    schema = with_kept(docs, keep, "doc_id bigint, ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = shared.value.get()
         for batch in batches:
             pairs = [encoder.encode(text) for text in batch.column("text").to_pylist()]
-            offsets = np.zeros(len(pairs) + 1, np.int64)
+            offsets = np.zeros(len(pairs) + 1, np.int32)
             np.cumsum([len(ids) // 4 for ids, _ in pairs], out=offsets[1:])
             flat = np.frombuffer(b"".join([ids for ids, _ in pairs]), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets.astype(np.int32), flat),
-                 pa.array([decoded for _, decoded in pairs], pa.binary())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            yield record(schema, [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat),
+                                  pa.array([decoded for _, decoded in pairs], pa.binary())], batch, keep)
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return texts(docs, *(name for name in keep if name != "text")).mapInArrow(run, schema)
