@@ -11,6 +11,7 @@ from larder.llm.bpe import encode_decode
 from larder.llm.common import table
 from larder.llm.jaccard import link_documents
 from larder.llm.language import fit, predict, remainder
+from larder.llm.likelihood import score_documents
 from larder.llm.mixing import measured, mix
 from larder.llm.permutation import approximate_neighbours
 from larder.llm.pieces import read_pieces, token_counts
@@ -46,6 +47,11 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return score_documents(table(spark, sf_dir, "documents"), pieces)
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
     "op6_top_products": op6_top_products,
+    "op7_lattice_likelihood": op7_lattice_likelihood,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
