@@ -34,7 +34,8 @@ def fill(text: str, **columns: Column) -> Column:
 
 
 def one_place(number: Column) -> Column:
-    return F.round(number, 1)
+    """One decimal as plain digits, halves to even."""
+    return F.bround(number.cast("double"), 1).cast("decimal(38,1)")
 
 
 def advisory_type(kind: str | Column, ingredient: Column) -> Column:

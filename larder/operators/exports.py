@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.calendar import date_text
+from larder.operators.spine import whole_series
 
 PLAN_INTEGERS = ("qty_total", "special_added")
 
@@ -35,8 +36,9 @@ def advisory_export(advisories: DataFrame) -> DataFrame:
 
 def with_window(table: DataFrame) -> DataFrame:
     """Add each series' first and last planned day, the columns exports are named by."""
-    ends = table.groupBy("series").agg(F.min("date").alias("window_start"), F.max("date").alias("window_end"))
-    return table.drop("window_start", "window_end").join(ends, "series")
+    return table.withColumns({
+        "window_start": F.min("date").over(whole_series()), "window_end": F.max("date").over(whole_series()),
+    })
 
 
 def write_export(table: DataFrame, path: str, *partitions: str) -> None:

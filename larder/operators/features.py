@@ -18,20 +18,26 @@ def with_past_means(history: DataFrame, days: dict[str, int], full_only: bool =
     """Add means of the rows before this one, named by `days`; null until full if `full_only`.
 
     A mean is the difference of two running totals, so a row costs the same whatever the
-    window's length. Whole quantities give the same value as summing the window.
+    window's length. Totals are of whole deviations from the series' level, which keeps them
+    short; whole quantities give the same value as summing the window. Not-a-number and
+    infinite quantities count as unknown, so they reach no further than their windows.
     """
     past = by_day().rowsBetween(Window.unboundedPreceding, -1)
-    totals = history.withColumns({
-        "_sum": F.coalesce(F.sum("qty_sold").over(past), F.lit(0.0)),
-        "_count": F.count("qty_sold").over(past),
+    finite = F.when(~F.isnan("qty_sold") & (F.abs("qty_sold") != float("inf")), F.col("qty_sold"))
+    level = F.coalesce(F.rint(F.avg("_finite").over(whole_series())), F.lit(0.0))
+    centred = history.withColumn("_finite", finite).withColumn("_level", level)
+    totals = centred.withColumns({
+        "_sum": F.coalesce(F.sum(F.col("_finite") - F.col("_level")).over(past), F.lit(0.0)),
+        "_count": F.count("_finite").over(past),
     })
 
     def mean(n: int) -> Column:
         total = F.col("_sum") - F.lag("_sum", n, 0.0).over(by_day())
         count = F.col("_count") - F.lag("_count", n, 0).over(by_day())
-        return F.when(count == n if full_only else count > 0, total / count)
+        known = (total + count * F.col("_level")) / count
+        return F.when(count == n if full_only else count > 0, known)
 
-    return totals.withColumns({name: mean(n) for name, n in days.items()}).drop("_sum", "_count")
+    return totals.withColumns({name: mean(n) for name, n in days.items()}).drop("_sum", "_count", "_finite", "_level")
 
 
 def with_past_demand(history: DataFrame, full_only: bool = False) -> DataFrame:

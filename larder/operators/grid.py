@@ -63,9 +63,11 @@ def fold(
     step: Callable[[pa.RecordBatch], dict[str, pa.Array]],
     outputs: dict[str, T.DataType],
     batch_rows: int = 1024,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Add the columns `step` computes for each batch of series."""
-    schema = T.StructType(list(nested.schema.fields) + [T.StructField(k, v) for k, v in outputs.items()])
+    """The columns `step` computes for each batch of series, after those to keep (all if not given)."""
+    kept = nested.columns if keep is None else keep
+    schema = T.StructType([nested.schema[k] for k in kept] + [T.StructField(k, v) for k, v in outputs.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,8 +75,8 @@ def fold(
                 batch = whole.slice(start, batch_rows)
                 added = step(batch)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *[added[k] for k in outputs]],
-                    names=[*batch.schema.names, *outputs],
+                    [*[batch[k] for k in kept], *[added[k] for k in outputs]],
+                    names=[*kept, *outputs],
                 )
 
     return nested.mapInArrow(run, schema)

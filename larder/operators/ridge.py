@@ -177,36 +177,31 @@ def residual_quantiles(residuals: DataFrame, alpha: float = 0.05, *keep: str) ->
 def bootstrap_quantiles(
     residuals: DataFrame, alpha: float = 0.05, draws: int = 500, seed: int = 0
 ) -> DataFrame:
-    """The same offsets from seeded draws with replacement out of the ordered residuals.
+    """The same offsets from draws with replacement out of the ordered residuals.
 
-    The draws depend on the seed and the number of residuals only, so all series of a
-    batch that share a length share one draw of positions.
+    Draw b of a series takes the residual at md5('seed#series#b') modulo their number, so
+    the draws depend on the series and the seed only.
     """
     gathered = residuals.groupBy("series").agg(
         F.sort_array(F.collect_list(F.struct("date", "resid"))).alias("_days")
     ).select("series", F.col("_days.resid").alias("resid"))
 
-    def run(batches):
-        for batch in batches:
-            column = batch["resid"]
-            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-            if not len(lengths):
-                continue
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-            bounds = np.empty((len(lengths), 2))
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                drawn = np.random.default_rng(seed).integers(0, length, size=draws)
-                sample = flat[starts[at][:, None] + drawn]
-                bounds[at] = np.quantile(sample, [alpha / 2, 1 - alpha / 2], axis=1).T
-            yield pa.RecordBatch.from_arrays(
-                [batch["series"], pa.array(bounds[:, 0].copy()), pa.array(bounds[:, 1].copy())],
-                names=["series", "q_lo", "q_hi"],
-            )
+    def drawn(b):
+        key = F.concat_ws("#", F.lit(str(seed)), F.col("series").cast("string"), b.cast("string"))
+        number = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
+        return F.get("resid", (number % F.size("resid")).cast("int"))
 
-    schema = _schema(gathered, {"q_lo": T.DoubleType(), "q_hi": T.DoubleType()})
-    return gathered.mapInArrow(run, schema)
+    sampled = gathered.select(
+        "series", F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), drawn)).alias("sample")
+    )
+
+    def quantile(share: float):
+        at = share * (draws - 1)
+        low, part = int(at), at - int(at)
+        first, second = F.get("sample", F.lit(low)), F.get("sample", F.lit(min(low + 1, draws - 1)))
+        return first + (second - first) * part
+
+    return sampled.select("series", quantile(alpha / 2).alias("q_lo"), quantile(1 - alpha / 2).alias("q_hi"))
 
 
 def fit_with_interval(

@@ -16,10 +16,10 @@ from larder.functions.calendar import weekday
 from larder.functions.quantities import reorder_point, safety_stock, whole
 from larder.operators.advisories import advisory_table
 from larder.operators.grid import LONGS, fold, lists, matrix, nest, unnest
-from larder.operators.menu import seeded_ideas
+from larder.operators.menu import idea_text
 from larder.operators.spine import by_day, whole_series
 from larder.operators.stock import start_stock_columns
-from larder.tables import Policy
+from larder.tables import REASONS, Policy
 
 PREDICTIONS = ("pred_mean", "pred_lower", "pred_upper")
 
@@ -157,7 +157,7 @@ def schedule(plan: DataFrame, policy: Policy, start_stock: DataFrame | None = No
     `special_added` and `qty_total` include the extras. Write or cache the result when
     both `scheduled_plan` and `schedule_advisories` are wanted.
     """
-    given = [p for p in PREDICTIONS if p in plan.columns]
+    given = [p for p in (*PREDICTIONS, "forecast_method") if p in plan.columns]
     flags = {
         "vendor_day": (weekday(F.col("date")) == (-1 if policy.vendor_weekday is None else policy.vendor_weekday))
         .cast("int"),
@@ -171,9 +171,9 @@ def schedule(plan: DataFrame, policy: Policy, start_stock: DataFrame | None = No
     ]
     nested = start_stock_columns(nest(numbers, columns), policy, start_stock)
     decided = ["orders", "held", "extras"]
-    folded = fold(nested, _keep_stock(policy), dict.fromkeys(decided, LONGS))
-    width = len(policy.recipe)
     kept = ["date", "qty_sold", "qty_total", "special_added", "buy_mean", "buy_std", "lead_demand", *given]
+    folded = fold(nested, _keep_stock(policy), dict.fromkeys(decided, LONGS), keep=["series", "n", *kept])
+    width = len(policy.recipe)
     days = unnest(folded.withColumns({name: _by_day(name, width) for name in decided}), [*kept, *decided])
     extra = F.aggregate("extras", F.lit(0).cast("bigint"), lambda a, b: a + b)
     return days.withColumns({
@@ -188,7 +188,7 @@ def _by_day(column: str, width: int) -> Column:
 
 
 def scheduled_plan(days: DataFrame) -> DataFrame:
-    given = [p for p in PREDICTIONS if p in days.columns]
+    given = [p for p in (*PREDICTIONS, "forecast_method") if p in days.columns]
     return days.select("series", "date", "qty_sold", "qty_total", "special_added", *given)
 
 
@@ -199,7 +199,6 @@ def schedule_advisories(days: DataFrame, policy: Policy) -> DataFrame:
         F.struct(
             F.lit(ingredient).alias("ingredient"),
             F.lit(float(per)).alias("per_item"),
-            F.lit(", ".join(seeded_ideas(ingredient, policy))).alias("ideas"),
             F.col("held")[k].alias("held"),
             (F.col("orders")[k] if kind == "BUY" else nothing).alias("qty"),
             (nothing if kind == "BUY" else F.col("extras")[k]).alias("special_qty"),
@@ -208,7 +207,8 @@ def schedule_advisories(days: DataFrame, policy: Policy) -> DataFrame:
         for kind in ("BUY", "SPECIAL")
     ])
     given = [p for p in PREDICTIONS if p in days.columns]
-    rows = days.select(
+    decided = F.exists("orders", lambda q: q > 0) | F.exists("extras", lambda q: q > 0)
+    rows = days.where(decided).select(
         "series", "date", "buy_mean", "buy_std", "lead_demand", *given, F.inline(decisions)
     ).where((F.col("qty") > 0) | (F.col("special_qty") > 0))
 
@@ -223,8 +223,8 @@ def schedule_advisories(days: DataFrame, policy: Policy) -> DataFrame:
         "pred_summary": summary,
         "type": messages.advisory_type(F.when(buys, "BUY").otherwise("SPECIAL"), ingredient),
         "text": F.when(buys, buy).otherwise(special),
-        "suggestions": F.when(~F.coalesce(buys, F.lit(False)), F.col("ideas")),
-        "reason": F.when(buys, "below_ROP").otherwise("surplus_burn"),
+        "suggestions": F.when(~F.coalesce(buys, F.lit(False)), idea_text(ingredient, policy)),
+        "reason": F.when(buys, REASONS["buy"]).otherwise(REASONS["special"]),
     })
     return advisory_table(worded.withColumn(
         "message", messages.with_summary(F.col("text"), F.col("pred_summary"))

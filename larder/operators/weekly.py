@@ -106,19 +106,18 @@ def weekly_balance(plan: DataFrame, policy: Policy, start_stock: DataFrame | Non
     recipe line of the week's special, 0 for none) feed `balance_advisories`. The only
     sequential state is the stock per recipe line.
     """
-    columns = [
-        "date", "qty_total", "is_start", "counted", "delivery", "week_mean", "week_qty",
-        "specials", "special_day", "nth_special", "week_start", "week_end",
-    ]
+    kept = ["date", "qty_total", "special_day", "nth_special", "week_start", "week_end"]
+    kept += [c for c in ("forecast_method",) if c in plan.columns]
+    columns = [*kept, "is_start", "counted", "delivery", "week_mean", "week_qty", "specials"]
     nested = start_stock_columns(nest(with_week(plan, policy), columns), policy, start_stock)
-    folded = fold(nested, _balance(policy), {"buy": LONGS, "extra": LONGS, "pick": LONGS})
+    decided = {"buy": LONGS, "extra": LONGS, "pick": LONGS}
+    folded = fold(nested, _balance(policy), decided, keep=["series", "n", *kept])
     width = len(policy.recipe)
     per_day = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("buy", i * width + 1, F.lit(width))
     )
     days = unnest(
-        folded.withColumn("buy", per_day),
-        ["date", "qty_total", "special_day", "nth_special", "week_start", "week_end", "buy", "extra", "pick"],
+        folded.withColumn("buy", per_day), [*kept, *decided],
     )
     fill = special_fill(F.col("extra"), policy.special_boost_max_per_day, F.col("nth_special"))
     added = F.when(F.col("special_day") == 1, fill).otherwise(0)
@@ -128,7 +127,8 @@ def weekly_balance(plan: DataFrame, policy: Policy, start_stock: DataFrame | Non
 
 
 def balance_plan(days: DataFrame) -> DataFrame:
-    return days.select("series", "date", "qty_sold", "special_added", "qty_total")
+    given = [c for c in ("forecast_method",) if c in days.columns]
+    return days.select("series", "date", "qty_sold", "special_added", "qty_total", *given)
 
 
 def balance_advisories(days: DataFrame, policy: Policy) -> DataFrame:

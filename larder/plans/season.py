@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larder.operators.advisories import unpivot_signals, weekly_advisories
 from larder.operators.exports import advisory_export, plan_export, with_window
 from larder.operators.features import split_features, training_rows
-from larder.operators.forecast import as_plan, forecast_demand, recursive_forecast, with_need_columns
+from larder.operators.forecast import LONGEST_WINDOW, as_plan, forecast_demand, forecast_with, with_need_columns
 from larder.operators.ledger import daily_signals
 from larder.operators.ridge import fit_best_alpha
 from larder.operators.scheduler import schedule, schedule_advisories, scheduled_plan
@@ -23,11 +23,18 @@ from larder.sources.published import publish
 from larder.sources.sales import read_csv
 from larder.tables import Policy
 
+FILES_PER_WINDOW = 32
+
+
+def in_order(advisories: DataFrame) -> DataFrame:
+    """Advisories by series, day and type within each file, as readers show them."""
+    return advisories.sortWithinPartitions("series", "date", "type")
+
 
 def season_days(history: DataFrame, policy: Policy, bootstrap: bool = False) -> DataFrame:
     """Forecast every series and schedule the forecast days."""
     forecast = forecast_demand(history, policy, bootstrap)
-    return schedule(as_plan(forecast.drop("forecast_method")), policy)
+    return schedule(as_plan(forecast), policy)
 
 
 def run_season(history: DataFrame, policy: Policy, out: str, run_id: str) -> None:
@@ -38,7 +45,7 @@ def run_season(history: DataFrame, policy: Policy, out: str, run_id: str) -> Non
     days = settle(season_days(history, policy), "season")
     plan = with_need_columns(scheduled_plan(days), policy)
     publish(plan_export(plan), f"{out}/plan", run_id)
-    publish(advisory_export(schedule_advisories(days, policy)), f"{out}/advisories", run_id)
+    publish(in_order(advisory_export(schedule_advisories(days, policy))), f"{out}/advisories", run_id)
 
 
 def weekly_days(
@@ -47,9 +54,9 @@ def weekly_days(
     """Tune and fit on the train part, forecast after the history, balance week by week."""
     train, _ = split_features(history, last_train_day)
     model = fit_best_alpha(training_rows(train))
-    forecast = recursive_forecast(history, model, policy, full_only=True)
+    forecast = forecast_with(history, model, policy, LONGEST_WINDOW)
     opening = None if stock is None else last_stock(stock)
-    return weekly_balance(as_plan(forecast.select("series", "date", "qty_sold")), policy, opening)
+    return weekly_balance(as_plan(forecast.select("series", "date", "qty_sold", "forecast_method")), policy, opening)
 
 
 def weekly_tables(
@@ -76,8 +83,10 @@ def run_weekly(
     days = settle(weekly_days(history, policy, last_train_day, stock), "weekly")
     plan, signals, advisories = weekly_tables(days, policy, stock)
     wide = with_signal_columns(plan, signals, policy)
-    publish(with_window(plan_export(wide)), f"{out}/plan", run_id, "window_start", "window_end")
-    publish(advisory_export(advisories), f"{out}/advisories", run_id)
+    windows = ("window_start", "window_end")
+    placed = with_window(plan_export(wide)).repartition(*windows, F.pmod(F.xxhash64("series"), F.lit(FILES_PER_WINDOW)))
+    publish(placed, f"{out}/plan", run_id, *windows)
+    publish(in_order(advisory_export(advisories)), f"{out}/advisories", run_id)
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
@@ -93,4 +102,4 @@ def run_advisories_from_plan(spark: SparkSession, plan_path: str, out: str, run_
     signals = unpivot_signals(read_plan(spark, plan_path))
     source = plan_path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
     advisories = weekly_advisories(signals, policy).withColumn("source", F.lit(source))
-    publish(advisory_export(advisories), out, run_id, "source")
+    publish(in_order(advisory_export(advisories)), out, run_id, "source")

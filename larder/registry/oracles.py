@@ -132,8 +132,8 @@ SELECT series, count(*) AS rows, min(date) AS first_day, max(date) AS last_day,
 ORACLES["sample_rows"] = f"WITH {DAILY} SELECT series, date, qty_sold FROM daily ORDER BY date, series LIMIT 5"
 
 ORACLES["sales_upsert"] = f"""WITH {DAILY}
-SELECT series, count(*) AS days, sum(qty_sold) AS qty_sold, max(date) AS last_day
-FROM daily WHERE series % 2 = 0 OR date < DATE '2000-01-01' GROUP BY series"""
+SELECT series, count(*) AS days, sum(CASE WHEN series % 2 = 0 THEN 2 * qty_sold ELSE qty_sold END) AS qty_sold,
+       max(date) AS last_day FROM daily GROUP BY series"""
 
 ORACLES["latest_snapshot"] = f"""WITH {DENSE}
 SELECT series, count(*) AS days, CAST(sum(qty_sold) AS BIGINT) AS qty_total FROM dense GROUP BY series"""
@@ -279,6 +279,24 @@ FROM (SELECT series, qty_sold - lag(qty_sold, 7) OVER {BY_DAY} AS r FROM dense)
 
 # --- forecasts -----------------------------------------------------------------------------------------
 
+DRAWS = 500
+LOW, HIGH = 0.05 / 2 * (DRAWS - 1), (1 - 0.05 / 2) * (DRAWS - 1)
+
+
+def drawn_quantile(at: float) -> str:
+    first, second = (f"max(resid) FILTER (place = {int(at) + k})" for k in (1, 2))
+    return f"round({first} + ({second} - {first}) * {at - int(at)!r}, 6)"
+
+
+ORACLES["residual_bootstrap"] = f"""WITH {DENSE},
+lagged AS (SELECT series, date, qty_sold - lag(qty_sold, 7) OVER {BY_DAY} AS resid FROM dense),
+known AS (SELECT series, list(resid ORDER BY date) AS resids FROM lagged WHERE resid IS NOT NULL GROUP BY series),
+draws AS (
+  SELECT series, resids[1 + ('0x' || substr(md5('0#' || series || '#' || b), 1, 15))::BIGINT % len(resids)] AS resid
+  FROM known, range({DRAWS}) AS r(b)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY resid) AS place FROM draws)
+SELECT series, {drawn_quantile(LOW)} AS q_lo, {drawn_quantile(HIGH)} AS q_hi FROM placed GROUP BY series"""
+
 ORACLES["forecast_spine"] = f"""WITH {DENSE}, {ahead(90)}
 SELECT series, step, date FROM ahead WHERE date <= DATE '2001-12-31'"""
 
@@ -341,6 +359,16 @@ FROM (SELECT *, mean14 + (step % 7 - 3) * 0.5 AS level FROM ahead)"""
 ORACLES["recipe_need"] = f"""WITH {PLAN}, {RECIPE}
 SELECT series, date, ingredient, qty_total * per_item AS need FROM plan CROSS JOIN recipe"""
 
+ORACLES["recipe_table_need"] = f"""WITH {PLAN},
+lines AS (
+  SELECT s_suppkey AS series, ingredient, 1 + (s_suppkey + k) % 3 AS per_item,
+         CASE WHEN k < 2 THEN 10 * (1 + s_suppkey % 5) END AS lot
+  FROM supplier CROSS JOIN (VALUES (0, 'apples'), (1, 'dough'), (2, 'cinnamon')) AS i(k, ingredient)
+  WHERE (s_suppkey + k) % 4 <> 3)
+SELECT series, date, ingredient, (qty_total * per_item)::DOUBLE AS need,
+  CASE WHEN lot IS NULL THEN qty_total * per_item ELSE (qty_total * per_item + lot - 1) // lot * lot END AS lots_needed
+FROM plan JOIN lines USING (series)"""
+
 # --- stock and policy ------------------------------------------------------------------------------------
 
 ORACLES["restock_flags"] = f"""WITH {STOCK}
@@ -391,13 +419,10 @@ FROM plan CROSS JOIN recipe"""
 ORACLES["lead_demand"] = f"""WITH {PLAN}
 SELECT series, date, CAST(sum(qty_total) OVER {over(0, LEAD - 1)} AS BIGINT) AS lead_demand FROM plan"""
 
-ORACLES["future_need"] = f"""WITH {PLAN}, numbered AS (
-  SELECT *, sum(qty_total) OVER {BY_DAY} AS so_far, row_number() OVER {BY_DAY} AS i,
-         count(*) OVER (PARTITION BY series) AS n FROM plan), {RECIPE}
-SELECT a.series, a.date, ingredient,
-       CAST(round_even((b.so_far - a.so_far) * per_item, 0) AS BIGINT) AS future_need
-FROM numbered a CROSS JOIN recipe r
-JOIN numbered b ON b.series = a.series AND b.i = least(a.i + r.expiry_days, a.n)"""
+ORACLES["future_need"] = f"WITH {PLAN}\n" + "\nUNION ALL\n".join(
+    f"""SELECT series, date, '{i}' AS ingredient,
+       CAST(round_even(coalesce(sum(qty_total) OVER {over(1, EXPIRY[i])}, 0) * {float(PER[i])}::DOUBLE, 0) AS BIGINT) AS future_need
+FROM plan""" for i in POLICY.ingredients)
 
 RUNNING = f"""{PLAN}, {RECIPE},
 needs AS (SELECT series, date, ingredient, pos, qty_total * per_item AS need FROM plan CROSS JOIN recipe),
@@ -593,7 +618,16 @@ ORACLES["schedule_plan"] = f"""WITH RECURSIVE {scheduled(PLAN)}
 SELECT series, date, qty_sold, CAST(qty_total + add_a + add_b AS BIGINT) AS qty_total,
        CAST(add_a + add_b AS BIGINT) AS special_added FROM done"""
 
-SUMMARY = "CASE WHEN pred_mean IS NOT NULL THEN printf('Pred %.1f (%.1f–%.1f)', pred_mean, pred_lower, pred_upper) END"
+
+
+def one_place(number: str) -> str:
+    return f"round_even({number}, 1)::DECIMAL(38, 1)::VARCHAR"
+
+
+SUMMARY = (
+    f"CASE WHEN pred_mean IS NOT NULL THEN 'Pred ' || {one_place('pred_mean')} || ' (' || {one_place('pred_lower')}"
+    f" || '–' || {one_place('pred_upper')} || ')' END"
+)
 
 
 def buy_text(i: str, x: str) -> str:
@@ -646,17 +680,17 @@ ORACLES["weekly_advisories"] = f"WITH {WEEKLY} SELECT * FROM weekly"
 ORACLES["advisory_predictions"] = f"""WITH {PLAN}
 SELECT series, date, concat_ws(' — ', 'order ' || qty_total, {SUMMARY}) AS message, round(pred_mean, 6) AS pred_mean,
   round(pred_lower, 6) AS pred_lower, round(pred_upper, 6) AS pred_upper, {SUMMARY} AS pred_summary
-FROM plan WHERE day(date) = 1"""
+FROM plan"""
 
 WEEKEND = "Apple Turnovers, Apple Cider Donuts, Mini Apple Hand Pies"
-NOTICE = "'Based on recent average: ' || printf('%.1f', mean7) || ' items per day'"
+NOTICE = f"'Based on recent average: ' || {one_place('mean7')} || ' items per day'"
 SATURDAY = "(last_day + 1 + CAST((13 - isodow(last_day + 1)) % 7 AS INTEGER))"
 ORACLES["fallback_advisories"] = f"""WITH {DENSE}, {RECENT}
 SELECT series, last_day + 1 AS date, 'forecast' AS type, 'general' AS ingredient, NULL::BIGINT AS qty,
   NULL::BIGINT AS special_qty, {NOTICE} AS message, NULL::VARCHAR AS suggestions, NULL::VARCHAR AS reason FROM recent
 UNION ALL
 SELECT series, last_day + 1, 'BUY_{A.upper()}', '{A}', {POLICY.lots[A]}, 0, (last_day + 1)::VARCHAR
-  || ': BUY {POLICY.lots[A]} {A} - based on recent demand of ' || printf('%.1f', mean14) || ' items/day', '', 'projected_demand' FROM recent
+  || ': BUY {POLICY.lots[A]} {A} - based on recent demand of ' || {one_place('mean14')} || ' items/day', '', 'projected_demand' FROM recent
 UNION ALL
 SELECT series, {SATURDAY}, 'SPECIAL_{A.upper()}', '{A}', NULL, greatest(3, CAST(trunc(mean14 * 0.3) AS BIGINT)),
   {SATURDAY}::VARCHAR || ': Weekend special recommended - surplus expected', '{WEEKEND}', 'weekend_surplus' FROM recent
@@ -676,6 +710,8 @@ SELECT ingredient, seed, string_agg(item, ', ' ORDER BY rank) AS ideas FROM (
   SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '#' || pool || '#' || item)) AS rank
   FROM asked JOIN menu USING (pool)) WHERE rank <= 5 GROUP BY ingredient, seed"""
 
+ORACLES["menu_table"] = ORACLES["menu_seeded"]
+
 ORACLES["menu_random"] = f"WITH {ASKED} SELECT ingredient, seed, CAST(5 AS BIGINT) AS items FROM asked"
 
 # --- serving and exports --------------------------------------------------------------------------------------
@@ -684,8 +720,8 @@ BOOSTED = PLAN + """,
 boosted AS MATERIALIZED (
   SELECT series, date, qty_total + added AS qty_total, added AS special_added
   FROM (SELECT *, CASE WHEN isodow(date) >= 4 THEN qty_total % 6 ELSE 0 END AS added FROM plan))"""
-SUMS = """CAST(sum(qty_total) AS BIGINT) AS total_forecast, round(avg(qty_total), 1) AS avg_daily,
-  round(sum(special_added) * 0.5::DOUBLE, 1) AS waste_saved_lbs, round(sum(special_added) * 0.5::DOUBLE * 2.8::DOUBLE, 1) AS co2_reduced_kg"""
+SUMS = """CAST(sum(qty_total) AS BIGINT) AS total_forecast, round_even(avg(qty_total), 1) AS avg_daily,
+  round_even(sum(special_added) * 0.5::DOUBLE, 1) AS waste_saved_lbs, round_even(sum(special_added) * 0.5::DOUBLE * 2.8::DOUBLE, 1) AS co2_reduced_kg"""
 
 ORACLES["forecast_summary"] = f"WITH {BOOSTED} SELECT series, {SUMS} FROM boosted GROUP BY series"
 
@@ -699,8 +735,8 @@ FROM (SELECT *, row_number() OVER {BY_DAY} AS i FROM boosted) WHERE i <= 14 GROU
 FEED = WEEKLY + f""",
 {RECENT},
 mixed AS (
-  SELECT series, date, type, message, ingredient FROM weekly WHERE series % 2 = 0
-  UNION ALL SELECT series, last_day + 1, 'forecast', {NOTICE}, 'general' FROM recent WHERE series % 2 = 1),
+  SELECT series, date, type, message, ingredient FROM weekly
+  UNION ALL SELECT -series, last_day + 1, 'forecast', {NOTICE}, 'general' FROM recent),
 feed AS MATERIALIZED (
   SELECT series, date, type, CASE WHEN lone THEN '{PLACEHOLDER_PREFIX}: ' || message ELSE message END AS message,
          ingredient, NULL::VARCHAR AS suggestions, NULL::BIGINT AS special_qty, NULL::BIGINT AS qty, lone AS is_placeholder
@@ -749,8 +785,7 @@ valid AS (SELECT *, lower(email) AS email_lc FROM signups WHERE regexp_matches(e
 
 ORACLES["signup_dedupe"] = f"""WITH {SIGNUPS}
 SELECT email_lc, email, ts, event_id FROM valid v
-WHERE ts >= TIMESTAMP '2024-01-05' AND email_lc NOT IN (
-  SELECT email_lc FROM valid WHERE ts < TIMESTAMP '2024-01-05' AND event_id % 3 = 0)
+WHERE email_lc NOT IN (SELECT email_lc FROM valid WHERE md5(email_lc) < '8')
 QUALIFY row_number() OVER (PARTITION BY email_lc ORDER BY ts, email, event_id) = 1"""
 
 ORACLES["signup_count"] = f"WITH {SIGNUPS} SELECT count(DISTINCT email_lc) AS signups FROM valid"
@@ -784,13 +819,14 @@ plan AS MATERIALIZED (
          CAST(w.recent[-1] AS BIGINT) AS qty_total, mean AS pred_mean
   FROM walk w JOIN opening o USING (series) WHERE step > 0)""") + """
 SELECT series, date, qty_sold, CAST(qty_total + add_a + add_b AS BIGINT) AS qty_total,
-       CAST(add_a + add_b AS BIGINT) AS special_added, round(pred_mean, 6) + 0.0 AS pred_mean FROM done"""
+       CAST(add_a + add_b AS BIGINT) AS special_added, round(pred_mean, 6) + 0.0 AS pred_mean, 'ridge' AS forecast_method FROM done"""
 
 ORACLES["weekly_run"] = "WITH RECURSIVE " + balanced(f"""{STOCK}, {BEST.split(DENSE + ",", 1)[1]},
 {rolled('fitted', 30)},
 plan AS MATERIALIZED (
   SELECT series, last_day + step AS date, CAST(w.recent[-1] AS BIGINT) AS qty_total
-  FROM walk w JOIN opening o USING (series) WHERE step > 0)""") + f", {FILLED}"
+  FROM walk w JOIN opening o USING (series) WHERE step > 0)""") + f", {FILLED}".replace(
+    "AS qty_total\nFROM", "AS qty_total, 'ridge' AS forecast_method\nFROM")
 
 ORACLES["entry_slice"] = f"""WITH {DENSE}, {ahead(30)},
 plan AS (SELECT series, CAST(trunc(mean7) AS BIGINT) AS qty_total, 0 AS special_added FROM ahead)

@@ -16,7 +16,7 @@ from larder.plans import season
 from larder.registry import inputs
 from larder.registry.inputs import LAST_TRAIN_DAY, POLICY
 from larder.session import shared_folder
-from larder.sources import published, sales
+from larder.sources import policy, published, sales
 from larder.streaming import sales as sales_stream
 from larder.streaming import signups as signup_stream
 from larder.tables import FEATURES
@@ -87,7 +87,7 @@ def csv_payload(spark, sf):
     payloads = texts.select(
         "series", F.concat(header, F.lit("\n"), F.array_join("_lines", "\n")).alias("csv_content")
     )
-    rows = sales.good_rows(sales.validate(sales.payload_rows(payloads, max_columns=2)))
+    rows = sales.good_rows(sales.validate(sales.payload_rows(payloads)))
     return rows.select("series", "date", "qty_sold")
 
 
@@ -103,11 +103,12 @@ def sample_rows(spark, sf):
 
 @query
 def sales_upsert(spark, sf):
-    """Publish the history up to 1999, then replace the even series by their whole history."""
+    """Publish the whole history, then replace the even series by twice theirs."""
     daily = inputs.daily_sales(spark, sf)
     path = shared_folder(spark, "sales")
-    published.upsert_series(daily.where(F.col("date") < "2000-01-01"), path, published.BASE_ID, buckets=16)
-    published.upsert_series(daily.where(F.col("series") % 2 == 0), path, "1", buckets=16)
+    published.upsert_series(daily, path, published.BASE_ID, buckets=16)
+    twice = daily.where(F.col("series") % 2 == 0).withColumn("qty_sold", F.col("qty_sold") * 2)
+    published.upsert_series(twice, path, "1")
     return published.read_series(spark, path).groupBy("series").agg(
         F.count("*").alias("days"), F.sum("qty_sold").alias("qty_sold"), F.max("date").alias("last_day")
     )
@@ -311,6 +312,25 @@ def recipe_need(spark, sf):
     return forecast.recipe_need(inputs.plan(spark, sf), POLICY)
 
 
+@query
+def recipe_table_need(spark, sf):
+    """Needs by recipe and lot tables that differ from series to series."""
+    s = F.col("s_suppkey")
+    suppliers = inputs.table(spark, sf, "supplier").select(s.alias("series"), F.posexplode(
+        F.array(F.lit("apples"), F.lit("dough"), F.lit("cinnamon"))).alias("k", "ingredient"))
+    recipe = suppliers.where((F.col("series") + F.col("k")) % 4 != 3).withColumn("per_item", 1 + (F.col("series") + F.col("k")) % 3)
+    lots = suppliers.where(F.col("k") != 2).withColumn("lot_size", 10 * (1 + F.col("series") % 5))
+    lines = policy.recipe_lines(recipe, lots)
+    return policy.need_by_table(inputs.plan(spark, sf), lines)
+
+
+@query
+def menu_table(spark, sf):
+    """The same ideas as `menu_seeded`, from a menu kept as a table."""
+    items = [(i, item) for i, pool in POLICY.menu.items() for item in pool]
+    return policy.ideas_by_table(_asked(spark, sf), spark.createDataFrame(items, "ingredient string, item string"))
+
+
 # --- stock and policy ------------------------------------------------------------------------
 
 
@@ -499,9 +519,9 @@ def weekly_advisories(spark, sf):
 
 @query
 def advisory_predictions(spark, sf):
-    """A note per series and month start with that day's prediction attached."""
+    """A note per series and day with that day's prediction attached."""
     plan = inputs.plan(spark, sf)
-    notes = plan.where(F.dayofmonth("date") == 1).select(
+    notes = plan.select(
         "series", "date", F.concat(F.lit("order "), F.col("qty_total").cast("string")).alias("message")
     )
     rows = advisories.attach_predictions(notes, plan)
@@ -570,11 +590,11 @@ def next_points(spark, sf):
 
 
 def _mixed_advisories(spark, sf) -> DataFrame:
-    """A lone average notice for odd series; weekly advice for even ones."""
+    """Each series' weekly advice, and its average notice as a table of its own (a negative series)."""
     past = inputs.history(spark, sf)
     weekly_rows = advisories.weekly_advisories(advisories.unpivot_signals(_signal_columns(spark, sf)), POLICY)
-    notices = advisories.average_notice(past).where(F.col("series") % 2 == 1)
-    return notices.unionByName(weekly_rows.where(F.col("series") % 2 == 0))
+    notices = advisories.average_notice(past).withColumn("series", -F.col("series"))
+    return notices.unionByName(weekly_rows)
 
 
 @query
@@ -642,12 +662,11 @@ def accuracy_report(spark, sf):
 
 @query
 def signup_dedupe(spark, sf):
-    """New signups of the later half of the table against those of the earlier half."""
+    """All signups against a register of about half the addresses."""
     rows = inputs.signups(spark, sf)
-    earlier = rows.where(F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz"))
-    earlier = people.first_signups(people.valid_signups(earlier.where(F.col("event_id") % 3 == 0)))
-    later = rows.where(F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz"))
-    return people.new_signups(later, earlier).select("email_lc", "email", "ts", "event_id")
+    first = people.first_signups(people.valid_signups(rows))
+    registered = first.where(F.md5(F.col("email_lc").cast("binary")) < "8")
+    return people.new_signups(rows, registered).select("email_lc", "email", "ts", "event_id")
 
 
 @query
@@ -673,18 +692,16 @@ def contacts_latest(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    """The sales as CSV drops, streamed into the published table."""
+    """The sales as CSV drops, streamed into the published table a few files at a time."""
     daily = inputs.daily_sales(spark, sf)
     folder = shared_folder(spark, "drops")
     qty = F.when(F.dayofmonth("date") == 13, "n/a").otherwise(F.col("qty_sold").cast("string"))
     daily.select(
         F.col("series").cast("string").alias("series"), F.date_format("date", "yyyy-MM-dd").alias("date"),
-        qty.alias("qty_sold"),
-    ).write.option("header", True).csv(f"{folder}/in")
-    running = sales_stream.ingest(
-        sales_stream.read_drops(spark, f"{folder}/in"), f"{folder}/sales", f"{folder}/rejected", f"{folder}/state"
-    )
-    running.awaitTermination()
+        qty.alias("qty_sold"), F.lit("u1").alias("upload"),
+    ).repartition(8, "series", "date").write.option("header", True).csv(f"{folder}/in")
+    drops = sales_stream.read_drops(spark, f"{folder}/in", files_at_once=3)
+    sales_stream.ingest(drops, f"{folder}/sales", f"{folder}/rejected", f"{folder}/state").awaitTermination()
     good = published.read_series(spark, f"{folder}/sales").groupBy("series").agg(
         F.count("*").alias("days"), F.sum("qty_sold").alias("qty_sold")
     )
@@ -714,7 +731,7 @@ def season_run(spark, sf):
     """History to scheduled plan: the whole current run, 30 days ahead."""
     days = season.season_days(inputs.history(spark, sf), POLICY.with_(horizon_days=30))
     return scheduler.scheduled_plan(days).select(
-        "series", "date", "qty_sold", "qty_total", "special_added", r6("pred_mean")
+        "series", "date", "qty_sold", "qty_total", "special_added", r6("pred_mean"), "forecast_method"
     )
 
 

@@ -1,48 +1,56 @@
-"""Planning parameters kept as tables.
+"""Recipe, lot and shelf-life tables, by series and ingredient.
 
-They are settings: a line per ingredient or menu item. Each table is counted up to a
-limit before its rows come to the driver, where they become literals of the plans.
+They are joined, whatever their size; which side is sent where is the optimiser's choice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from larder.tables import Policy
+from larder.functions.quantities import round_up_lot
+from larder.tables import DEFAULT_SHELF_LIFE_DAYS
 
-MOST_ROWS = 10_000
 
+def recipe_lines(recipe: DataFrame, lots: DataFrame | None = None, shelf_life: DataFrame | None = None,
+                 lead_time_days: int = 2) -> DataFrame:
+    """lines(series, ingredient, per_item, lot_size, expiry_days).
 
-def _settings(table: DataFrame, *columns: str) -> list[tuple]:
-    rows = table.select(*columns).limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} rows of settings in {columns}")
-    return [tuple(r) for r in rows]
-
-
-def policy_from_tables(
-    recipe: DataFrame | None = None,
-    lots: DataFrame | None = None,
-    shelf_life: DataFrame | None = None,
-    menu: DataFrame | None = None,
-    base: Policy | None = None,
-) -> Policy:
-    """A policy whose tables replace those of `base`; an absent table keeps them.
-
-    recipe(ingredient, pos, per_item), lots(ingredient, lot_size),
-    shelf_life(ingredient, days), menu(ingredient, pos, item)
+    recipe(series, ingredient, per_item), lots(series, ingredient, lot_size),
+    shelf_life(ingredient, days). A missing lot size is 0, a missing shelf life the default.
+    """
+    lines = recipe.select("series", "ingredient", F.col("per_item").cast("double").alias("per_item"))
+    if lots is None:
+        lines = lines.withColumn("lot_size", F.lit(0).cast("bigint"))
+    else:
+        lines = lines.join(lots.select("series", "ingredient", "lot_size"), ["series", "ingredient"], "left")
+    if shelf_life is None:
+        lines = lines.withColumn("days", F.lit(None).cast("int"))
+    else:
+        lines = lines.join(shelf_life.select("ingredient", "days"), "ingredient", "left")
+    shelf = F.coalesce("days", F.lit(DEFAULT_SHELF_LIFE_DAYS))
+    return lines.select(
+        "series", "ingredient", "per_item", F.coalesce("lot_size", F.lit(0)).cast("bigint").alias("lot_size"),
+        (F.lit(lead_time_days) + F.floor(shelf / 2)).cast("int").alias("expiry_days"),
+    )
+
+
+def need_by_table(plan: DataFrame, lines: DataFrame, qty: str = "qty_total") -> DataFrame:
+    """need(series, date, ingredient, need, lots_needed): each series by its own recipe."""
+    need = F.col(qty) * F.col("per_item")
+    return plan.select("series", "date", qty).join(lines, "series").select(
+        "series", "date", "ingredient", need.alias("need"), round_up_lot(need, F.col("lot_size")).alias("lots_needed"))
+
+
+def ideas_by_table(asked: DataFrame, menu: DataFrame, count: int = 5, default: str = "_default") -> DataFrame:
+    """ideas(ingredient, seed, ideas) out of menu(ingredient, item), the default pool for unknown ones.
+
+    Items of a pool are ranked by a hash with the seed, as `hashed_ideas` ranks them.
     """
-    changes: dict[str, dict] = {}
-    if recipe is not None:
-        lines = sorted(_settings(recipe, "pos", "ingredient", "per_item"))
-        changes["recipe"] = {ingredient: per_item for _, ingredient, per_item in lines}
-    if lots is not None:
-        changes["lots"] = dict(_settings(lots, "ingredient", "lot_size"))
-    if shelf_life is not None:
-        changes["shelf_life"] = dict(_settings(shelf_life, "ingredient", "days"))
-    if menu is not None:
-        pools: dict[str, list] = {}
-        for ingredient, _, item in sorted(_settings(menu, "ingredient", "pos", "item")):
-            pools.setdefault(ingredient, []).append(item)
-        changes["menu"] = pools
-    return (base or Policy()).with_(**changes)
+    pools = menu.select("ingredient").distinct().select(F.col("ingredient").alias("pool"))
+    pooled = asked.join(pools, F.col("ingredient") == F.col("pool"), "left").withColumn(
+        "pool", F.coalesce("pool", F.lit(default)))
+    offered = pooled.join(menu.select(F.col("ingredient").alias("pool"), "item"), "pool")
+    rank = F.struct(F.md5(F.concat_ws("#", F.col("seed").cast("string"), "pool", "item").cast("binary")).alias("rank"), "item")
+    picked = offered.groupBy("ingredient", "seed").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, count).alias("_p"))
+    return picked.select("ingredient", "seed", F.array_join(F.col("_p.item"), ", ").alias("ideas"))

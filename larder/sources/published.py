@@ -40,6 +40,20 @@ def read_latest(spark: SparkSession, path: str, schema=None) -> DataFrame | None
 
 # --- tables replaced series by series ---------------------------------------------------
 
+UPLOAD = "upload"
+
+
+def newest_upload(rows: DataFrame) -> DataFrame:
+    """Of every series the rows of its newest upload; a day given twice in one is summed.
+
+    Upload names sort by age; rows without one are older than any.
+    """
+    named = rows if UPLOAD in rows.columns else rows.withColumn(UPLOAD, F.lit(""))
+    named = named.withColumn(UPLOAD, F.coalesce(UPLOAD, F.lit("")))
+    summed = named.groupBy("series", "date", UPLOAD).agg(F.sum("qty_sold").alias("qty_sold"))
+    newest = summed.groupBy("series").agg(F.max(UPLOAD).alias(UPLOAD))
+    return summed.join(newest, ["series", UPLOAD]).select("series", "date", "qty_sold", UPLOAD)
+
 
 def replace_series(current: DataFrame, upload: DataFrame) -> DataFrame:
     """Sales after an upload: its series are replaced whole, all others are kept."""
@@ -51,36 +65,62 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64(F.col("series").cast("string")), F.lit(buckets)).cast("int")
 
 
-def read_series(spark: SparkSession, path: str, before: str | None = None, only=None) -> DataFrame | None:
-    """The current rows: each bucket's newest snapshot (older than `before`, if given)."""
+def _series_log(spark: SparkSession, path: str, writing: str | None = None) -> DataFrame | None:
+    """(id, bucket, turn) of the landed snapshots; while one is written, those before it."""
     log = _log(spark, path)
+    if log is None or writing is None:
+        return log
+    own = log.where(F.col("id") == writing).agg(F.min("turn")).first()[0]
+    return log if own is None else log.where(F.col("turn") < own)
+
+
+def _read_buckets(spark: SparkSession, path: str, log: DataFrame | None, only=None) -> DataFrame | None:
     if log is None:
         return None
-    if before is not None:
-        log = log.where(F.col("id") < before)
-    newest = log.groupBy("bucket").agg(F.max("id").alias("id")).collect()  # one row per bucket
+    newest = log.groupBy("bucket").agg(F.max_by("id", "turn").alias("id")).collect()  # one row per bucket
     folders = [f"{path}/snapshot={r.id}/bucket={r.bucket}" for r in newest if only is None or r.bucket in only]
     return spark.read.parquet(*folders) if folders else None
 
 
-def upsert_series(upload: DataFrame, path: str, snapshot: str, buckets: int = BUCKETS) -> None:
-    """Replace the upload's series. Only the buckets they fall in are rewritten.
+def read_series(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current rows (series, date, qty_sold): each bucket's newest snapshot."""
+    rows = _read_buckets(spark, path, _series_log(spark, path))
+    return None if rows is None else rows.select("series", "date", "qty_sold")
+
 
-    Running the same snapshot id again writes the same result over.
+def upsert_series(upload: DataFrame, path: str, snapshot: str, buckets: int | None = None) -> None:
+    """Merge an upload: of every series the newest upload stays. Only touched buckets are rewritten.
+
+    The number of buckets is chosen when the table is made (BUCKETS if not given) and kept in
+    its log. Snapshots are ordered by the turn they landed in; the same id again is the
+    same snapshot written over, from what stood before it.
     """
     spark = upload.sparkSession
-    keyed = upload.withColumn("bucket", _bucket(buckets)).persist()
-    touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # at most `buckets` rows
+    log = _log(spark, path)
+    made_with = None if log is None else log.agg(F.max("buckets")).first()[0]
+    if made_with is not None and buckets not in (None, made_with):
+        raise ValueError(f"the table has {made_with} buckets, not {buckets}")
+    buckets = made_with or buckets or BUCKETS
+    landed = None if log is None else log.agg(F.max("turn"), F.max(F.when(F.col("id") == snapshot, F.col("turn")))).first()
+    turn = 0 if landed is None else landed[1] if landed[1] is not None else landed[0] + 1
+    if UPLOAD not in upload.columns and snapshot != BASE_ID:  # newer than what has landed
+        age = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")
+        upload = upload.withColumn(UPLOAD, F.concat_ws("|", age, F.lit(snapshot)))
+    arrived = newest_upload(upload).withColumn("bucket", _bucket(buckets)).persist()
+    touched = [r.bucket for r in arrived.select("bucket").distinct().collect()]  # at most `buckets` rows
     if touched:
-        current = read_series(spark, path, before=snapshot, only=set(touched))
-        merged = upload if current is None else replace_series(current, upload)
+        current = _read_buckets(spark, path, _series_log(spark, path, snapshot), set(touched))
+        merged = arrived.drop("bucket")
+        if current is not None:
+            merged = newest_upload(current.unionByName(merged))
         # ranges end within a long series too, and a task writes to few buckets
-        order = [c for c in ("bucket", "series", "date") if c in ("bucket", *merged.columns)]
-        spread = merged.withColumn("bucket", _bucket(buckets)).repartitionByRange(*order)
+        spread = merged.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket", "series", "date")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshot={snapshot}")
-        log = spark.createDataFrame([(snapshot, b) for b in touched], "id string, bucket int")
-        log.coalesce(1).write.mode("append").parquet(f"{path}/published")
-    keyed.unpersist()
+        if landed is None or landed[1] is None:
+            entries = spark.createDataFrame(
+                [(snapshot, b, turn, buckets) for b in touched], "id string, bucket int, turn bigint, buckets int")
+            entries.coalesce(1).write.mode("append").parquet(f"{path}/published")
+    arrived.unpersist()
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -2,80 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.tables import REQUIRED_SALES_COLUMNS
 
 CSV_FILES = "*.[cC][sS][vV]"
+FIRST_DAY, LAST_DAY = "1900-01-01", "2199-12-31"
 
 
-def read_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """CSV files as strings, columns bound by name.
+# Stand for line and field ends while quoted text is set apart; noncharacters, in no valid text.
+LINE_END, FIELD_END = "\ufdd0", "\ufdd1"
+
+
+def records(text: Column) -> Column:
+    """CSV text -> array of records, each an array of fields of any number.
 
-    Files below one path share a layout: a file whose header differs raises instead of
-    being read with swapped columns. Layouts that differ are passed as several paths.
+    Between quotes line ends and commas are text, and two quotes are one. Cut at the quotes,
+    every second part is quoted; an empty part between two quoted ones is a doubled quote.
     """
-    frames = [
-        spark.read.option("header", True).option("enforceSchema", False)
-        .option("pathGlobFilter", CSV_FILES).csv(path)
-        for path in paths
-    ]
-    table = frames[0]
-    for other in frames[1:]:
-        table = table.unionByName(other, allowMissingColumns=True)
-    return table
+    parts = F.split(text, '"')
+    plain = F.transform(parts, lambda part, i: F.when(i % 2 == 1, part).when(
+        (part == "") & (i > 0) & (i < F.size(parts) - 1), '"'
+    ).otherwise(F.replace(F.regexp_replace(part, r"\r\n|\r|\n", LINE_END), F.lit(","), F.lit(FIELD_END))))
+    return F.transform(F.split(F.array_join(plain, ""), LINE_END), lambda line: F.split(line, FIELD_END))
 
 
-def is_csv_name(name) -> F.Column:
-    return F.lower(name).rlike(r"\.csv$")
+def is_blank(record: Column) -> Column:
+    return (F.size(record) == 1) & (F.btrim(record[0]) == "")
 
 
-def check_columns(columns: list[str], required=REQUIRED_SALES_COLUMNS) -> None:
-    missing = [c for c in required if c not in columns]
-    if missing:
-        raise ValueError(f"CSV must contain columns: {list(required)}. Found: {list(columns)}")
+def field(header: Column, record: Column, name: str) -> Column:
+    """The record's field below a header name; null where the header lacks it."""
+    at = F.array_position(F.transform(header, lambda c: F.btrim(c)), name)
+    return F.when(at > 0, F.get(record, (at - 1).cast("int")))
 
 
-def payload_rows(payloads: DataFrame, content: str = "csv_content", max_columns: int = 32) -> DataFrame:
-    """CSV text in a column -> one row per data line, (*other columns, line, date, qty_sold).
+def with_own_header(lines: DataFrame) -> DataFrame:
+    """lines(value, file, block_start) -> (file, header, record), the header lines left out.
 
-    Every payload's own header line binds its columns by name. A payload without a
-    required column yields rows whose value is null there, for `validate` to reject.
+    A file's header is its first line, the one with the smallest row number in the block at the
+    file's start.
     """
-    others = [c for c in payloads.columns if c != content]
-    fields = F.lit(", ".join(f"c{i} string" for i in range(max_columns)))
+    numbered = lines.withColumn("at", F.monotonically_increasing_id())
+    heads = numbered.where("block_start = 0").groupBy("file").agg(
+        F.min("at").alias("head_at"), F.min_by("value", "at").alias("head"))
+    body = numbered.join(heads, "file").where(F.col("at") != F.col("head_at"))
+    parsed = body.select(
+        *(c for c in lines.columns if c != "value"), records(F.col("head"))[0].alias("header"), records(F.col("value"))[0].alias("record"))
+    return parsed.where(~is_blank(F.col("record")))
+
+
+def file_lines(reader, *paths: str) -> DataFrame:
+    """Lines of CSV files with their file, its time and the place of their block."""
+    text = reader.option("pathGlobFilter", CSV_FILES).text(list(paths) if len(paths) > 1 else paths[0])
+    return text.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_modification_time").alias("written"))
+
 
-    def cells(row: str):
-        return F.array(*[F.col(f"{row}.c{i}") for i in range(max_columns)])
+def read_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """CSV files as strings, columns bound by each file's own header.
+
+    Layouts may differ from file to file; the result has the columns of all of them, null
+    where a file lacks one. The headers that occur are few and are looked at first.
+    """
+    rows = with_own_header(file_lines(spark.read, *paths))
+    layouts = rows.select(F.transform("header", lambda c: F.btrim(c)).alias("header")).distinct().collect()
+    names = dict.fromkeys(name for row in sorted(layouts, key=lambda r: r["header"]) for name in row["header"])
+    return rows.select(*[field(F.col("header"), F.col("record"), name).alias(name) for name in names])
+
+
+def check_columns(columns: list[str], required=REQUIRED_SALES_COLUMNS) -> None:
+    missing = [c for c in required if c not in columns]
+    if missing:
+        raise ValueError(f"the sales table lacks {', '.join(missing)}; it has {', '.join(columns)}")
 
-    # a line is parsed into a struct first, so that its parser runs once and not per cell
-    lines = payloads.select(*others, F.split(content, "\r?\n").alias("_lines"))
-    headed = lines.withColumn("_names", F.from_csv(F.col("_lines")[0], fields))
-    header = F.transform(cells("_names"), lambda c: F.btrim(c))
-    body = headed.withColumn("_header", header).select(
-        *others, "_header", F.posexplode(F.slice("_lines", 2, F.size("_lines"))).alias("line", "_text"),
-    ).where(F.btrim("_text") != "")
-    values = body.withColumn("_row", F.from_csv("_text", fields)).withColumn("_values", cells("_row"))
 
-    def named(name: str):
-        at = F.array_position("_header", name)
-        return F.when(at > 0, F.get("_values", (at - 1).cast("int")))
+def payload_rows(payloads: DataFrame, content: str = "csv_content") -> DataFrame:
+    """CSV text in a column -> one row per record, (*other columns, line, date, qty_sold).
 
-    return values.select(*others, "line", *[named(c).alias(c) for c in REQUIRED_SALES_COLUMNS])
+    Every payload's own header binds its columns by name. A payload without a required
+    column yields rows whose value is null there, for `validate` to reject.
+    """
+    others = [c for c in payloads.columns if c != content]
+    parsed = payloads.select(*others, records(F.col(content)).alias("_records"))
+    body = parsed.select(
+        *others, F.col("_records")[0].alias("_header"),
+        F.posexplode(F.slice("_records", 2, F.size("_records"))).alias("line", "_record"),
+    ).where(~is_blank(F.col("_record")))
+    values = [field(F.col("_header"), F.col("_record"), c).alias(c) for c in REQUIRED_SALES_COLUMNS]
+    return body.select(*others, "line", *values)
 
 
-def validate(raw: DataFrame) -> DataFrame:
+def validate(raw: DataFrame, first_day: str = FIRST_DAY, last_day: str = LAST_DAY) -> DataFrame:
     """Type the required columns and add `error`, null for good rows.
 
-    The raw strings stay in `raw_date` and `raw_qty` for the quarantine table.
+    Days outside the range are bad dates: gap filling would stretch a series to them.
+    Quantities have to be finite. The raw strings stay in `raw_date` and `raw_qty` for
+    the quarantine table.
     """
     check_columns(raw.columns)
     typed = raw.withColumnsRenamed({"date": "raw_date", "qty_sold": "raw_qty"}).withColumns({
         "date": F.col("raw_date").try_cast("date"),
         "qty_sold": F.col("raw_qty").try_cast("double"),
     })
-    error = F.when(F.col("date").isNull(), "bad date").when(F.col("qty_sold").isNull(), "bad qty_sold")
+    in_range = F.col("date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
+    finite = ~F.isnan("qty_sold") & (F.abs("qty_sold") != float("inf"))
+    error = F.when(~F.coalesce(in_range, F.lit(False)), "bad date").when(
+        ~F.coalesce(finite, F.lit(False)), "bad qty_sold")
     return typed.withColumn("error", error)
 
 

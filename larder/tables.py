@@ -46,6 +46,10 @@ DEFAULT_MENU = {
         "Chef’s Choice Special 4", "Chef’s Choice Special 5", "Chef’s Choice Special 6",
     ),
 }
+DEFAULT_WEEKEND_IDEAS = ("Apple Turnovers", "Apple Cider Donuts", "Mini Apple Hand Pies")
+REASONS = {
+    "buy": "below_ROP", "special": "surplus_burn", "demand": "projected_demand", "weekend": "weekend_surplus",
+}
 
 WEEKDAY_NUMBERS = {"mon": 0, "tue": 1, "wed": 2, "thu": 3, "fri": 4, "sat": 5, "sun": 6}
 # ---------------------------------------------------------------------------
@@ -89,6 +93,7 @@ class Policy:
     shelf_life: Mapping[str, int] = field(default_factory=dict)
     start_stock: Mapping[str, int] = field(default_factory=dict)
     menu: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(DEFAULT_MENU))
+    weekend_ideas: Sequence[str] = DEFAULT_WEEKEND_IDEAS
     vendor_weekday: int | str | None = 0
     special_days: Sequence[int | str] = DEFAULT_SPECIAL_DAYS
     special_boost_max_per_day: int = 5

@@ -1,14 +1,15 @@
 import datetime as dt
 import math
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import messages
 from larder.functions.calendar import calendar_features, iso_week, iso_year
-from larder.functions.quantities import round_up_lot, safety_stock, weekday_list, whole_demand, z_scores
+from larder.functions.quantities import round_up_lot, safety_stock, weekday_list, whole, z_scores
 from larder.operators.menu import hashed_ideas, random_ideas, seeded_ideas
-from larder.sources.policy import policy_from_tables
+from larder.sources.policy import ideas_by_table, need_by_table, recipe_lines
 from larder.tables import Policy, weekday_numbers
 from tests.conftest import rows_of
 
@@ -59,8 +60,10 @@ def test_iso_year_boundary(spark):
 
 
 def test_rounding_is_half_to_even(spark):
-    found = spark.createDataFrame([(2.5,), (3.5,), (-0.4,), (-3.0,)], "x double").select(whole_demand(F.col("x")))
-    assert [r[0] for r in found.collect()] == [2, 4, 0, 0]
+    found = spark.createDataFrame([(2.5,), (3.5,), (-0.4,), (-3.0,)], "x double").select(whole(F.col("x")))
+    assert [r[0] for r in found.collect()] == [2, 4, 0, -3]
+    texts = spark.createDataFrame([(2.25,), (0.25,), (0.75,), (12345678.9,), (-0.05,)], "x double").select(messages.one_place(F.col("x")).cast("string"))
+    assert [r[0] for r in texts.collect()] == ["2.2", "0.2", "0.8", "12345678.9", "0.0"]
 
 
 def test_lots_and_safety(spark):
@@ -81,6 +84,9 @@ def test_service_level_column(spark):
     rows = spark.createDataFrame([(1, 0.5), (2, 0.95), (3, None)], "id int, sl double")
     found = rows_of(z_scores(rows, "sl").select("id", "z"), "id")
     assert found[0] == (1, 0.0) and abs(found[1][1] - 1.6448536269514722) < 1e-12 and found[2][1] is None
+    levels = [k / 4000 for k in range(1, 4000)] + [1e-12, 1e-30, 1 - 1e-12]
+    many = spark.createDataFrame([(v,) for v in levels], "sl double")
+    assert all(math.isclose(z, NormalDist().inv_cdf(v), rel_tol=1e-13, abs_tol=1e-15) for v, z in z_scores(many, "sl").collect())
 
 
 def test_summary_needs_all_three(spark):
@@ -118,11 +124,19 @@ def test_random_ideas_differ_within_a_row(spark):
 
 
 def test_policy_tables(spark):
-    recipe = spark.createDataFrame([("dough", 1, 1.0), ("apples", 0, 3.0)], "ingredient string, pos int, per_item double")
-    lots = spark.createDataFrame([("dough", 60)], "ingredient string, lot_size int")
-    menu = spark.createDataFrame([("dough", 1, "b"), ("dough", 0, "a")], "ingredient string, pos int, item string")
-    policy = policy_from_tables(recipe, lots, menu=menu, base=Policy(shelf_life={"dough": 9}))
-    assert policy.ingredients == ["apples", "dough"] and policy.lots == {"dough": 60}
-    assert policy.menu == {"dough": ["a", "b"]} and policy.expiry_days("dough") == 6
-    with pytest.raises(ValueError):
-        policy_from_tables(menu=spark.range(20000).selectExpr("'x' ingredient", "id pos", "'i' item"))
+    recipe = spark.createDataFrame([(1, "dough", 1), (1, "apples", 3), (2, "dough", 2)], "series int, ingredient string, per_item int")
+    lots = spark.createDataFrame([(1, "dough", 60)], "series int, ingredient string, lot_size int")
+    shelf = spark.createDataFrame([("dough", 9)], "ingredient string, days int")
+    lines = recipe_lines(recipe, lots, shelf)
+    assert rows_of(lines, "series", "ingredient") == [(1, "apples", 3.0, 0, 3), (1, "dough", 1.0, 60, 6), (2, "dough", 2.0, 0, 6)]
+    plan = spark.createDataFrame([(1, dt.date(2024, 1, 1), 7), (2, dt.date(2024, 1, 1), 5), (3, dt.date(2024, 1, 1), 1)], "series int, date date, qty_total bigint")
+    need = need_by_table(plan, lines).select("series", "ingredient", "need", "lots_needed")
+    assert rows_of(need, "series", "ingredient") == [(1, "apples", 21.0, 21), (1, "dough", 7.0, 60), (2, "dough", 10.0, 10)]
+
+
+def test_settings_tables_have_no_limit(spark):
+    menu = spark.range(20000).selectExpr("if(id % 2 = 0, 'x', '_default') ingredient", "concat('i', id) item")
+    asked = spark.createDataFrame([("x", 1), ("y", 1)], "ingredient string, seed int")
+    found = dict((r[0], r[2].split(", ")) for r in ideas_by_table(asked, menu).collect())
+    assert len(found["x"]) == len(found["y"]) == 5
+    assert all(int(i[1:]) % 2 == 0 for i in found["x"]) and all(int(i[1:]) % 2 == 1 for i in found["y"])

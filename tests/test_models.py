@@ -1,6 +1,7 @@
 """Models against closed forms worked out in numpy on small fixtures."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -10,7 +11,10 @@ from larder.operators import accuracy, features, ridge
 from larder.operators.forecast import (
     default_wave, flat_forecast, forecast_demand, recursive_forecast, wave_forecast,
 )
+from larder.operators.scheduler import scheduled_plan
 from larder.operators.spine import densify
+from larder.operators.weekly import balance_plan
+from larder.plans import season
 from larder.tables import ALPHA_GRID, FEATURES, Policy
 from tests.conftest import rows_of
 
@@ -125,8 +129,9 @@ def test_intervals(three):
     for r in ridge.residual_quantiles(residuals, 0.05).collect():
         assert np.allclose([r["q_lo"], r["q_hi"]], np.quantile(ordered[r["series"]], [0.025, 0.975]), atol=1e-9)
     for r in ridge.bootstrap_quantiles(residuals, 0.05).collect():
-        values, rng = np.array(ordered[r["series"]]), np.random.default_rng(0)
-        drawn = [rng.choice(values, size=1, replace=True)[0] for _ in range(500)]
+        values = ordered[r["series"]]
+        marks = [hashlib.md5(f"0#{r['series']}#{b}".encode()).hexdigest() for b in range(500)]
+        drawn = [values[int(mark[:15], 16) % len(values)] for mark in marks]
         assert np.allclose([r["q_lo"], r["q_hi"]], np.quantile(drawn, [0.025, 0.975]), atol=1e-9)
 
 
@@ -178,6 +183,28 @@ def test_short_series_get_a_flat_forecast(history):
     assert boot.where("pred_lower < pred_mean AND pred_mean < pred_upper").count() == 5
 
 
+def test_every_series_is_in_both_runs(history, spark):
+    table = history({"long": (FIRST, demand(150)), "three": (FIRST, [4, 5, 6]), "late": (FIRST + dt.timedelta(days=140), demand(10))})
+    unknown = spark.createDataFrame([("none", FIRST, None)], "series string, date date, qty_sold double")
+    table = table.unionByName(unknown)
+    policy = Policy(horizon_days=400, forecast_year=2024)
+    seasons = scheduled_plan(season.season_days(table, policy))
+    weeks = balance_plan(season.weekly_days(table, policy, str(FIRST + dt.timedelta(days=130))))
+    for days, late in ((seasons, "ridge"), (weeks, "flat")):
+        methods = dict(days.groupBy("series").agg(F.max("forecast_method")).collect())
+        assert methods == {"long": "ridge", "three": "flat", "late": late, "none": "wave"}
+    waves = [r["qty_sold"] for r in seasons.where("series = 'none'").orderBy("date").limit(8).collect()]
+    assert waves == [int(8.5 + (i % 7 - 3) * 0.5) for i in range(8)]
+
+
+def test_one_bad_quantity_stays_in_its_windows(history):
+    table = history({"s": (FIRST, demand(60))})
+    spoiled = table.withColumn("qty_sold", F.when(F.col("date") == FIRST + dt.timedelta(days=20), float("nan")).otherwise(F.col("qty_sold")))
+    good, bad = (features.with_past_demand(t).orderBy("date").collect() for t in (table, spoiled))
+    differing = [i for i, (x, y) in enumerate(zip(good, bad, strict=True)) if x["roll7"] != y["roll7"]]
+    assert differing == list(range(21, 28))
+
+
 def test_unknown_recent_quantities_get_a_flat_forecast(history):
     table = history({"gap": (FIRST, demand(60)), "full": (FIRST, demand(60))})
     last = table.agg(F.max("date")).first()[0]
