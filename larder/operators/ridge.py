@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.operators.grid import fold, nest
 from larder.operators.spine import by_day, whole_series
 from larder.session import settle
 from larder.tables import ALPHA_GRID, CV_FOLDS, DEMAND_FEATURES, FEATURES
 
 P = len(FEATURES)
+FLAT = 1e-9  # a column whose deviation is smaller is constant
 PAIRS = list(combinations_with_replacement(range(P), 2))
 IS_DEMAND = np.array([name in DEMAND_FEATURES for name in FEATURES], dtype=float)
 
@@ -313,22 +315,62 @@ def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, f
 def fit_best_alpha(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
     """model(series, n_train, alpha, intercept, coef) with the alpha of lowest mean error.
 
-    Ties go to the earlier alpha; a series too short to validate keeps alpha 1. The grid
-    of fits is a short row per series that scoring and choosing both read: it is settled.
+    Ties go to the earlier alpha; a series too short to validate keeps alpha 1. A series is
+    gathered once, bounded by its calendar, and fitted, scored and chosen for in one step, so the
+    features are worked out a single time.
     """
-    grid = settle(fit_alpha_grid(training, alphas, folds), "grid")
-    best = validation_scores(training, grid, alphas, folds).groupBy("series").agg(
-        F.min_by("at", F.struct("mean_mae", "at")).alias("at")
-    )
+    columns = [F.col(c).cast("double").alias(c) for c in ("qty_sold", *FEATURES)]
+    nested = nest(training.select("series", "date", *columns), ["qty_sold", *FEATURES])
     default = list(alphas).index(1.0) if 1.0 in alphas else 0
-    chosen = grid.join(best, "series", "left").withColumn("at", F.coalesce("at", F.lit(default)))
-    model = F.slice("final_models", F.col("at") * (P + 1) + 1, F.lit(P + 1))
-    return chosen.select(
-        "series", "n_train",
-        F.array(*[F.lit(float(a)) for a in alphas])[F.col("at")].alias("alpha"),
-        model[0].alias("intercept"),
-        F.slice(model, 2, P).alias("coef"),
-    )
+
+    def step(batch) -> dict:
+        lengths = batch["n"].to_numpy()
+        stops = np.cumsum(lengths)
+        y = batch["qty_sold"].flatten().to_numpy(zero_copy_only=False)
+        x = np.column_stack([batch[c].flatten().to_numpy(zero_copy_only=False) for c in FEATURES])
+        chosen, intercepts, coefs = [], [], []
+        for start, stop in zip(stops - lengths, stops, strict=True):
+            rows, target = x[start:stop], y[start:stop]
+            at = _best_of(rows, target, alphas, folds, default)
+            weights, constants = _ridges(rows, target, [alphas[at]])
+            chosen.append(float(alphas[at]))
+            intercepts.append(constants[0])
+            coefs.append(weights[0])
+        flat = np.concatenate(coefs) if coefs else np.zeros(0)
+        offsets = (np.arange(len(coefs) + 1) * P).astype(np.int32)
+        return {
+            "alpha": pa.array(chosen, pa.float64()), "intercept": pa.array(intercepts, pa.float64()),
+            "coef": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+        }
+
+    outputs = {"alpha": T.DoubleType(), "intercept": T.DoubleType(), "coef": T.ArrayType(T.DoubleType())}
+    fitted = fold(nested, step, outputs, keep=["series", "n"])
+    return fitted.select("series", F.col("n").cast("bigint").alias("n_train"), "alpha", "intercept", "coef")
+
+
+def _ridges(x: np.ndarray, y: np.ndarray, alphas) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and constants of one ridge per alpha, on columns scaled to deviation 1."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale < FLAT, 1.0, scale)
+    z = (x - mean) / scale
+    gram, cross = z.T @ z, z.T @ (y - y.mean())
+    systems = gram + np.asarray(alphas, float)[:, None, None] * np.eye(P)
+    weights = np.linalg.solve(systems, np.broadcast_to(cross[:, None], (len(systems), P, 1)))[..., 0] / scale
+    return weights, y.mean() - weights @ mean
+
+
+def _best_of(x: np.ndarray, y: np.ndarray, alphas, folds: int, default: int) -> int:
+    """Place of the alpha with the lowest mean error over the expanding folds."""
+    size = len(y) // (folds + 1)
+    if not size:
+        return default
+    errors = np.zeros(len(alphas))
+    for k in range(folds, 0, -1):
+        begin = len(y) - k * size
+        weights, constants = _ridges(x[:begin], y[:begin], alphas)
+        predicted = x[begin : begin + size] @ weights.T + constants
+        errors += np.abs(predicted - y[begin : begin + size, None]).mean(axis=0)
+    return int(errors.argmin())
 
 
 # --- one model over all series ---------------------------------------------------------
@@ -341,11 +383,12 @@ def assemble(training: DataFrame) -> DataFrame:
 def fit_pooled(training: DataFrame, estimator=None, alpha: float = 1.0):
     """Fit one model over all series with any pyspark.ml regressor (ridge by default).
 
-    pyspark.ml scales the squared error by n and both sides by the target's deviation,
+    Passes read the assembled rows, settled once. pyspark.ml scales the squared error by n and both sides by the target's deviation,
     so the matching penalty is alpha / n * std(y).
     """
+    rows = settle(assemble(training).select("features", "qty_sold"), "pooled")
     if estimator is None:
-        n, spread = training.agg(F.count("*"), F.stddev_pop("qty_sold")).first()
+        n, spread = rows.agg(F.count("*"), F.stddev_pop("qty_sold")).first()
         estimator = LinearRegression(
             solver="normal", elasticNetParam=0.0, standardization=True,
             regParam=alpha / max(n, 1) * (spread or 0.0),
@@ -355,7 +398,7 @@ def fit_pooled(training: DataFrame, estimator=None, alpha: float = 1.0):
         estimator.getParam("labelCol"): "qty_sold",
         estimator.getParam("predictionCol"): "pred",
     })
-    return estimator.fit(assemble(training))
+    return estimator.fit(rows)
 
 
 def pooled_prediction(features: DataFrame, fitted) -> DataFrame:

@@ -125,6 +125,9 @@ FROM rows GROUP BY series"""
 
 ORACLES["csv_payload"] = f"WITH {DAILY} SELECT series, date, qty_sold FROM daily"
 
+ORACLES["mixed_csv"] = f"""WITH {DAILY}
+SELECT series, date, qty_sold, CASE WHEN series % 2 = 1 THEN 'no. "' || series || '", sold' END AS note FROM daily"""
+
 ORACLES["table_profile"] = f"""WITH {DAILY}
 SELECT series, count(*) AS rows, min(date) AS first_day, max(date) AS last_day,
        'series,date,qty_sold' AS columns FROM daily GROUP BY series"""
@@ -677,6 +680,15 @@ weekly AS MATERIALIZED (
 
 ORACLES["weekly_advisories"] = f"WITH {WEEKLY} SELECT * FROM weekly"
 
+ORACLES["stored_plan"] = ORACLES["unpivot_signals"]
+ORACLES["stored_advisories"] = f"""WITH {WEEKLY}
+SELECT series, date::VARCHAR AS date, type, ingredient, CAST(0 AS BIGINT) AS special_qty, message, week, 'plan_2024' AS source FROM weekly"""
+ORACLES["ordered_advisories"] = f"""WITH {WEEKLY}
+SELECT series, date, type, CAST(row_number() OVER (PARTITION BY series ORDER BY date, type) AS INTEGER) AS place FROM weekly"""
+ORACLES["policy_config"] = f"""WITH {PLAN}
+SELECT series, date, 'flour' AS ingredient, qty_total * 2.0::DOUBLE AS need FROM plan UNION ALL
+SELECT series, date, 'sugar', qty_total * 5.0::DOUBLE FROM plan"""
+
 ORACLES["advisory_predictions"] = f"""WITH {PLAN}
 SELECT series, date, concat_ws(' — ', 'order ' || qty_total, {SUMMARY}) AS message, round(pred_mean, 6) AS pred_mean,
   round(pred_lower, 6) AS pred_lower, round(pred_upper, 6) AS pred_upper, {SUMMARY} AS pred_summary
@@ -757,6 +769,11 @@ ORACLES["advisory_export"] = f"""WITH {PLAN}
 SELECT series, strftime(date, '%Y-%m-%d') AS date, CASE WHEN qty_total % 4 >= 2 THEN qty_total END AS qty,
   CASE WHEN qty_total % 3 = 0 THEN 0 ELSE qty_total END AS special_qty, round_even(pred_mean, 1) AS pred_mean FROM plan"""
 
+ORACLES["windowed_export"] = f"""WITH {PLAN},
+ends AS (SELECT *, min(date) OVER (PARTITION BY series) AS window_start, max(date) OVER (PARTITION BY series) AS window_end FROM plan)
+SELECT window_start, window_end, count(DISTINCT series) AS series, count(*) AS rows, CAST(sum(qty_total) AS BIGINT) AS qty_total
+FROM ends GROUP BY ALL"""
+
 ORACLES["plan_json"] = f"""WITH {PLAN}
 SELECT series, date, '{{"series":' || series || ',"date":"' || date || '","qty_sold":' || qty_sold || ',"qty_total":' || qty_total
   || ',"special_added":0,"gap":' || CASE WHEN qty_sold = 0 THEN 'null' ELSE qty_sold || '.0' END || '}}' AS record FROM plan"""
@@ -805,6 +822,8 @@ ORACLES["contact_validate"] = f"WITH {CONTACTS} SELECT conv_id, turn, id, name,
 ORACLES["contacts_latest"] = f"""WITH {CONTACTS}
 SELECT id, ts, name, email, message FROM checked WHERE error IS NULL ORDER BY ts DESC, id"""
 
+ORACLES["contacts_appended"] = ORACLES["contacts_latest"]
+
 # --- streams and whole runs ---------------------------------------------------------------------------------------
 
 ORACLES["stream_ingest"] = f"""WITH {DAILY}

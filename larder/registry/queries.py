@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions import calendar, quantities
@@ -19,7 +19,7 @@ from larder.session import shared_folder
 from larder.sources import policy, published, sales
 from larder.streaming import sales as sales_stream
 from larder.streaming import signups as signup_stream
-from larder.tables import FEATURES
+from larder.tables import FEATURES, Policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,6 +91,20 @@ def csv_payload(spark, sf):
     return rows.select("series", "date", "qty_sold")
 
 
+@query
+def mixed_csv(spark, sf):
+    """The sales as CSV files of two layouts in one folder, read back by each file's own header."""
+    daily = inputs.daily_sales(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    folder = shared_folder(spark, "layouts")
+    odd = F.col("series") % 2 == 1
+    note = F.concat(F.lit('no. "'), F.col("series").cast("string"), F.lit('", sold'))
+    daily.where(odd).select("qty_sold", note.alias("note"), "date", "series").write.option(
+        "header", True).option("escape", '"').csv(f"{folder}/odd")
+    daily.where(~odd).select("series", "date", "qty_sold").write.option("header", True).csv(f"{folder}/even")
+    rows = sales.read_csv(spark, f"{folder}/odd", f"{folder}/even")
+    return sales.good_rows(sales.validate(rows)).select(F.col("series").cast("bigint").alias("series"), "date", "qty_sold", "note")
+
+
 @query
 def table_profile(spark, sf):
     return sales.profile(inputs.daily_sales(spark, sf), "series")
@@ -560,6 +574,44 @@ def menu_random(spark, sf):
     return picked.select("ingredient", "seed", F.size(F.array_distinct("items")).cast("bigint").alias("items"))
 
 
+def _stored_plan(spark, sf) -> str:
+    """The wide plan with its signals as CSV files."""
+    path = f"{shared_folder(spark, 'stored')}/plan_2024.csv"
+    _signal_columns(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd")).write.option("header", True).csv(path)
+    return path
+
+
+@query
+def stored_plan(spark, sf):
+    signals = advisories.unpivot_signals(season.read_plan(spark, _stored_plan(spark, sf)))
+    return signals.withColumn("series", F.col("series").cast("bigint"))
+
+
+@query
+def stored_advisories(spark, sf):
+    """Advisories derived from a stored plan, published and read back."""
+    out = shared_folder(spark, "advice")
+    season.run_advisories_from_plan(spark, _stored_plan(spark, sf), out, "r1", POLICY)
+    return published.read_latest(spark, out).select(
+        F.col("series").cast("bigint").alias("series"), "date", "type", "ingredient", "special_qty", "message", "week", "source")
+
+
+@query
+def ordered_advisories(spark, sf):
+    """The weekly advice in the order its files have: the place of each row among its series' rows."""
+    rows = season.in_order(advisories.weekly_advisories(advisories.unpivot_signals(_signal_columns(spark, sf)), POLICY).repartition("series"))
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("series").orderBy("at"))
+    return placed.select("series", "date", "type", place.alias("place"))
+
+
+@query
+def policy_config(spark, sf):
+    """Needs by a policy read from a nested mapping."""
+    config = {"production": {"recipe": {"flour": 2, "sugar": 5}}, "store": {"lead_time_days": 4}, "forecast": None}
+    return forecast.recipe_need(inputs.plan(spark, sf), Policy.from_config(config))
+
+
 # --- serving and exports -----------------------------------------------------------------------
 
 
@@ -629,6 +681,17 @@ def advisory_export(spark, sf):
     return exports.advisory_export(raw)
 
 
+@query
+def windowed_export(spark, sf):
+    """The plan as CSV in folders named by each series' first and last day."""
+    path = shared_folder(spark, "export")
+    plan = inputs.bare_plan(spark, sf).select("series", "date", "qty_total")
+    exports.write_export(exports.with_window(plan), path, "window_start", "window_end")
+    rows = spark.read.option("header", True).csv(path)
+    return rows.groupBy(F.col("window_start").cast("date").alias("window_start"), F.col("window_end").cast("date").alias("window_end")).agg(
+        F.countDistinct("series").alias("series"), F.count("*").alias("rows"), F.sum(F.col("qty_total").cast("bigint")).alias("qty_total"))
+
+
 @query
 def plan_json(spark, sf):
     rows = exports.to_json_rows(inputs.bare_plan(spark, sf).withColumn(
@@ -687,6 +750,16 @@ def contacts_latest(spark, sf):
     return rows.select("id", "ts", "name", "email", "message")
 
 
+@query
+def contacts_appended(spark, sf):
+    """Accepted messages appended in two parts to a table, and read back."""
+    path = shared_folder(spark, "contacts")
+    accepted = people.accepted_contacts(inputs.contacts(spark, sf))
+    for part in (0, 1):
+        published.append_rows(accepted.where(F.pmod("turn", F.lit(2)) == part), path)
+    return people.newest_first(spark.read.parquet(path)).select("id", "ts", "name", "email", "message")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 

@@ -36,6 +36,19 @@ def test_the_raw_table_is_scanned_once(name, spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("name", ["holdout_metrics", "best_alpha_model", "season_run", "weekly_run", "schedule_advisories"])
+def test_no_job_runs_while_a_plan_is_built(name, spark):
+    context = spark.sparkContext
+    context.setJobGroup(f"planning {name}", "")
+    QUERIES[name](spark, SF)
+    tracker = context.statusTracker()
+    # reading a file's schema is a job of one task; nothing else may run
+    for job in tracker.getJobIdsForGroup(f"planning {name}"):
+        stages = [tracker.getStageInfo(s) for s in tracker.getJobInfo(job).stageIds]
+        assert [s.numTasks for s in stages] == [1] and stages[0].name.startswith("parquet at")
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_windows_share_the_exchange_by_series(spark):
     plan = executed(QUERIES["surplus_rank"](spark, SF))
     assert len(re.findall(r" Exchange hashpartitioning", plan)) == 2
