@@ -89,6 +89,84 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_arrays": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS w
+            FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM docs)
+        ), repeats AS (
+            SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, p) > 1
+        ), numbered AS (
+            SELECT doc_id, p, sum(gap) OVER (PARTITION BY doc_id ORDER BY p) AS span
+            FROM (SELECT *, CAST(coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, TRUE) AS INTEGER) AS gap FROM repeats)
+        ), spans AS (
+            SELECT doc_id, min(p) AS start, max(p) + 100 AS stop FROM numbered GROUP BY doc_id, span
+        ), pieces AS (
+            SELECT doc_id, start, stop, substr(h, 2 * before + 1, 2 * (start - before)) AS piece
+            FROM (SELECT s.*, h, coalesce(lag(stop) OVER (PARTITION BY s.doc_id ORDER BY start), 0) AS before
+                  FROM spans s JOIN docs d ON d.doc_id = s.doc_id)
+        ), cut AS (
+            SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS last,
+                   string_agg(piece, '' ORDER BY start) AS front
+            FROM pieces GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM docs d LEFT JOIN cut c ON c.doc_id = d.doc_id
+    """,
+    "op2_ngram_jaccard": """
+        WITH RECURSIVE sequences AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)])
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+            FROM sequences
+        ), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a
+            JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reached(doc_id, first) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT b, first FROM reached JOIN links ON a = doc_id
+        )
+        SELECT doc_id, len(s) AS n_shingles, component_id
+        FROM sets JOIN (SELECT doc_id, min(first) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+    """,
+    "op5_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, coalesce('=' || source, '~') AS key,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CASE WHEN coalesce(text, '') = '' THEN 1.0 ELSE greatest(0.05,
+                       strlen(regexp_replace(text, '[0-9#$%&*+/<=>@\\[\\]\\\\^_`{|}~]', '', 'g'))::DOUBLE / strlen(text)) END AS quality
+            FROM documents
+        ), sources AS (
+            SELECT key, sum(size)::DOUBLE AS words, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY key) - 1) % 3]::DOUBLE AS weight
+            FROM sized GROUP BY key
+        ), levels AS (
+            SELECT *, (1.5::DOUBLE * sum(words) OVER () - coalesce(sum(2 * words) OVER lower, 0))
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER lower, 0)) AS level
+            FROM sources
+            WINDOW lower AS (ORDER BY 2 * words / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), goals AS (
+            SELECT key, words, CASE WHEN 2 * words / weight <= level THEN 2 * words ELSE least(2 * words, weight *
+                       max(CASE WHEN 2 * words / weight > level THEN level END) OVER ()) END AS target
+            FROM levels
+        ), whole AS (
+            SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS epochs FROM goals
+        ), queued AS (
+            SELECT *, coalesce(sum(size) OVER (PARTITION BY key
+                       ORDER BY -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / quality, doc_id
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+            FROM sized
+        )
+        SELECT doc_id, source, size, words::BIGINT AS source_size, target,
+               CAST(epochs * size + least(size, greatest(0, round(target) - epochs * words - ahead)) AS BIGINT) AS taken
+        FROM queued JOIN whole USING (key)
+    """,
     "op6_top_products": """
         WITH usable AS (
             SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
