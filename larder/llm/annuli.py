@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import send, shared_value
 from larder.llm.vectors import best_in_block, by_blocks, matrix, nearest_first, pieces_of, spread, usable
 from larder.session import settle
 
@@ -74,12 +75,13 @@ def exact_top(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     drawn = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
     index = Annuli(np.array([r["v"] for r in drawn]), largest, pivots, rings)
-    shared = spark.sparkContext.broadcast(index)
+    shared = send(spark, index)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                annulus, distance = shared.value.place(shared.value.of_rows(matrix(batch.column("v"))))
+                index = shared_value(shared)
+                annulus, distance = index.place(index.of_rows(matrix(batch.column("v"))))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id"), batch.column("v"), pa.array(annulus, pa.int32()), pa.array(distance)],
                     names=["vec_id", "v", "annulus", "distance"])
@@ -102,7 +104,7 @@ def exact_top(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16
                 if not len(batch):
                     continue
                 data = matrix(batch.column("v"))
-                index, floors = shared.value, np.asarray(batch.column("floor"), float)
+                index, floors = shared_value(shared), np.asarray(batch.column("floor"), float)
                 distances = index.of_queries(data)
                 home = nearest_home(index, distances, extents)
                 squares = (data * data).sum(1)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from larder.llm.common import PerWorker, record, texts, with_kept
+from larder.llm.common import Recipe, record, send, shared_value, texts, with_kept
 
 # Code points that the installed `regex` counts as letters or numbers and
 # tiktoken's older Unicode tables don't. To the pattern they are neither.
@@ -196,11 +196,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence
 
     The vocabulary, a file of fixed size, travels to the tasks as one broadcast value.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(PerWorker(Encoder, read_ranks(vocabulary), pattern))
+    shared = send(docs.sparkSession, Recipe(Encoder, read_ranks(vocabulary), pattern))
     schema = with_kept(docs, keep, "doc_id bigint, ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value.get()
+        encoder = shared_value(shared).get()
         for batch in batches:
             pairs = [encoder.encode(text) for text in batch.column("text").to_pylist()]
             offsets = np.zeros(len(pairs) + 1, np.int32)

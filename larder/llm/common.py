@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,22 +40,30 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class PerWorker:
-    """A recipe that is broadcast; what it builds lives as long as the worker process.
+def send(session: SparkSession, value) -> Broadcast:
+    """Broadcasts a value of bounded size; its classes travel by value, as functions do."""
+    return session.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
 
-    Only for things of bounded size, such as a vocabulary and a cache with a fixed capacity.
-    """
 
-    def __init__(self, make: Callable, *args):
-        self.make, self.args, self.built = make, args, None
+def shared_value(shared: Broadcast):
+    """The value, unpacked once per worker process and kept as long as that lives."""
+    held = shared.value
+    if "value" not in held:
+        held["value"] = pickle.loads(held["packed"])
+    return held["value"]
+
 
-    def __getstate__(self):
-        return {"make": self.make, "args": self.args, "built": None}
+class Recipe:
+    """What to make where the value arrives; only for things of bounded size, such as a
+    vocabulary and a cache with a fixed capacity."""
+
+    def __init__(self, make: Callable, *args):
+        self.make, self.args, self.made = make, args, None
 
     def get(self):
-        if self.built is None:
-            self.built = self.make(*self.args)
-        return self.built
+        if self.made is None:
+            self.made = self.make(*self.args)
+        return self.made
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import record, texts, with_kept
+from larder.llm.common import Recipe, record, send, shared_value, texts, with_kept
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -196,13 +196,13 @@ class Coder:
 def predict(docs: DataFrame, trees: Trees | None, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte (of the shortest code) for every row, from its text
     alone; then the columns to keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = send(docs.sparkSession, (trees, trees and Recipe(Coder, trees)))
     schema = with_kept(docs, keep, "doc_id bigint, lang_pred string, score double, bits_per_byte double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value) if shared.value else None
+        trees, coder = shared_value(shared)
         for batch in batches:
-            found = judged(batch.column("text").to_pylist(), coder, shared.value)
+            found = judged(batch.column("text").to_pylist(), coder and coder.get(), trees)
             yield record(schema, [batch.column("doc_id"), *found], batch, keep)
 
     return texts(docs, *(name for name in keep if name != "text")).mapInArrow(run, schema)

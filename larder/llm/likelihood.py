@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import mixed, texts, words
+from larder.llm.common import mixed, send, shared_value, texts, words
 from larder.session import settle
 
 LANGUAGES = 16
@@ -238,10 +238,10 @@ def learning_counts(docs: DataFrame, languages: list[str | None]) -> DataFrame:
 def expected_pieces(counts: DataFrame, vocabulary: Vocabulary, languages: int) -> np.ndarray:
     """Expected uses of each piece over a language's distinct learning words; a row per piece and
     language comes back."""
-    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = send(counts.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary = shared_value(shared)
         total = np.zeros_like(vocabulary.log)
         for batch in batches:
             raws = batch.column("word").to_pylist()
@@ -299,16 +299,15 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
     end = model.scores(model.ends[None, :], end_log[None, :])
     table = np.vstack([model.scores(top_counts, lattice_log(vocabulary, raws)), end])
     base = np.r_[model.base(top_counts.sum(1)), model.base(model.ends.sum()[None])]
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(({raw: i for i, raw in enumerate(raws)}, table, base))
-    spelled = context.broadcast((vocabulary, model))
+    shared = send(docs.sparkSession, ({raw: i for i, raw in enumerate(raws)}, table, base))
+    spelled = send(docs.sparkSession, (vocabulary, model))
     sums = [f"s{i}" for i in range(width)]
     floats = ", ".join(f"{s} float" for s in sums)
     end_known = int(model.ends.sum() > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the broadcast words of each text, and its other words as lists."""
-        number, table, base = shared.value
+        number, table, base = shared_value(shared)
         last = len(base) - 1
         for batch in batches:
             ids, times, owner, other, other_n, offsets, n_tokens = [], [], [], [], [], [0], []
@@ -346,7 +345,7 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
     joined = rare.join(counts, "word", "left")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = spelled.value
+        vocabulary, model = shared_value(spelled)
         for batch in batches:
             if not len(batch):
                 continue

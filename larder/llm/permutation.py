@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import send, shared_value
 from larder.llm.vectors import best_in_block, by_blocks, matrix, nearest_first, pieces_of, spread, usable
 
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -76,7 +77,7 @@ def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, piv
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
     if not chosen:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    shared = spark.sparkContext.broadcast(Pivots(np.array([r["v"] for r in chosen]), prefix))
+    shared = send(spark, Pivots(np.array([r["v"] for r in chosen]), prefix))
     row_blocks, query_blocks = pieces_of(counts[0]), pieces_of(counts[1])
 
     def block(row: Column, query: Column) -> Column:
@@ -93,7 +94,7 @@ def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, piv
     def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if len(mine) and len(asked):
-            index = shared.value
+            index = shared_value(shared)
             ids, data = unique_rows(np.asarray(mine["vec_id"]), matrix(mine["v"]))
             units = data / np.sqrt((data * data).sum(1, keepdims=True))
             files = Files(index.order(units), len(index.unit))

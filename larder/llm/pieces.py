@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from larder.llm.common import PerWorker, texts
+from larder.llm.common import Recipe, send, shared_value, texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -111,10 +111,10 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], byte_fallback
 
     The vocabulary is a file of fixed size and travels as one broadcast value.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(PerWorker(Lattice, pieces, byte_fallback))
+    shared = send(docs.sparkSession, Recipe(Lattice, pieces, byte_fallback))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = shared.value.get()
+        lattice = shared_value(shared).get()
         for batch in batches:
             found = [lattice.text(text) for text in batch.column("text").to_pylist()]
             n, score, unknown = zip(*found, strict=True) if found else ((), (), ())
