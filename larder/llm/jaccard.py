@@ -107,7 +107,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent:
             if not len(own):
                 break
             begin = np.cumsum(many) - many
-            spread = mixed(value[use] + U64(level + 1) * U64(0xD1342543DE82EF95)) >> U64(32)
+            spread = mixed(value[use] + U64((level + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U64(32)
             cell = begin[own] + ((spread * many[own].astype(U64)) >> U64(32)).astype(np.int64)
             total = np.zeros(many.sum(), U64)
             np.add.at(total, cell, weight[use])
@@ -289,7 +289,9 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, block_documen
     members = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = members.select("component", F.col("node").alias("doc_id"), "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
-    searched = packed_texts(docs).join(members, "doc_id").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "doc_id")
+    # merged at every size: the members are a share of all documents, so no side stays small
+    met = packed_texts(docs).join(members.hint("merge"), "doc_id")
+    searched = met.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "doc_id")
     # classes with a common doc_id are one node
     same_id = classes_of_ids(linked, classes)
     found = components(links_in_blocks(searched, n, percent).unionByName(same_id))
