@@ -11,7 +11,7 @@ k = (100 - percent) / (100 + percent), they differ in at most k * (size + size)
    equal parts be empty ones, both sets deal anew with another seed, and so on; at the
    last level empty parts count as well.) Signature groups are tied to their smallest member,
    and the components of these ties hold all links. Nothing else is compared.
-3. Search. In each component, or pair of blocks of a large one, an inverted file lists
+3. Search. In each component, or pair of blocks of a large one (by documents or shingles), an inverted file lists
    the documents of every shingle. A query must reach overlap T; its L longest lists are set
    aside, the short ones are merged, documents met at least T - L times are candidates, and
    the long lists are probed for those by binary search. Candidates that are joined to the
@@ -39,6 +39,7 @@ from larder.llm.graph import components
 from larder.session import settle
 
 BLOCK_DOCUMENTS = 2048
+BLOCK_SHINGLES = 1_000_000
 CHUNK = 400_000
 LEVELS = 6
 CACHED_WORDS = 500_000
@@ -282,10 +283,12 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, block_documen
     classes = linked.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("first"))
     first = linked.join(classes.select("print_a", "print_b", F.col("first").alias("doc_id")), ["print_a", "print_b", "doc_id"], "left_semi")
     signed = first.select("doc_id", F.explode("signs").alias("sign"))
+    sizes = first.select(F.col("doc_id").alias("node"), "n_shingles")
     smallest = F.min("doc_id").over(Window.partitionBy("sign").orderBy("doc_id"))
     ties = signed.withColumn("hub", smallest).where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     groups = components(ties)
-    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_documents).alias("blocks"))
+    needed = F.greatest(F.count(F.lit(1)) / block_documents, F.sum("n_shingles") / BLOCK_SHINGLES)
+    blocks = groups.join(sizes, "node").groupBy("component").agg(F.ceil(needed).alias("blocks"))
     members = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = members.select("component", F.col("node").alias("doc_id"), "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import mixed, send, shared_value, texts, words
+from larder.llm.common import mixed, send, shared_value, slices, texts, words
 from larder.session import settle
 
 LANGUAGES = 16
@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
         """Sums over the broadcast words of each text, and its other words as lists."""
         number, table, base = shared_value(shared)
         last = len(base) - 1
-        for batch in batches:
+        for batch in slices(batches, 2048):
             ids, times, owner, other, other_n, offsets, n_tokens = [], [], [], [], [], [0], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found = Counter(words(text))

@@ -43,7 +43,7 @@ from larder.session import settle
 LENGTH = 100
 GRAM = 24
 REACH = LENGTH - GRAM + 1  # anchors a window can have
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 HOT = 100_000
 BATCH_ROWS = 1 << 16
 
@@ -52,7 +52,7 @@ RESOLVED = (127 << 7) | 127
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 VALUES = mixed(np.arange(1, 257, dtype=U64) * U64(0x632BE59BD9B4E019))
-POWERS = np.cumprod(np.r_[U64(1), np.full(2 * BLOCK, BASE)], dtype=U64)
+POWERS = np.cumprod(np.r_[U64(1), np.full(1 << 21, BASE)], dtype=U64)
 
 KEYED = "to bigint, run bigint, doc bigint, place bigint"
 FOUND = "doc bigint, tag int, start bigint, stop bigint, gram bigint, hot boolean"
