@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import base64
+import gc
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import heappop, heappush
@@ -23,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from larder.llm.common import Recipe, record, send, shared_value, texts, with_kept
+from larder.llm.common import Recipe, record, send, shared_value, slices, texts, with_kept
 
 # Code points that the installed `regex` counts as letters or numbers and
 # tiktoken's older Unicode tables don't. To the pattern they are neither.
@@ -40,7 +41,7 @@ NEWER = (
 ).replace(" ", "")
 UNASSIGNED = "͸"
 
-CACHED = 400_000
+CACHED = 400_000  # entries of a generation; a cache has two, each entry some 200 bytes
 CACHED_BYTES = 64
 LONG_TEXT = 1 << 20
 LOOSE_SPACE = re.compile(r" (?:\s|$)")
@@ -65,14 +66,14 @@ class RankQueue:
 class Encoder:
     """Ids of single pieces; holds the queue and bounded caches of short pieces and words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED):
+        self.ranks, self.cached = ranks, cached
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern)
         self.newer = regex.compile(f"[{NEWER}]")
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.spaced: dict[str, tuple[bytes, bytes]] = {}
+        self.cache, self.old_cache = {}, {}
+        self.spaced, self.old_spaced = {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The queue's steps stand here in line: a call for each would double the time."""
@@ -81,23 +82,22 @@ class Encoder:
             return [ranks[piece]]
         size, rank_of = len(piece), ranks.get
         buckets, low, bits, top = self.queue.buckets, self.queue.low, self.queue.bits, 0
+        waiting = buckets.get
         end = list(range(1, size + 1))  # of the token that starts here
         before = list(range(-1, size - 1))
         # rank of the token here joined with the next
-        pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(size - 1)]
+        pair = [rank_of(piece[i : i + 2]) for i in range(size - 1)]
         pair.append(None)
-        found = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
-        while found or top:
-            for rank, i in found:
-                if rank in buckets:
-                    heappush(buckets[rank], i)
-                else:
+        for i, rank in enumerate(pair):
+            if rank is not None:
+                if (bucket := waiting(rank)) is None:
                     buckets[rank] = [i]
-                    word = rank >> 6
-                    low[word] |= bits[rank & 63]
+                    low[word := rank >> 6] |= bits[rank & 63]
                     top |= bits[word]
-            first_word = top & -top
-            word = first_word.bit_length() - 1
+                else:
+                    bucket.append(i)  # positions rise, so the list is a heap
+        while top:
+            word = (top & -top).bit_length() - 1
             used = low[word]
             first = used & -used
             rank = (word << 6) + first.bit_length() - 1
@@ -107,10 +107,11 @@ class Encoder:
             else:
                 left = bucket[0]
                 del buckets[rank]
-                low[word] = used = used ^ first
-                if not used:
-                    top ^= first_word
-            found = []
+                if used == first:
+                    low[word] = 0
+                    top &= top - 1
+                else:
+                    low[word] = used - first
             if pair[left] != rank:
                 continue  # stale
             right = end[left]
@@ -120,14 +121,23 @@ class Encoder:
                 before[stop] = left
                 pair[left] = new = rank_of(piece[left : end[stop]])
                 if new is not None:
-                    found.append((new, left))
+                    if (bucket := waiting(new)) is None:
+                        buckets[new] = [left]
+                        low[word := new >> 6] |= bits[new & 63]
+                        top |= bits[word]
+                    else:
+                        heappush(bucket, left)
             else:
                 pair[left] = None
-            previous = before[left]
-            if previous >= 0:
+            if (previous := before[left]) >= 0:
                 pair[previous] = new = rank_of(piece[previous:stop])
                 if new is not None:
-                    found.append((new, previous))
+                    if (bucket := waiting(new)) is None:
+                        buckets[new] = [previous]
+                        low[word := new >> 6] |= bits[new & 63]
+                        top |= bits[word]
+                    else:
+                        heappush(bucket, previous)
         ids, i = [], 0
         while i < size:
             ids.append(ranks[piece[i : end[i]]])
@@ -135,28 +145,30 @@ class Encoder:
         return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
-    def both(self, piece: str) -> tuple[bytes, bytes]:
-        """Ids as packed 32-bit integers, and what they decode to."""
-        found = self.cache.get(piece)
+    def piece(self, piece: str) -> bytes:
+        """Ids as packed 32-bit integers."""
+        found = self.cache.get(piece) or self.old_cache.get(piece)
         if found is None:
-            raw = piece.encode("utf-8", "replace")
-            ids = self.merge(raw)
-            found = array.array("i", ids).tobytes(), self.decode(ids)
-            keep(self.cache, piece, found)
+            found = array.array("i", self.merge(piece.encode("utf-8", "replace"))).tobytes()
+        if len(piece) <= CACHED_BYTES:
+            if len(self.cache) >= self.cached:
+                self.cache, self.old_cache = {}, self.cache
+            self.cache[piece] = found
         return found
 
-    def after_space(self, word: str) -> tuple[bytes, bytes]:
+    def after_space(self, word: str) -> bytes:
         """The same for a word and the space in front of it, by its pieces."""
-        found = self.joined(" " + word)
-        keep(self.spaced, word, found)
+        found = self.old_spaced.get(word) or self.joined(" " + word)
+        if len(word) <= CACHED_BYTES:
+            if len(self.spaced) >= self.cached:
+                self.spaced, self.old_spaced = {}, self.spaced
+            self.spaced[word] = found
         return found
 
-    def joined(self, text: str) -> tuple[bytes, bytes]:
-        get, both = self.cache.get, self.both
-        found = [get(piece) or both(piece) for piece in self.split(text)]
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+    def joined(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
 
     def split(self, text: str) -> Iterable[str]:
         try:
@@ -169,44 +181,42 @@ class Encoder:
             return (m.group() for m in self.pieces.finditer(text))
         return self.pieces.findall(text)
 
-    def encode(self, text: str | None, by_word: bool = True) -> tuple[bytes, bytes]:
+    def encode(self, text: str | None, by_word: bool = True) -> bytes:
         """`by_word`: the pattern starts a piece at every space with a non-space behind it, so
         that words can be looked up whole; texts with other spaces go through the pattern."""
         if not text:
-            return b"", b""
+            return b""
         if not by_word or len(text) > LONG_TEXT or LOOSE_SPACE.search(text):
             return self.joined(text)
         first, *rest = text.split(" ")
-        get, after_space = self.spaced.get, self.after_space
+        after_space = self.after_space
         found = [self.joined(first)] if first else []
-        found += [get(word) or after_space(word) for word in rest]
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-
-
-def keep(cache: dict[str, tuple[bytes, bytes]], key: str, found: tuple[bytes, bytes]) -> None:
-    if len(key) <= CACHED_BYTES:
-        if len(cache) >= CACHED:
-            cache.clear()
-        cache[key] = found
+        for start in range(0, len(rest), 4096):  # the dictionary may be replaced in between
+            get = self.spaced.get
+            found += [get(word) or after_space(word) for word in rest[start : start + 4096]]
+        return b"".join(found)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence[str] = (), cached: int = CACHED) -> DataFrame:
     """doc_id, ids array<int>, decoded binary (what the ids stand for) of every whole text; then
     the columns to keep.
 
-    The vocabulary, a file of fixed size, travels to the tasks as one broadcast value.
+    `cached` bounds what a worker remembers of words and pieces: time against memory, never
+    the result. The vocabulary, a file of fixed size, travels to the tasks as one broadcast value.
     """
-    shared = send(docs.sparkSession, Recipe(Encoder, read_ranks(vocabulary), pattern))
+    shared = send(docs.sparkSession, Recipe(Encoder, read_ranks(vocabulary), pattern, cached))
     schema = with_kept(docs, keep, "doc_id bigint, ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 50, 100)  # the caches hold no cycles and would be searched for them again and again
         encoder = shared_value(shared).get()
-        for batch in batches:
-            pairs = [encoder.encode(text) for text in batch.column("text").to_pylist()]
-            offsets = np.zeros(len(pairs) + 1, np.int32)
-            np.cumsum([len(ids) // 4 for ids, _ in pairs], out=offsets[1:])
-            flat = np.frombuffer(b"".join([ids for ids, _ in pairs]), np.int32)
+        for batch in slices(batches):
+            packed = [encoder.encode(text) for text in batch.column("text").to_pylist()]
+            offsets = np.zeros(len(packed) + 1, np.int32)
+            np.cumsum([len(ids) // 4 for ids in packed], out=offsets[1:])
+            decoded = [encoder.decode(memoryview(ids).cast("i")) for ids in packed]
+            flat = np.frombuffer(b"".join(packed), np.int32)
             yield record(schema, [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat),
-                                  pa.array([decoded for _, decoded in pairs], pa.binary())], batch, keep)
+                                  pa.array(decoded, pa.binary())], batch, keep)
 
     return texts(docs, *(name for name in keep if name != "text")).mapInArrow(run, schema)

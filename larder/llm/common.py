@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,13 @@ def record(schema: T.StructType, columns: Sequence, batch: pa.RecordBatch, keep:
     return pa.RecordBatch.from_arrays([*columns, *(batch.column(name) for name in keep)], names=schema.names)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a function makes of one stays small."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-case (A-Z only) words between ASCII white space, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
