@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.bpe import encode_decode
-from larder.llm.common import table
+from larder.llm.common import slices, table
 from larder.llm.jaccard import link_documents
 from larder.llm.language import UNDETERMINED, fit, predict, remainder
 from larder.llm.mixing import measured, mix
@@ -59,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = remove_repeats(docs.select(*COLUMNS), keep=COLUMNS[2:]).where("n_bytes = 0 OR n_removed < n_bytes")
 
     def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             text = [raw.decode("utf-8", "ignore") for raw in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(text, pa.string()), batch.column("lang"), batch.column("source"),
@@ -82,7 +82,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = encode_decode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source", "text"))
+    # workers still hold what the stages before left: a smaller cache
+    coded = encode_decode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source", "text"), cached=80_000)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                         (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 

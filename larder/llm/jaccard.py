@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import mixed, texts, words
+from larder.llm.common import mixed, slices, texts, words
 from larder.llm.graph import components
 from larder.session import settle
 
@@ -42,7 +42,7 @@ BLOCK_DOCUMENTS = 2048
 BLOCK_SHINGLES = 1_000_000
 CHUNK = 400_000
 LEVELS = 6
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 U64 = np.uint64
 
 
@@ -142,7 +142,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = WordPrints()
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for start, stop, group in chunks(batch):
                 owner, value = shingle_sets(group, n, prints)
                 sizes = np.bincount(owner, minlength=len(group))
@@ -268,7 +268,7 @@ def found_links(held: list[tuple], n: int, percent: int, prints: WordPrints) ->
 def packed_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [packer.compress((text or "").encode("utf-8", "replace")) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 

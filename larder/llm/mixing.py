@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import record, texts, with_kept
+from larder.llm.common import record, slices, texts, with_kept
 from larder.session import settle
 
 SUSPECT = bytes(set(range(33, 127)) - set(b"'\",.;:!?()-") - set(range(65, 91)) - set(range(97, 123)))
@@ -38,7 +38,7 @@ def measured(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     schema = with_kept(docs, keep, "doc_id bigint, source string, size bigint, quality double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raws = [(text or "").encode("utf-8", "replace") for text in batch.column("text").to_pylist()]
             clean = [len(raw.translate(None, SUSPECT)) / len(raw) if raw else 1.0 for raw in raws]
             yield record(schema, [

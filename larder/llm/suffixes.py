@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import mixed, record, texts, with_kept
+from larder.llm.common import mixed, record, slices, texts, with_kept
 from larder.session import settle
 
 LENGTH = 100
@@ -166,7 +166,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """Runs that have to be looked up, and (marked RESOLVED, with the end in `run`) settled ones."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4096):
             raws = [(text or "").encode("utf-8", "replace") for text in batch.column("text").to_pylist()]
             ids, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
             parts = []
@@ -403,7 +403,7 @@ def compressed(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [packer.compress((text or "").encode("utf-8", "replace")) for text in batch.column("text").to_pylist()]
             yield record(schema, [batch.column(c) for c in ("doc_id", "doc", "tag")] + [pa.array(packed, pa.binary())], batch, keep)
 
@@ -431,7 +431,7 @@ def remove_repeats(docs: DataFrame, batch_rows: int = BATCH_ROWS, hot: int = HOT
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [remaining(unpacker.decompress(packed), covers or ())
                     for packed, covers in zip(batch.column("packed").to_pylist(), batch.column("covers").to_pylist(), strict=True)]
             size, removed, spans, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
