@@ -1,7 +1,8 @@
 """Five stages from raw documents to encoded training text.
 
 1. language: documents without a letter in any language (predicted `und`) go.
-2. near copies: one document of each group of linked documents stays, the smallest doc_id.
+2. near copies: one document of each group of linked documents stays, the smallest doc_id. Two
+   link at a similarity of 0.8 or more by runs of five words (op2 is registered with a stricter rule).
 3. repeated passages: every byte of a 100-byte string that starts earlier is removed; a
    character cut in two goes whole. Documents with nothing left go; the rest keep their text.
 4. mixing: every document is there as often as the mix takes it, the one at a source's
@@ -48,7 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = link_documents(docs, n=3, percent=90)
+    found = link_documents(docs, n=5, percent=80)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.select(*COLUMNS)
     first = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

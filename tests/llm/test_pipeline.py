@@ -6,7 +6,7 @@ import tiktoken
 
 import corpus_pipeline as pipeline
 from larder.llm.bpe import read_ranks
-from larder.llm.common import table
+from larder.llm.common import table, words
 from larder.llm.mixing import measured, mix
 from larder.llm.registry import MIX
 from tests.conftest import SF
@@ -46,6 +46,31 @@ def test_one_of_each_group_stays(stages):
     assert len(kept) < len(given)
 
 
+def five_word_groups(rows):
+    """{doc_id: smallest id of its group}, linked at 0.8 by runs of five words."""
+    split = {i: words(t) for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
+    group = {i: {i} for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and group[i] is not group[j] and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group[i] |= group[j]
+                for member in group[i]:
+                    group[member] = group[i]
+    return {i: min(members) for i, members in group.items()}
+
+
+def test_near_copies_link_by_five_words(spark, documents, stages):
+    given, kept, _ = stages[1]
+    groups = five_word_groups([(r.doc_id, r.text) for r in given])
+    assert sorted(kept) == sorted(r for r in given if groups[r.doc_id] == r.doc_id)
+    # one changed word in 50: 41 / 51 by five words, 45 / 51 by three; two changed words stay apart
+    base = [f"w{i}" for i in range(50)]
+    one, two = [*base[:20], "x", *base[21:]], [*base[:15], "y", *base[16:30], "z", *base[31:]]
+    rows = [(i, " ".join(w)) for i, w in ((1, base), (2, one), (3, two))]
+    assert sorted(r.doc_id for r in pipeline.near_copies(spark, documents(rows), SF).collect()) == [1, 3]
+
+
 def test_repeats_are_cut(stages):
     given, kept, _ = stages[2]
     wanted = {i: v[3].decode("utf-8", "ignore") for i, v in without_repeats([(r.doc_id, r.text) for r in given]).items()}
