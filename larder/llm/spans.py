@@ -1,7 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends after ., ! or ? before white space, or at a line break. Every run of `run`
-consecutive sentences is hashed (lower case A-Z, white space as one blank, 128 bits), and
+A sentence ends after ., ! or ? before white space, or at a line break. Long sentences are cut
+further, at places that follow from the REACH words on either side alone, so that a passage
+is cut alike whatever surrounds it: after a word of lower rank than all of those, where words
+before , ; or : rank first, then all by a hash. No sentence may end within that reach. From
+here on, and in n_sentences, a sentence is such a part. Every run of `run` consecutive
+sentences is hashed (lower case A-Z, white space as one blank, 128 bits), and
 runs are grouped over all documents. The first occurrence, by doc_id, then place in the text,
 stays; every sentence covered by any other occurrence is removed.
 
@@ -17,7 +21,9 @@ doc_id comes first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,23 @@ from pyspark.sql import functions as F
 from larder.llm.common import texts
 
 BREAK = regex.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+WORD = re.compile(r"\S+\s*")
+REACH = 3
+
+
+def inner_ends(text: str, ends: list[int]) -> list[int]:
+    """Where sentences that end at `ends` are cut further."""
+    words = text.encode("utf-8", "replace").lower().decode().split()
+    if len(words) <= 2 * REACH + 1:
+        return []
+    stops = np.fromiter((m.end() for m in WORD.finditer(text)), np.int64, len(words))
+    rank = np.fromiter((crc32(w.encode()) + (1 if w[-1] in ",;:" else 1 << 33) for w in words), np.int64, len(words))
+    rank[np.isin(stops, ends)] = 0
+    padded = np.r_[np.zeros(REACH, np.int64), rank, np.zeros(REACH, np.int64)]
+    lowest = rank > 0
+    for k in range(1, REACH + 1):
+        lowest &= (rank < padded[REACH - k : len(padded) - REACH - k]) & (rank <= padded[REACH + k : len(padded) - REACH + k])
+    return stops[lowest].tolist()
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -36,6 +59,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     ends = [m.end() for m in BREAK.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
+    ends = sorted({*ends, *inner_ends(text, ends)})
     starts = [0, *ends[:-1]]
     return [(a, b) for a, b in zip(starts, ends, strict=True) if b > a]
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from larder.llm.common import table
 from larder.llm.registry import op8_sentence_spans
@@ -53,3 +54,29 @@ def test_whole_table(spark):
     for r in rows:
         n, gone, kept = wanted[r.doc_id]
         assert (r.n_sentences, r.n_removed, r.kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_passages_inside_sentences(documents):
+    rng = random.Random(7)
+    prose = lambda n: [f"w{rng.randrange(5000)}" + rng.choice(["", "", "", "", "", "", ",", ";"]) for _ in range(n)]
+    passages = [prose(n) for n in range(51, 81)]
+    rows = [(k * 100 + i, " ".join([*prose(20), *passage, *prose(20)])) for k in (1, 2) for i, passage in enumerate(passages)]
+    rows += [(300 + i, " ".join(prose(90))) for i in range(30)]
+    found = {r.doc_id: r for r in remove_repeated_spans(documents(rows)).collect()}
+    for i, text in rows:
+        r = found[i]
+        if 200 <= i < 300:  # later occurrence: only words of the passage go
+            own = text.split()
+            left = r.kept_text.split()
+            assert r.n_removed >= 3 and left[:20] == own[:20] and left[-20:] == own[-20:]
+        else:
+            assert r.n_removed == 0 and r.kept_text == text
+    assert found.keys() == dict(rows).keys()
+
+
+def test_cuts_do_not_depend_on_the_surroundings():
+    for passage in ("uno dos, tres cuatro cinco " * 12, " ".join(f"v{i * i}" for i in range(60))):
+        inner = [passage[a:b] for a, b in sentences(passage)][1:-1]
+        assert len(inner) >= 3
+        around = "q r s t u v w " + passage + " x y z x y z x"
+        assert [p for p in [around[a:b] for a, b in sentences(around)] if p in inner][: len(inner)] == inner
