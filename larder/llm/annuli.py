@@ -86,13 +86,13 @@ def exact_top(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 16
                     [batch.column("vec_id"), batch.column("v"), pa.array(annulus, pa.int32()), pa.array(distance)],
                     names=["vec_id", "v", "annulus", "distance"])
 
-    rows = settle(whole.mapInArrow(placed, "vec_id bigint, v array<double>, annulus int, distance double"), "annuli")
+    rows = settle(whole.distinct().mapInArrow(placed, "vec_id bigint, v array<double>, annulus int, distance double"), "annuli")
     # one row per annulus: at most pivots x rings
     extents = {r["annulus"]: (r["least"], r["most"], pieces_of(r["n"])) for r in rows.groupBy("annulus").agg(
         F.min("distance").alias("least"), F.max("distance").alias("most"), F.count(F.lit(1)).alias("n")).collect()}
     query_parts = pieces_of(n_queries)
     splits = F.element_at(F.create_map(*[F.lit(x) for a, (_, _, n) in extents.items() for x in (a, n)]), F.col("annulus"))
-    row_side = rows.select("vec_id", "v", "annulus", spread(F.col("vec_id"), splits).alias("split"),
+    row_side = rows.select("vec_id", "v", "annulus", spread(F.struct("vec_id", "v"), splits).alias("split"),
                            F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("part"))
     block = (F.col("annulus").cast("bigint") * (1 << 40) + F.col("split") * (1 << 20) + F.col("part")).alias("block")
     row_side = row_side.select(block, "vec_id", "v")
@@ -152,17 +152,17 @@ def searcher(k: int):
         found: list[tuple] = []
         if len(mine) and len(asked):
             ids, data = np.asarray(mine["vec_id"]), matrix(mine["v"])
-            order = np.lexsort((*data.T[::-1], ids))
+            order = np.argsort(ids, kind="stable")
             ids, data = ids[order], data[order]
-            copies = np.r_[False, (np.diff(ids) == 0) & (data[1:] == data[:-1]).all(1)]
-            ids, data = ids[~copies], data[~copies]
-            most = int(np.unique(ids, return_counts=True)[1].max())
+            first = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+            ids = ids[first]
             asked_ids, asked_data = np.asarray(asked["vec_id"]), matrix(asked["v"])
             for start in range(0, len(asked_ids), 256):
-                products = asked_data[start : start + 256] @ data.T
+                # the best of the vectors that share a vec_id
+                products = np.maximum.reduceat(asked_data[start : start + 256] @ data.T, first, axis=1)
                 for query, scores in zip(asked_ids[start : start + 256], products, strict=True):
                     other = ids != query
-                    best = best_in_block(ids[other], scores[other], k * most)
+                    best = best_in_block(ids[other], scores[other], k)
                     found += zip([query] * len(best), ids[other][best], scores[other][best], strict=True)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),

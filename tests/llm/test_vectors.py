@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larder.llm import annuli, vectors
 from larder.llm.annuli import exact_top
 from larder.llm.common import table
 from larder.llm.permutation import approximate_neighbours
@@ -97,3 +98,24 @@ def test_recall(spark, sf):
         hits += len(set(best.tolist()) & set(found[q]))
         assert all(abs(scores[ids == i][0] - s) < 1e-9 for i, s in found[q].items())
     assert hits >= 0.9 * 5 * len(queries)
+
+
+def test_one_id_with_a_third_of_all_rows(embeddings, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in [*range(60), *[3] * 30]]
+    rows += [rows[3]] * 30
+    blocks, emitted = [], []
+    monkeypatch.setattr(annuli, "pieces_of", lambda count: max(1, -(-count // 20)))
+
+    def by_blocks(row_side, query_side, each, schema):
+        blocks[:] = ((r["block"], r.vec_id, tuple(r.v)) for r in row_side.collect())
+        found = vectors.by_blocks(row_side, query_side, each, schema)
+        emitted.extend(r["n"] for r in found.groupBy("query_id").count().withColumnRenamed("count", "n").collect())
+        return found
+
+    monkeypatch.setattr(annuli, "by_blocks", by_blocks)
+    kept = exact_top(embeddings(rows), is_query(), pivots=1, rings=1).collect()
+    assert len(blocks) == len(set(blocks)) and len(kept) == 12 * 5
+    n_blocks = len({b for b, _, _ in blocks})
+    assert max(emitted) <= 5 * n_blocks
+    assert len({b for b, i, _ in blocks if i == 3}) > 1  # the vectors of one id are spread
