@@ -6,15 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm import scans
 from larder.llm.annuli import exact_top
+from larder.llm.audit import audit, failures
 from larder.llm.bpe import encode_decode
 from larder.llm.common import table
 from larder.llm.jaccard import link_documents
 from larder.llm.language import fit, predict, remainder
+from larder.llm.licenses import scan, summary
 from larder.llm.likelihood import score_documents
 from larder.llm.mixing import measured, mix
 from larder.llm.permutation import approximate_neighbours
 from larder.llm.pieces import read_pieces, token_counts
+from larder.llm.quantiser import digest, quantise, with_group_error
 from larder.llm.spans import remove_repeated_spans
 from larder.llm.suffixes import remove_repeats
 
@@ -75,6 +79,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = quantise(table(spark, sf_dir, "embeddings"), parts=4, entries=256, scale=1024, rounds=4, keep=("label",))
+    code = F.concat(*(F.lpad(F.lower(F.hex(F.col("indexes")[p])), 2, "0") for p in range(4)))
+    return with_group_error(coded, "label").select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(scan(table(spark, sf_dir, "documents"), keep=("doc_id",)), "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_suffix_arrays": op1_suffix_arrays,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -86,6 +105,9 @@ QUERIES = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_licenses": op12_licenses,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -179,4 +201,7 @@ ORACLES: dict[str, str] = {
         FROM scored
         QUALIFY rank <= 5
     """,
+    "op11_vector_codes": scans.vector_codes(rounds=4),
+    "op12_licenses": scans.licenses(),
+    "op13_filter_audit": scans.FILTER_AUDIT,
 }
