@@ -58,7 +58,7 @@ def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_spans(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_sentences", "n_parts", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
