@@ -11,12 +11,15 @@ Since the statistics are frozen, the cost of a byte depends on the `order` bytes
 only. The trees are laid out as tables over the byte strings that any language has seen, with
 one column per language, and whole blocks of text are looked up at once.
 
-Fitting reads `rows_per_language` labelled rows of at most `longest` characters per language
-(the smallest hashes of doc_id), a documented sample of bounded size; counting runs on the
-executors, and the tables, bounded by the sample, are broadcast.
+Fitting reads `rows_per_language` labelled rows per language (the smallest hashes of doc_id, rows of
+more than `longest` characters only where there are too few others, and of these that many
+characters), a documented sample of bounded size: no label is left out, whatever its rows' length,
+and rows with null ids take part. Counting runs on the executors, and the tables, bounded by the
+sample, are broadcast.
 
 Null text, and text without a letter: `und`, score 0. Nothing to learn from: `und` for all.
-Ties go to the language first in code point order. Null doc_id hashes as the empty text.
+Ties go to the language first in code point order. Null doc_id hashes as the empty text. Repeated
+rows count as often as they come. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,11 +59,15 @@ class Trees:
 
 
 def learning_sample(docs: DataFrame, label: str, rows_per_language: int, longest: int) -> DataFrame:
-    usable = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull() & (F.length("text") <= longest))
-    ranked = usable.select("doc_id", label, F.xxhash64("doc_id").alias("turn")).withColumn(
-        "place", F.row_number().over(Window.partitionBy(label).orderBy("turn", "doc_id")))
-    chosen = ranked.where(F.col("place") <= rows_per_language).select("doc_id").distinct()
-    return usable.join(chosen, "doc_id", "left_semi").select(F.col(label).alias("label"), "text")
+    """label, text: short texts before longer ones, then by hash; of longer ones the first `longest` characters."""
+    usable = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select(
+        F.col("doc_id").alias("id"), F.col(label).cast("string").alias("label"), "text", F.xxhash64("text").alias("print"))
+    order = Window.partitionBy("label").orderBy("long", "turn", "id", "print")
+    ranked = usable.select("id", "label", "print", (F.length("text") > longest).alias("long"), F.xxhash64("id").alias("turn"))
+    chosen = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_language).select(
+        F.col("id").alias("c_id"), F.col("print").alias("c_print"), F.col("label").alias("c_label")).distinct()
+    same = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("print") == F.col("c_print")) & (F.col("label") == F.col("c_label"))
+    return usable.join(chosen, same, "left_semi").select("label", F.substring("text", 1, longest).alias("text"))
 
 
 def gram_counts(sample: DataFrame) -> DataFrame:

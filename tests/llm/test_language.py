@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from larder.llm.common import table
-from larder.llm.language import ORDER, PAD, Coder, build, fit, gram_counts, predict, remainder
+from larder.llm.language import ORDER, PAD, Coder, build, fit, gram_counts, learning_sample, predict, remainder
 from larder.llm.registry import op9_language
 from tests.conftest import SF
 
@@ -86,3 +86,52 @@ def test_only_learning_rows_are_read(documents):
     rows = [(i, "aaa bbb" if zlib.crc32(str(i).encode()) % 3 == 1 else "ccc ddd", "x") for i in range(1, 30)]
     trees = fit(documents(rows).where(remainder(3) != 1))
     assert trees.code[0][ord("a")][0] > 8 > trees.code[0][ord("c")][0]
+
+
+def test_no_label_is_left_out(documents):
+    rows = [(i, "the cat and the dog " * 5, "en") for i in range(5)]
+    rows += [(100 + i, "der hund und die katze " * 2000, "de") for i in range(4)]  # longer than what is read of a row
+    rows += [(None, f"el gato y el perro {i}", "es") for i in range(4)]
+    trees = fit(documents(rows), rows_per_language=3, longest=1000)
+    assert trees.languages == ["de", "en", "es"]
+    asked = [(1, "und die katze"), (2, "and the cat"), (3, "el perro y el gato")]
+    assert {r.doc_id: r.lang_pred for r in predict(documents(asked), trees).collect()} == {1: "de", 2: "en", 3: "es"}
+    counts = gram_counts(learning_sample(documents(rows), "lang", 3, 1000)).where("size = 1").groupBy("label").sum("n").collect()
+    assert {r[0]: r[1] for r in counts} == {"de": 3000, "en": 300, "es": 60}
+
+
+def test_whole_table_against_the_slow_coder(spark):
+    docs = table(spark, SF, "documents")
+    trees = fit(docs.where(remainder(3) != 1))
+    sample = learning_sample(docs.where(remainder(3) != 1), "lang", 400, 20_000).collect()
+    grams = {name: Counter() for name in trees.languages}
+    for row in sample:
+        data = PAD + row.text.encode()
+        for i in range(ORDER, len(data)):
+            for size in range(1, ORDER + 2):
+                grams[row.label][data[i - size + 1 : i + 1]] += 1
+    totals = {name: (Counter(), Counter()) for name in grams}
+    for name, counted in grams.items():
+        for gram, n in counted.items():
+            totals[name][0][gram[:-1]] += n
+            totals[name][1][gram[:-1]] += 1
+
+    def bits(name, data, i):
+        cost = 0.0
+        for size in range(ORDER + 1, 0, -1):
+            context, gram = data[i - size + 1 : i], data[i - size + 1 : i + 1]
+            total, different = totals[name][0][context], totals[name][1][context]
+            if grams[name][gram]:
+                return cost - math.log2(grams[name][gram] / (total + different))
+            if total:
+                cost -= math.log2(different / (total + different))
+        return cost + 8.0
+
+    found = {r.doc_id: r for r in op9_language(spark, SF).collect()}
+    for row in docs.orderBy("doc_id").collect():
+        data = PAD + row.text.encode()
+        length = {name: sum(bits(name, data, i) for i in range(ORDER, len(data))) for name in trees.languages}
+        best = min(length.values())
+        assert length[found[row.doc_id].lang_pred] == pytest.approx(best, rel=1e-5)
+        score = 1 / sum(2.0 ** max(best - b, -900.0) for b in length.values())
+        assert found[row.doc_id].score == pytest.approx(score, abs=1e-3)
