@@ -6,10 +6,10 @@ k = (100 - percent) / (100 + percent), they differ in at most k * (size + size)
 
 1. Equal sets become one class, represented by the smallest doc_id.
 2. Where to search. Sizes fall into classes such that links join equal or neighbouring ones.
-   For each class the shingles are dealt into one more part than linked sets can differ in,
-   so linked sets agree in some whole part: its fingerprint is a signature. (Should the only
-   equal parts be empty ones, both sets deal anew with another seed, and so on; at the
-   last level empty parts count as well.) Signature groups are tied to their smallest member,
+   For each class the shingles are dealt into some more parts than the k that linked sets can
+   differ in, so linked sets agree in the others: a part's fingerprint is a signature. (Only if as
+   many parts are empty as must agree can all that agree be empty. Such a set deals anew with
+   another seed, and so on; at the last level empty parts count as well.) Signature groups are tied to their smallest member,
    and the components of these ties hold all links. Nothing else is compared.
 3. Search. In each component, or pair of blocks of a large one (by documents or shingles), an inverted file lists
    the documents of every shingle. A query must reach overlap T; its L longest lists are set
@@ -80,22 +80,25 @@ def shingle_sets(texts_: list[list[bytes]], n: int, prints: WordPrints) -> tuple
     return owner[new], value[new]
 
 
-def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each class, and how many parts its sets are dealt into."""
-    first, parts = [], []
+def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size of each class, how many parts its sets are dealt into, and in how many of them
+    linked sets can differ."""
+    first, parts, differ = [], [], []
     low = 1
     while True:
         high = low * 100 // percent
         first.append(low)
-        parts.append(2 * high * (100 - percent) // (100 + percent) + 1)
+        k = 2 * high * (100 - percent) // (100 + percent)
+        differ.append(k)
+        parts.append(k + 3 + (k + 1) // 10 if k else 1)
         if low > largest:
-            return np.array(first), np.array(parts)
+            return np.array(first), np.array(parts), np.array(differ)
         low = high + 1
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of the document and signature, for its own size class and the next."""
-    first, parts = size_classes(int(sizes.max(initial=1)) + 1, percent)
+    first, parts, differ = size_classes(int(sizes.max(initial=1)) + 1, percent)
     mine = np.searchsorted(first, sizes, "right") - 1
     out_owner, out_sign = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     weight = mixed(value ^ U64(0x5851F42D4C957F2D))
@@ -120,7 +123,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent:
             kept = (count > 0) | (level == LEVELS - 1)
             out_owner.append(holder[kept])
             out_sign.append(sign[kept])
-            active = np.bincount(holder[count == 0], minlength=len(sizes)) > 0
+            active &= np.bincount(holder[count == 0], minlength=len(sizes)) >= (parts - differ)[scheme]
     return np.concatenate(out_owner), np.concatenate(out_sign)
 
 

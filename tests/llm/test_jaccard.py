@@ -79,23 +79,32 @@ def test_repeated_ids_and_nulls(documents):
     assert link_documents(documents([])).collect() == []
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(3)
     for size in [*range(1, 60), 150, 400]:
         for _ in range(6):
             whole = rng.integers(0, 1 << 62, 2 * size).astype(np.uint64)
-            drop = rng.integers(0, size // 9 + 1)
+            drop = rng.integers(0, size * (100 - percent) // percent + 1)
             a, b = whole[:size], np.r_[whole[: size - drop // 2], whole[size : size + drop // 2]]
             shared = len(set(a.tolist()) & set(b.tolist()))
-            if 100 * shared < 90 * (len(a) + len(b) - shared):
+            if 100 * shared < percent * (len(a) + len(b) - shared):
                 continue
             owner = np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
-            holder, sign = signatures(owner, np.r_[a, b], np.array([len(a), len(b)]), 90)
+            holder, sign = signatures(owner, np.r_[a, b], np.array([len(a), len(b)]), percent)
             assert set(sign[holder == 0].tolist()) & set(sign[holder == 1].tolist())
 
 
+def test_few_sets_deal_anew():
+    rng = np.random.default_rng(4)
+    sizes = np.full(200, 300)
+    value = rng.integers(0, 1 << 62, 60_000).astype(np.uint64)
+    holder, _ = signatures(np.repeat(np.arange(200), 300), value, sizes, 80)
+    assert len(holder) < 200 * 2 * 110  # a level of each of two schemes, not six
+
+
 def test_size_classes_cover_linked_sizes():
-    first, _ = size_classes(5000, 90)
+    first, _, _ = size_classes(5000, 90)
     number = lambda s: np.searchsorted(first, s, "right") - 1
     for small in range(1, 3000):
         assert number(small * 10 // 9) - number(small) <= 1
