@@ -40,7 +40,7 @@ from larder.session import settle
 
 BLOCK_DOCUMENTS = 2048
 BLOCK_SHINGLES = 1_000_000
-CHUNK = 400_000
+CHUNK = 100_000
 LEVELS = 6
 CACHED_WORDS = 150_000
 U64 = np.uint64
@@ -140,12 +140,12 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[bytes]]]
         yield start, len(batch), group
 
 
-def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b (of the whole set), signs for every row."""
+def described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, print_a, print_b (of the whole set) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = WordPrints()
-        for batch in slices(batches, 2048):
+        for batch in slices(batches):
             for start, stop, group in chunks(batch):
                 owner, value = shingle_sets(group, n, prints)
                 sizes = np.bincount(owner, minlength=len(group))
@@ -154,15 +154,26 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     total = np.zeros(len(group), U64)
                     np.add.at(total, owner, mixed(value * U64(2 * salt + 1) + U64(salt)))
                     halves.append(mixed(total + sizes.astype(U64)).astype(np.int64))
-                holder, sign = signatures(owner, value, sizes, percent)
-                order = np.argsort(holder, kind="stable")
-                offsets = np.r_[0, np.cumsum(np.bincount(holder, minlength=len(group)))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, stop - start), pa.array(sizes.astype(np.int64)), pa.array(halves[0]),
-                     pa.array(halves[1]), pa.ListArray.from_arrays(offsets, sign[order].astype(np.int64))],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "signs"])
+                     pa.array(halves[1])], names=["doc_id", "n_shingles", "print_a", "print_b"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint")
+
+
+def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, sign: a row per signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = WordPrints()
+        for batch in slices(batches):
+            for start, _, group in chunks(batch):
+                owner, value = shingle_sets(group, n, prints)
+                holder, sign = signatures(owner, value, np.bincount(owner, minlength=len(group)), percent)
+                ids = batch.column("doc_id").take(pa.array(holder + start))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sign.astype(np.int64))], names=["doc_id", "sign"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, signs array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, sign bigint")
 
 
 class Forest:
@@ -281,14 +292,16 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = texts(docs)
-    rows = settle(described(docs, n, percent), "jaccard")
+    rows = settle(described(docs, n), "jaccard")
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("first"))
-    first = linked.join(classes.select("print_a", "print_b", F.col("first").alias("doc_id")), ["print_a", "print_b", "doc_id"], "left_semi")
-    signed = first.select("doc_id", F.explode("signs").alias("sign"))
-    sizes = first.select(F.col("doc_id").alias("node"), "n_shingles")
+    # only one document of each class is signed: copies neither travel nor meet
+    firsts = classes.select(F.col("first").alias("doc_id")).distinct()
+    sizes = linked.join(classes.select("print_a", "print_b", F.col("first").alias("doc_id")), ["print_a", "print_b", "doc_id"], "left_semi").select(
+        F.col("doc_id").alias("node"), "n_shingles").distinct()
+    signs = signed(docs.join(firsts, "doc_id", "left_semi"), n, percent)
     smallest = F.min("doc_id").over(Window.partitionBy("sign").orderBy("doc_id"))
-    ties = signed.withColumn("hub", smallest).where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    ties = signs.withColumn("hub", smallest).where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     groups = components(ties)
     needed = F.greatest(F.count(F.lit(1)) / block_documents, F.sum("n_shingles") / BLOCK_SHINGLES)
     blocks = groups.join(sizes, "node").groupBy("component").agg(F.ceil(needed).alias("blocks"))
