@@ -15,11 +15,11 @@ def whole(amount: Column) -> Column:
     return F.rint(amount).cast("bigint")
 
 
-def safety_stock(std: Column, lead_days: int, z: float | Column) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(z) * std * F.lit(float(lead_days) ** 0.5))
+def safety_stock(std: Column, lead_days: int | Column, z: float | Column) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(z) * std * F.sqrt(F.lit(lead_days).cast("double")))
 
 
-def reorder_point(mean: Column, lead_days: int, safety: Column) -> Column:
+def reorder_point(mean: Column, lead_days: int | Column, safety: Column) -> Column:
     return mean * F.lit(lead_days) + safety
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,51 @@ def lists(grid: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+class Segments:
+    """The recipe lines of a batch of series, one after the other, in arrays over all lines."""
+
+    def __init__(self, column: pa.Array):
+        self.width = np.asarray(column.value_lengths(), np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.row = np.repeat(np.arange(len(self.width)), self.width)
+        self.place = np.arange(len(self.row)) - self.begin[self.row]
+
+    def flat(self, column: pa.Array, dtype=np.float64) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+
+    def of(self, by_row: np.ndarray) -> np.ndarray:
+        """A value per series for each of its lines."""
+        return by_row[self.row]
+
+    def least(self, by_line: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(by_line, self.begin)
+
+    def most(self, by_line: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(by_line, self.begin)
+
+    def largest(self, by_line: np.ndarray) -> np.ndarray:
+        """The place of each series' largest value, the first of equal ones."""
+        return self.least(np.where(by_line == self.of(self.most(by_line)), self.place, len(by_line)))
+
+    def ranked(self, by_line: np.ndarray) -> np.ndarray:
+        """Lines by series, largest value first, equal ones in recipe order."""
+        return np.lexsort((self.place, -by_line, self.row))
+
+    def lists(self, by_day: np.ndarray, days: np.ndarray) -> pa.Array:
+        """(days x lines) -> a list per series, day after day."""
+        counts = np.asarray(days, np.int64) * self.width
+        begins = np.cumsum(counts) - counts
+        row = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(row)) - begins[row]
+        flat = by_day[at // self.width[row], self.begin[row] + at % self.width[row]]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
+
+
+def days_of(column: str, width: Column) -> Column:
+    """A list of days times lines as one list per day."""
+    return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice(column, i * width + 1, width))
+
+
 def fold(
     nested: DataFrame,
     step: Callable[[pa.RecordBatch], dict[str, pa.Array]],

@@ -6,47 +6,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.grid import LONGS, fold, lists, matrix, nest, unnest
-from larder.operators.stock import start_stock_columns
+from larder.operators.grid import LONGS, Segments, days_of, fold, matrix, nest, unnest
+from larder.operators.settings import with_settings
 from larder.tables import Policy
 
 
-def _walk(policy: Policy):
-    per = np.array(list(policy.recipe.values()), dtype=float)
-    reorder = np.array([policy.reorder_points.get(i, 0) for i in policy.ingredients], dtype=float)
-    restock = np.array([policy.restock_amounts.get(i, 0) for i in policy.ingredients], dtype=float)
-
-    def step(batch) -> dict:
-        qty = matrix(batch["qty_total"])
-        stock = matrix(batch["stock0"])
-        average = np.maximum(1, batch["mean_qty"].to_numpy().astype(np.int64))
-        safety = policy.safety_days * average[:, None] * per
-        threshold = np.maximum(reorder, safety)
-        surplus = safety * policy.surplus_factor
-        signal = np.zeros((*qty.shape, len(per)), dtype=np.int64)
-        for day in range(qty.shape[1]):
-            after = stock - np.trunc(qty[:, day, None] * per)
-            short = after < threshold
-            signal[:, day] = np.where(short, 1, np.where(after > surplus, -1, 0))
-            stock = after + short * restock
-        return {"signals": lists(signal, batch["n"].to_numpy())}
-
-    return step
-
-
-def daily_signals(plan: DataFrame, policy: Policy, start_stock: DataFrame | None = None) -> DataFrame:
-    """signals(series, date, ingredient, signal): 1 short (and restocked), -1 surplus, else 0."""
+def _walk(batch) -> dict:
+    lines = Segments(batch["per_item"])
+    per, reorder, restock, stock = (lines.flat(batch[c]) for c in ("per_item", "reorder_point", "restock_amount", "stock0"))
+    qty = matrix(batch["qty_total"])
+    average = np.maximum(1, batch["mean_qty"].to_numpy().astype(np.int64))
+    safety = lines.of(batch["safety_days"].to_numpy() * average) * per
+    threshold = np.maximum(reorder, safety)
+    surplus = safety * lines.of(batch["surplus_factor"].to_numpy())
+    signal = np.zeros((qty.shape[1], len(per)), dtype=np.int64)
+    for day in range(qty.shape[1]):
+        after = stock - np.trunc(lines.of(qty[:, day]) * per)
+        short = after < threshold
+        signal[day] = np.where(short, 1, np.where(after > surplus, -1, 0))
+        stock = after + short * restock
+    return {"signals": lines.lists(signal, batch["n"].to_numpy())}
+
+
+def daily_signals(plan: DataFrame, policy: Policy, start_stock: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """signals(series, date, ingredient, signal): 1 short (and restocked), -1 surplus, else 0.
+
+    `settings` (see `series_settings`) gives series their own recipe lines and rules.
+    """
     nested = nest(plan, ["date", "qty_total"])
     total = F.aggregate("qty_total", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    sized = start_stock_columns(nested.withColumn("mean_qty", total / F.col("n")), policy, start_stock)
-    folded = fold(sized, _walk(policy), {"signals": LONGS})
-    width = len(policy.recipe)
-    per_day = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("signals", i * width + 1, F.lit(width))
-    )
-    rows = unnest(folded.withColumn("signal", per_day), ["date", "signal"])
-    lines = F.array(*[
-        F.struct(F.lit(i).alias("ingredient"), F.col("signal")[k].alias("signal"))
-        for k, i in enumerate(policy.ingredients)
-    ])
+    sized = with_settings(nested.withColumn("mean_qty", total / F.col("n")), policy, start_stock, settings)
+    folded = fold(sized, _walk, {"signals": LONGS}, keep=["series", "n", "date", "ingredients"])
+    rows = unnest(folded.withColumn("signal", days_of("signals", F.size("ingredients"))), ["date", "signal"], keep=["ingredients"])
+    lines = F.arrays_zip(F.col("ingredients").alias("ingredient"), "signal")
     return rows.select("series", "date", F.inline(lines))

@@ -85,3 +85,29 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts.alias("ts"),
         "conv_id", "turn",
     )
+
+
+PANTRY = ("apples", "dough", "cinnamon", "butter", "sugar")
+
+
+def recipe_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two to five recipe lines per series, and rules of its own for every series but each fifth."""
+    s, k = F.col("series"), F.col("pos")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("series"))
+    lines = suppliers.select("series", F.posexplode(F.array(*map(F.lit, PANTRY))).alias("pos", "ingredient")).where(k < 2 + s % 4)
+    lines = lines.withColumns({
+        "per_item": 1 + (s + k) % 3,
+        "lot_size": F.when(k != 2, 10 * (1 + s % 5)),
+        "shelf_days": 3 + (s + 2 * k) % 6,
+        "reorder_point": 20 * (k + 1),
+        "restock_amount": 100 + 50 * ((s + k) % 3),
+        "stock0": 40 * (k + 1),
+    })
+    rules = suppliers.where(s % 5 != 4).withColumns({
+        "vendor_day_of_week": s % 7,
+        "specials_on": F.array(s % 7, (s + 3) % 7),
+        "special_cap": 3 + s % 3,
+        "lead_days": 1 + s % 3,
+        "restock_day_of_week": s % 2,
+    })
+    return lines, rules

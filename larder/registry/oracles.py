@@ -622,6 +622,108 @@ SELECT series, date, qty_sold, CAST(qty_total + add_a + add_b AS BIGINT) AS qty_
        CAST(add_a + add_b AS BIGINT) AS special_added FROM done"""
 
 
+# Recipe lines as lists, one row of settings per series.
+OWN_PLAN = f"""{PLAN},
+numbered_plan AS MATERIALIZED (SELECT *, row_number() OVER {BY_DAY} AS i FROM plan),
+pantry(pos, ingredient) AS (VALUES (0, 'apples'), (1, 'dough'), (2, 'cinnamon'), (3, 'butter'), (4, 'sugar')),
+own AS MATERIALIZED (
+  SELECT s_suppkey AS series, list(ingredient ORDER BY pos) AS names, list((1 + (s_suppkey + pos) % 3)::DOUBLE ORDER BY pos) AS per,
+    list(CASE WHEN pos <> 2 THEN 10 * (1 + s_suppkey % 5) ELSE 1 END ORDER BY pos) AS lot,
+    list(3 + (s_suppkey + 2 * pos) % 6 ORDER BY pos) AS shelf, list(20 * (pos + 1) ORDER BY pos) AS reorder,
+    list(100 + 50 * ((s_suppkey + pos) % 3) ORDER BY pos) AS restock, list((40 * (pos + 1))::DOUBLE ORDER BY pos) AS stock0,
+    range(1, 3 + s_suppkey % 4) AS ks, s_suppkey % 5 <> 4 AS ruled
+  FROM supplier CROSS JOIN pantry WHERE pos < 2 + s_suppkey % 4 GROUP BY s_suppkey),
+settings AS MATERIALIZED (
+  SELECT *, CASE WHEN ruled THEN series % 7 ELSE {POLICY.vendor_weekday} END AS vendor,
+    CASE WHEN ruled THEN [series % 7, (series + 3) % 7] ELSE {list(POLICY.special_days)} END AS specials_on,
+    CASE WHEN ruled THEN 3 + series % 3 ELSE {POLICY.special_boost_max_per_day} END AS cap,
+    CASE WHEN ruled THEN 1 + series % 3 ELSE {LEAD} END AS lead,
+    CASE WHEN ruled THEN series % 2 ELSE {POLICY.restock_weekday} END AS delivery_day
+  FROM own)"""
+
+ORACLES["signals_by_table"] = f"""WITH RECURSIVE {OWN_PLAN},
+levels AS (SELECT series, greatest(1, CAST(trunc(avg(qty_total)) AS BIGINT)) AS average FROM plan GROUP BY series),
+walk AS (
+  SELECT series, CAST(0 AS BIGINT) AS i, stock0 AS st, CAST([] AS BIGINT[]) AS signal FROM settings
+  UNION ALL
+  SELECT series, i, [after[k] + CASE WHEN signal[k] = 1 THEN restock[k] ELSE 0 END FOR k IN ks], signal FROM (
+    SELECT *, [CASE WHEN after[k] < greatest(reorder[k], {POLICY.safety_days} * average * per[k]) THEN 1
+                    WHEN after[k] > {POLICY.safety_days} * average * per[k] * {POLICY.surplus_factor} THEN -1 ELSE 0 END::BIGINT FOR k IN ks] AS signal
+    FROM (SELECT p.series, p.i, s.* EXCLUDE (series), average, [w.st[k] - p.qty_total * s.per[k] FOR k IN s.ks] AS after
+          FROM walk w JOIN numbered_plan p ON p.series = w.series AND p.i = w.i + 1
+          JOIN settings s ON s.series = p.series JOIN levels l ON l.series = p.series)))
+SELECT series, date, unnest(names) AS ingredient, unnest(signal) AS signal
+FROM walk JOIN numbered_plan USING (series, i) JOIN settings USING (series)"""
+
+ORACLES["balance_by_table"] = f"""WITH RECURSIVE {OWN_PLAN},
+wk AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY y, w) AS wi FROM (
+    SELECT series, isoyear(date) AS y, weekofyear(date) AS w, avg(qty_total) AS mean_qty, sum(qty_total)::BIGINT AS total_qty,
+      min(date) AS first_day, max(date) AS last_day, count(*) FILTER (list_contains(specials_on, isodow(date) - 1)) AS specials
+    FROM plan JOIN settings USING (series) GROUP BY ALL)),
+balance AS (
+  SELECT series, CAST(0 AS BIGINT) AS wi, stock0 AS st, CAST([] AS BOOLEAN[]) AS buy, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS pick FROM settings
+  UNION ALL
+  SELECT series, wi, [st1[k] - least(extra, cap * specials) * per[k] FOR k IN ks], buy, extra, pick FROM (
+    SELECT *, CASE WHEN big THEN greatest(0, list_min([floor((st1[k] - thr[k]) / per[k]) FOR k IN ks])) ELSE 0 END::BIGINT AS extra,
+           CASE WHEN big THEN list_position(gap, list_max(gap)) ELSE 0 END::BIGINT AS pick FROM (
+      SELECT *, [st1[k] - saf[k] FOR k IN ks] AS gap, list_bool_or([st1[k] > saf[k] * {POLICY.surplus_factor} FOR k IN ks]) AS big FROM (
+        SELECT *, [st[k] + CASE WHEN buy[k] THEN restock[k] ELSE 0 END - total_qty * per[k] FOR k IN ks] AS st1 FROM (
+          SELECT *, [isodow(first_day) - 1 = delivery_day AND st[k] - total_qty * per[k] < thr[k] FOR k IN ks] AS buy FROM (
+            SELECT *, [greatest(reorder[k], saf[k]) FOR k IN ks] AS thr FROM (
+              SELECT f.*, s.* EXCLUDE (series), b.st, [{POLICY.safety_days} * greatest(1, trunc(mean_qty)) * s.per[k] FOR k IN s.ks] AS saf
+              FROM balance b JOIN wk f ON f.series = b.series AND f.wi = b.wi + 1 JOIN settings s ON s.series = f.series))))))),
+nth_day AS (SELECT series, date, row_number() OVER (PARTITION BY series, isoyear(date), weekofyear(date) ORDER BY date) AS nth
+  FROM plan JOIN settings USING (series) WHERE list_contains(specials_on, isodow(date) - 1))
+SELECT p.series, p.date, p.qty_total AS qty_sold, CAST(added AS BIGINT) AS special_added, CAST(p.qty_total + added AS BIGINT) AS qty_total,
+       CAST(CASE WHEN p.date = first_day THEN len([x FOR x IN buy IF x]) ELSE 0 END AS BIGINT) AS lines_bought, pick
+FROM (SELECT p.*, f.first_day, b.buy, b.pick, CASE WHEN nth IS NULL THEN 0 ELSE greatest(0, least(cap, extra - cap * (nth - 1))) END AS added
+      FROM plan p JOIN settings s ON s.series = p.series
+      JOIN wk f ON f.series = p.series AND p.date BETWEEN f.first_day AND f.last_day
+      JOIN balance b ON b.series = f.series AND b.wi = f.wi
+      LEFT JOIN nth_day n ON n.series = p.series AND n.date = p.date) p"""
+
+
+def specials_in_turn(source: str, most: int = 5) -> str:
+    """Adds add_1, add_2, ..: what the line of each rank burns, one rank after the other."""
+    for r in range(1, most + 1):
+        before = f"st_{r - 1}"
+        want = f"least(cap, floor(sur[turn[{r}]] / per[turn[{r}]]))"
+        source = f"""(SELECT *, [greatest(0.0, {before}[k] - round_even(add_{r} * per[k], 0)) FOR k IN ks] AS st_{r} FROM (
+          SELECT *, CASE WHEN {r} > len(per) OR NOT special OR sur[turn[{r}]] <= 0 OR {want} <= 0
+            OR {before}[turn[{r}]] - {want} * per[turn[{r}]] < 0 THEN 0.0 ELSE {want} END AS add_{r} FROM {source}))"""
+    return source
+
+
+def safe(std: str) -> str:
+    return f"greatest(0.0, {Z} * ({std} * per[k]) * sqrt(lead::DOUBLE))"
+
+
+TONIGHT = f"""(
+  SELECT *, [x.k FOR x IN list_sort([{{'s': -sur[k], 'k': k}} FOR k IN ks])] AS turn FROM (
+    SELECT *, [st_0[k] - round_even(future[k] * per[k], 0) - {safe('special_std')} FOR k IN ks] AS sur FROM (
+      SELECT *, [greatest(0.0, held[k] + buy[k] - round_even(qty_total * per[k], 0)) FOR k IN ks] AS st_0 FROM (
+        SELECT *, [CASE WHEN opens AND held[k] < buy_mean * per[k] * lead + {safe('buy_std')}
+          THEN ceil(greatest(0.0, lead_demand * per[k] + {safe('buy_std')} + per[k] - held[k]) / lot[k]) * lot[k] ELSE 0.0 END FOR k IN ks] AS buy
+        FROM (SELECT n.*, w.st AS held FROM stocked w JOIN numbered n ON n.series = w.series AND n.i = w.i + 1)))))"""
+ORACLES["schedule_by_table"] = f"""WITH RECURSIVE {OWN_PLAN}, {STATS},
+whole AS (SELECT series, list(qty_total ORDER BY date) AS q FROM plan GROUP BY series),
+numbered AS MATERIALIZED (
+  SELECT t.* EXCLUDE (lead_demand), p.i, s.* EXCLUDE (series), isodow(t.date) - 1 = vendor AS opens,
+    list_contains(specials_on, isodow(t.date) - 1) AS special, coalesce(list_sum(q[p.i : p.i + lead - 1]), 0)::BIGINT AS lead_demand,
+    [coalesce(list_sum(q[p.i + 1 : p.i + lead + shelf[k] // 2]), 0) FOR k IN ks] AS future
+  FROM stats t JOIN numbered_plan p USING (series, date) JOIN settings s USING (series) JOIN whole USING (series)),
+stocked AS (
+  SELECT series, CAST(0 AS BIGINT) AS i, stock0 AS st, CAST([] AS DOUBLE[]) AS buy, CAST([] AS DOUBLE[]) AS adds FROM settings
+  UNION ALL
+  SELECT series, i, st_5, buy, [CASE k WHEN turn[1] THEN add_1 WHEN turn[2] THEN add_2 WHEN turn[3] THEN add_3
+                                       WHEN turn[4] THEN add_4 WHEN turn[5] THEN add_5 END FOR k IN ks]
+  FROM {specials_in_turn(TONIGHT)})
+SELECT series, date, qty_sold, CAST(list_sum(adds) AS BIGINT) AS special_added, CAST(qty_total + list_sum(adds) AS BIGINT) AS qty_total, lead_demand,
+  array_to_string([x::BIGINT FOR x IN buy], ',') AS orders, array_to_string([x::BIGINT FOR x IN adds], ',') AS extras
+FROM stocked JOIN numbered USING (series, i)"""
+
+
 
 def one_place(number: str) -> str:
     return f"round_even({number}, 1)::DECIMAL(38, 1)::VARCHAR"

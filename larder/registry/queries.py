@@ -9,8 +9,21 @@ from pyspark.sql import functions as F
 
 from larder.functions import calendar, quantities
 from larder.operators import (
-    accuracy, advisories, exports, features, forecast, ledger, menu, people, ridge, scheduler, serving, spine,
-    stock, weekly,
+    accuracy,
+    advisories,
+    exports,
+    features,
+    forecast,
+    ledger,
+    menu,
+    people,
+    ridge,
+    scheduler,
+    serving,
+    settings,
+    spine,
+    stock,
+    weekly,
 )
 from larder.plans import season
 from larder.registry import inputs
@@ -371,7 +384,7 @@ def safety_rop(spark, sf):
     """Safety stock and reorder point per ingredient, every day of the plan."""
     rows = scheduler.demand_statistics(inputs.bare_plan(spark, sf), POLICY)
     lines = quantities.with_recipe(rows, POLICY, "ingredient", "per_item", "lot_size", "start_stock")
-    safety, rop, target = scheduler.reorder_levels(POLICY, F.col("per_item"))
+    safety, rop, target = scheduler.reorder_levels(POLICY.lead_time_days, POLICY.z, F.col("per_item"))
     return lines.select(
         "series", "date", "ingredient", "lot_size", "start_stock",
         r6(safety, "safety"), r6(rop, "reorder_point"), r6(target, "target_cover"),
@@ -507,6 +520,32 @@ def schedule_advisories(spark, sf):
     )
 
 
+def _own_settings(spark, sf) -> DataFrame:
+    return settings.series_settings(*inputs.recipe_tables(spark, sf))
+
+
+@query
+def signals_by_table(spark, sf):
+    """Daily signals where every series has its own recipe lines."""
+    return ledger.daily_signals(inputs.bare_plan(spark, sf), POLICY, settings=_own_settings(spark, sf))
+
+
+@query
+def balance_by_table(spark, sf):
+    """The weekly balance with own recipe lines, special days, caps and delivery days."""
+    days = weekly.weekly_balance(inputs.bare_plan(spark, sf), POLICY, settings=_own_settings(spark, sf))
+    bought = F.aggregate("buy", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return days.select("series", "date", "qty_sold", "special_added", "qty_total", bought.alias("lines_bought"), "pick")
+
+
+@query
+def schedule_by_table(spark, sf):
+    """The scheduler with own recipe lines, lots, shelf lives, lead times, vendor and special days."""
+    days = scheduler.schedule(inputs.bare_plan(spark, sf), POLICY, settings=_own_settings(spark, sf))
+    listed = {name: F.array_join(F.col(name).cast("array<string>"), ",").alias(name) for name in ("orders", "extras")}
+    return days.select("series", "date", "qty_sold", "special_added", "qty_total", "lead_demand", *listed.values())
+
+
 # --- advisories ----------------------------------------------------------------------------------
 
 

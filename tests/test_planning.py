@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import advisories, exports, ledger, scheduler, serving, stock, weekly
+from larder.operators import advisories, exports, ledger, scheduler, serving, settings, stock, weekly
 from larder.operators.forecast import as_plan, recipe_need, with_need_columns
 from larder.plans.season import with_signal_columns
 from larder.tables import Policy
@@ -275,3 +275,58 @@ def test_serving_views(plan, spark):
     demo = {r["series"]: r["is_demo"] for r in serving.demo_check(table).collect()}
     assert demo == {"a": False, "b": True, "c": False}
     assert serving.demo_check(table.limit(0)).count() == 0
+
+
+# --- settings kept as tables ---------------------------------------------------------------------
+
+OWN_POLICIES = {
+    "s0": THREE,
+    "s1": Policy(recipe={"a": 1, "b": 2.5, "c": 0.5, "d": 3, "e": 2}, lots={"a": 7, "d": 12}, vendor_weekday=3, special_days=(0, 6),
+                 special_boost_max_per_day=2, lead_time_days=1, restock_weekday=2, reorder_points={"b": 30}, restock_amounts={"a": 90, "c": 40, "d": 200}),
+    "s2": Policy(recipe={"x": 4}, vendor_weekday=None, lead_time_days=0, surplus_factor=1.1, safety_days=1, restock_amounts={"x": 300}),
+    "s6": Policy(recipe={"x": 0, "y": 1}, special_days=(), service_level=0.8, forecast_year=2026),
+}
+
+
+def own_settings(spark):
+    lines, rules = [], []
+    for name, p in OWN_POLICIES.items():
+        for pos, (i, per) in enumerate(p.recipe.items()):
+            lines.append((name, pos, i, float(per), p.lots.get(i), p.shelf_life.get(i), p.reorder_points.get(i, 0), p.restock_amounts.get(i, 0), p.start_stock.get(i, 0)))
+        rules.append((name, -1 if p.vendor_weekday is None else p.vendor_weekday, list(p.special_days), p.special_boost_max_per_day, p.z,
+                      p.lead_time_days, p.restock_weekday, p.forecast_year, p.safety_days, p.surplus_factor))
+    return settings.series_settings(
+        spark.createDataFrame(lines, "series string, pos int, ingredient string, per_item double, lot_size bigint, shelf_days int, "
+                              "reorder_point bigint, restock_amount bigint, stock0 bigint"),
+        spark.createDataFrame(rules, "series string, vendor_day_of_week int, specials_on array<int>, special_cap int, z double, lead_days int, "
+                              "restock_day_of_week int, wanted_year int, safety_days int, surplus_factor double"))
+
+
+RUNS = {
+    "schedule": lambda plan, p, s: scheduler.schedule_advisories(scheduler.schedule(plan, p, settings=s), p).select("series", "date", "type", "qty", "special_qty", "message"),
+    "scheduled": lambda plan, p, s: scheduler.scheduled_plan(scheduler.schedule(plan, p, settings=s)),
+    "balance": lambda plan, p, s: weekly.balance_plan(weekly.weekly_balance(plan, p, settings=s)),
+    "advice": lambda plan, p, s: weekly.balance_advisories(weekly.weekly_balance(plan, p, settings=s), p).select("series", "date", "type", "week"),
+    "signals": lambda plan, p, s: ledger.daily_signals(plan, p, settings=s),
+}
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_every_series_by_its_own_settings(spark, plan, run):
+    found = sorted(map(tuple, RUNS[run](plan, Policy(), own_settings(spark)).collect()), key=str)
+    wanted = []
+    for name in [r.series for r in plan.select("series").distinct().collect()]:
+        mine = OWN_POLICIES.get(name, Policy())
+        wanted += RUNS[run](plan.where(F.col("series") == name), mine, None).collect()
+    assert found == sorted(map(tuple, wanted), key=str)
+    assert found
+
+
+def test_settings_fill_in_what_tables_leave_out(spark, plan):
+    lines = spark.createDataFrame([("s0", "egg", 2), ("s0", "flour", 1), ("zz", "egg", 1)], "series string, ingredient string, per_item int")
+    opening = spark.createDataFrame([("s0", "egg", 9), ("s0", "egg", 11)], "series string, ingredient string, qty int")
+    row = settings.series_settings(lines, start_stock=opening).where("series = 's0'").first()
+    assert (row.ingredients, row.per_item, row.stock0, row.lot_size, row.shelf_days) == (["egg", "flour"], [2.0, 1.0], [11, 0], [0, 0], [3, 3])
+    empty = settings.series_settings(lines.limit(0))
+    same = scheduler.scheduled_plan(scheduler.schedule(plan, THREE, settings=empty))
+    assert rows_of(same, "series", "date") == rows_of(scheduler.scheduled_plan(scheduler.schedule(plan, THREE)), "series", "date")
