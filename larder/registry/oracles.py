@@ -128,6 +128,15 @@ ORACLES["csv_payload"] = f"WITH {DAILY} SELECT series, date, qty_sold FROM daily
 ORACLES["mixed_csv"] = f"""WITH {DAILY}
 SELECT series, date, qty_sold, CASE WHEN series % 2 = 1 THEN 'no. "' || series || '", sold' END AS note FROM daily"""
 
+ORACLES["quoted_csv"] = f"""WITH {DAILY}
+SELECT series, date, qty_sold, CASE WHEN day(date) % 3 = 0 THEN 'first ' || series || chr(10) || 'second "line",' || chr(10) || chr(10) || 'last'
+                                    ELSE 'plain' END AS note FROM daily"""
+
+ORACLES["dated_csv"] = f"""WITH {DAILY}
+SELECT series, CASE WHEN series % 5 < 4 OR day(date) = month(date) THEN date END AS date, qty_sold,
+       CASE WHEN series % 5 = 4 AND day(date) <> month(date) THEN 'ambiguous date' END AS error
+FROM daily WHERE series % 5 < 4 OR day(date) <= 12"""
+
 ORACLES["table_profile"] = f"""WITH {DAILY}
 SELECT series, count(*) AS rows, min(date) AS first_day, max(date) AS last_day,
        'series,date,qty_sold' AS columns FROM daily GROUP BY series"""

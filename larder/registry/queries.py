@@ -118,6 +118,34 @@ def mixed_csv(spark, sf):
     return sales.good_rows(sales.validate(rows)).select(F.col("series").cast("bigint").alias("series"), "date", "qty_sold", "note")
 
 
+@query
+def quoted_csv(spark, sf):
+    """Sales in files that open with blank lines and have line breaks in quotes."""
+    daily = inputs.daily_sales(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    folder = shared_folder(spark, "quoted")
+    note = F.concat(F.lit('"first '), F.col("series").cast("string"), F.lit('\nsecond ""line"",\n\nlast"'))
+    line = F.concat_ws(",", F.col("date"), F.when(F.dayofmonth("date") % 3 == 0, note).otherwise("plain"), "qty_sold", "series")
+    texts = daily.groupBy(F.col("series").alias("of")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    texts.select("of", F.concat(F.lit("\n\n  \ndate,note,qty_sold,series\n"), "body").alias("value")).write.partitionBy("of").text(folder)
+    rows = sales.good_rows(sales.validate(sales.read_csv(spark, folder, glob="*.txt")))
+    return rows.select(F.col("series").cast("bigint").alias("series"), "date", "qty_sold", "note")
+
+
+@query
+def dated_csv(spark, sf):
+    """The sales in files of different date styles, each read by what its rows say."""
+    daily = inputs.daily_sales(spark, sf)
+    folder = shared_folder(spark, "dated")
+    styles = {0: "yyyy-MM-dd", 1: "dd/MM/yyyy", 2: "M/d/yyyy", 3: "d MMM yyyy", 4: "dd.MM.yyyy"}
+    for style, pattern in styles.items():
+        mine = daily.where(F.col("series") % 5 == style)
+        if style == 4:  # no day above the twelfth: nothing tells day from month
+            mine = mine.where(F.dayofmonth("date") <= 12)
+        mine.withColumn("date", F.date_format("date", pattern)).coalesce(1).write.option("header", True).csv(f"{folder}/{style}")
+    rows = sales.validate(sales.read_csv(spark, *[f"{folder}/{style}" for style in styles], file="path"), by="path")
+    return rows.select(F.col("series").cast("bigint").alias("series"), "date", "qty_sold", "error")
+
+
 @query
 def table_profile(spark, sf):
     return sales.profile(inputs.daily_sales(spark, sf), "series")

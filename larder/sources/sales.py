@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.tables import REQUIRED_SALES_COLUMNS
 
@@ -38,39 +44,112 @@ def field(header: Column, record: Column, name: str) -> Column:
     return F.when(at > 0, F.get(record, (at - 1).cast("int")))
 
 
+def scanned(lines: DataFrame) -> DataFrame:
+    """Adds each line's place in its block, its quotes' parity, that of the quotes ahead of it, and
+    how many lines so far have an even (odd) number of quotes ahead. Blocks are read in order,
+    so this is one pass over the rows where they are."""
+    schema = T.StructType([*lines.schema, *T.StructType.fromDDL("at bigint, own int, ahead int, evens bigint, odds bigint")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, state = None, (0, 0, 0, 0)
+        for batch in batches:
+            if not len(batch):
+                continue
+            quotes = pc.fill_null(pc.count_substring(batch.column("value"), '"'), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = list(zip(batch.column("file").to_pylist(), batch.column("block_start").to_pylist(), strict=True))
+            starts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
+            out = np.zeros((5, len(batch)), np.int64)
+            for begin, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if keys[begin] != block:
+                    block, state = keys[begin], (0, 0, 0, 0)
+                at, before, evens, odds = state
+                own = quotes[begin:end]
+                ahead = (before + np.cumsum(own) - own) % 2
+                even, odd = evens + np.cumsum(ahead == 0), odds + np.cumsum(ahead == 1)
+                out[:, begin:end] = at + np.arange(end - begin), own % 2, ahead, even, odd
+                state = (at + end - begin, before + int(own.sum()), int(even[-1]), int(odd[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))],
+                names=schema.names)
+
+    return lines.mapInArrow(run, schema)
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """lines(value, file, block_start) -> the same columns and `at`, a row per record.
+
+    A record ends at a line end with an even number of quotes before it in its file. The parity at a
+    block's start is that of all quotes in the file's blocks before, so however files are
+    split, records are the same. Lines that are records by themselves stay where they are;
+    only those of longer records are gathered. Should a file's quotes not pair up, no record of it
+    can be told to span lines: each line is one then.
+    """
+    others = [c for c in lines.columns if c not in ("value", "file", "block_start")]
+    rows = scanned(lines)
+    here = rows.groupBy("file", "block_start").agg(
+        F.sum("own").alias("quotes"), F.max("evens").alias("evens"), F.max("odds").alias("odds"))
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
+    sized = here.withColumn("unpaired", F.sum("quotes").over(Window.partitionBy("file")) % 2 == 1).withColumn(
+        "odd", F.when(F.col("unpaired"), 0).otherwise(odd)).withColumn("records", F.when(F.col("odd") == 1, F.col("odds")).otherwise(F.col("evens")))
+    open_at = F.last(F.when(F.col("records") > 0, F.struct("block_start", "records")), ignorenulls=True).over(before)
+    blocks = sized.withColumn("open_at", open_at).select(
+        F.col("file").alias("b_file"), F.col("block_start").alias("b_start"), "odd", "unpaired", "open_at")
+    same = (F.col("file") == F.col("b_file")) & (F.col("block_start") == F.col("b_start"))
+    # few blocks are out of the ordinary: all others start between records
+    known = rows.join(blocks.where("odd = 1 OR unpaired").select("b_file", "b_start", "odd", "unpaired"), same, "left")
+    starts = (F.col("ahead") + F.coalesce("odd", F.lit(0))) % 2 == 0
+    alone = F.coalesce("unpaired", F.lit(False)) | (starts & (F.col("own") == 0))
+    columns = ["file", "block_start", "at", "value", *others]
+    single = known.where(alone).select(*columns)
+    number = F.when(F.coalesce("odd", F.lit(0)) == 1, F.col("odds")).otherwise(F.col("evens"))
+    parts = known.where(~alone).withColumn("number", number).drop("b_file", "b_start", "odd", "unpaired").join(
+        blocks.select("b_file", "b_start", "open_at"), same)
+    record = F.when(F.col("number") > 0, F.struct("block_start", F.col("number").alias("records"))).otherwise(F.col("open_at"))
+    gathered = parts.withColumn("record", record).groupBy("file", "record").agg(
+        F.sort_array(F.collect_list(F.struct("block_start", "at", "value"))).alias("l"), *[F.any_value(c).alias(c) for c in others])
+    joined = gathered.select(
+        "file", F.col("l")[0]["block_start"].alias("block_start"), F.col("l")[0]["at"].alias("at"), F.array_join("l.value", "\n").alias("value"), *others)
+    return single.unionByName(joined)
+
+
 def with_own_header(lines: DataFrame) -> DataFrame:
-    """lines(value, file, block_start) -> (file, header, record), the header lines left out.
+    """lines(value, file, block_start) -> (file, header, record), the header records left out.
 
-    A file's header is its first line, the one with the smallest row number in the block at the
-    file's start.
+    A file's header is its first record that isn't blank.
     """
-    numbered = lines.withColumn("at", F.monotonically_increasing_id())
-    heads = numbered.where("block_start = 0").groupBy("file").agg(
-        F.min("at").alias("head_at"), F.min_by("value", "at").alias("head"))
-    body = numbered.join(heads, "file").where(F.col("at") != F.col("head_at"))
+    rows = whole_records(lines).where(F.btrim("value") != "")
+    place = F.struct("block_start", "at")
+    # the first record of a block is the only one that can be the file's first
+    first = rows.groupBy("file", "block_start").agg(F.min("at").alias("at")).groupBy("file").agg(F.min(place).alias("head"))
+    marked = rows.join(first, "file")
+    heads = marked.where(place == F.col("head")).select("file", F.col("value").alias("head_value"))
+    body = marked.where(place != F.col("head")).join(heads, "file")
     parsed = body.select(
-        *(c for c in lines.columns if c != "value"), records(F.col("head"))[0].alias("header"), records(F.col("value"))[0].alias("record"))
+        *(c for c in lines.columns if c != "value"), records(F.col("head_value"))[0].alias("header"), records(F.col("value"))[0].alias("record"))
     return parsed.where(~is_blank(F.col("record")))
 
 
-def file_lines(reader, *paths: str) -> DataFrame:
+def file_lines(reader, *paths: str, glob: str = CSV_FILES) -> DataFrame:
     """Lines of CSV files with their file, its time and the place of their block."""
-    text = reader.option("pathGlobFilter", CSV_FILES).text(list(paths) if len(paths) > 1 else paths[0])
+    text = reader.option("pathGlobFilter", glob).text(list(paths) if len(paths) > 1 else paths[0])
     return text.select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
         F.col("_metadata.file_modification_time").alias("written"))
 
 
-def read_csv(spark: SparkSession, *paths: str) -> DataFrame:
+def read_csv(spark: SparkSession, *paths: str, file: str | None = None, glob: str = CSV_FILES) -> DataFrame:
     """CSV files as strings, columns bound by each file's own header.
 
     Layouts may differ from file to file; the result has the columns of all of them, null
-    where a file lacks one. The headers that occur are few and are looked at first.
+    where a file lacks one, and the file's path under the name `file`, if given. The headers
+    that occur are few and are looked at first.
     """
-    rows = with_own_header(file_lines(spark.read, *paths))
+    rows = with_own_header(file_lines(spark.read, *paths, glob=glob))
     layouts = rows.select(F.transform("header", lambda c: F.btrim(c)).alias("header")).distinct().collect()
     names = dict.fromkeys(name for row in sorted(layouts, key=lambda r: r["header"]) for name in row["header"])
-    return rows.select(*[field(F.col("header"), F.col("record"), name).alias(name) for name in names])
+    of_file = [F.col("file").alias(file)] if file else []
+    return rows.select(*[field(F.col("header"), F.col("record"), name).alias(name) for name in names], *of_file)
 
 
 def check_columns(columns: list[str], required=REQUIRED_SALES_COLUMNS) -> None:
@@ -95,23 +174,91 @@ def payload_rows(payloads: DataFrame, content: str = "csv_content") -> DataFrame
     return body.select(*others, "line", *values)
 
 
-def validate(raw: DataFrame, first_day: str = FIRST_DAY, last_day: str = LAST_DAY) -> DataFrame:
+# Day, month and year in every order, with the parts of a time behind them.
+PARTED = r"^\s*(\d{1,4})[-/.](\d{1,2})[-/.](\d{1,4})(?:[T ].*)?$"
+PACKED = r"^\s*(\d{4})(\d{2})(\d{2})\s*$"
+DAY_MONTH = r"^\s*(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*\.?[ ,-]+(\d{4})\s*$"
+MONTH_DAY = r"^\s*([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}),? +(\d{4})\s*$"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def numeric_parts(text: Column) -> tuple[Column, Column, Column]:
+    """The two parts of a day/month pair before a year of four digits; null for other texts."""
+    first, second, year = (F.regexp_extract(text, PARTED, i) for i in (1, 2, 3))
+    fits = (F.length(year) == 4) & (F.length(first) <= 2)
+    return tuple(F.when(fits, part.try_cast("int")) for part in (first, second, year))
+
+
+def made_day(year: Column, month: Column, day: Column) -> Column:
+    """The date, null where there is none such."""
+    return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+
+
+def parsed_day(text: Column, day_first: Column) -> Column:
+    """A date with year, month and day in a usual spelling.
+
+    Of two numbers before a year one above 12 is the day. Where both could be, `day_first` tells, and
+    null leaves the date open. A text without all three parts is no date.
+    """
+    first, second, year = numeric_parts(text)
+    leading = [F.regexp_extract(text, PARTED, i) for i in (1, 2, 3)]
+    by_year = F.when((F.length(leading[0]) == 4) & (F.length(leading[2]) <= 2), made_day(leading[0], leading[1], leading[2]))
+    packed = F.when(text.rlike(PACKED), made_day(*(F.regexp_extract(text, PACKED, i) for i in (1, 2, 3))))
+
+    def named(pattern: str, day: int, month: int) -> Column:
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, month)))
+        return F.when(text.rlike(pattern) & (number > 0), made_day(F.regexp_extract(text, pattern, 3), number, F.regexp_extract(text, pattern, day)))
+
+    same = F.when(first == second, made_day(year.cast("string"), first, second))
+    either = F.when((first > 12) | (day_first & (second <= 12)), made_day(year.cast("string"), second, first)).when(
+        (second > 12) | ~day_first, made_day(year.cast("string"), first, second))
+    return F.coalesce(by_year, packed, named(DAY_MONTH, 1, 2), named(MONTH_DAY, 2, 1), same, either)
+
+
+def date_styles(raw: DataFrame, by: str, column: str = "date") -> DataFrame:
+    """(by, day_first, mixed): how each file writes day and month, by all its rows.
+
+    A first number above 12 says day first, a second one above 12 month first. Rows are counted where
+    they are; one row per file is left. `day_first` is null without a vote or with votes for
+    both, which is `mixed`.
+    """
+    first, second, _ = numeric_parts(F.col(column))
+    days = F.count_if((first > 12) & (first <= 31) & (second <= 12))
+    months = F.count_if((second > 12) & (second <= 31) & (first <= 12))
+    votes = raw.groupBy(by).agg(days.alias("_days"), months.alias("_months"))
+    mixed = (F.col("_days") > 0) & (F.col("_months") > 0)
+    style = F.when(~mixed & (F.col("_days") + F.col("_months") > 0), F.col("_days") > 0)
+    return votes.select(by, style.alias("day_first"), mixed.alias("mixed"))
+
+
+def validate(raw: DataFrame, first_day: str = FIRST_DAY, last_day: str = LAST_DAY, by: str | None = None) -> DataFrame:
     """Type the required columns and add `error`, null for good rows.
 
-    Days outside the range are bad dates: gap filling would stretch a series to them.
+    Dates need year, month and day. Which of two numbers before a year is the day is told per value
+    of the column `by` (a file's name); where its rows don't tell, or without `by`, such dates are
+    ambiguous. Days outside the range are bad dates: gap filling would stretch a series to them.
     Quantities have to be finite. The raw strings stay in `raw_date` and `raw_qty` for
     the quarantine table.
     """
     check_columns(raw.columns)
-    typed = raw.withColumnsRenamed({"date": "raw_date", "qty_sold": "raw_qty"}).withColumns({
-        "date": F.col("raw_date").try_cast("date"),
+    named = raw.withColumnsRenamed({"date": "raw_date", "qty_sold": "raw_qty"})
+    if by is None:
+        styled = named.withColumns({"day_first": F.lit(None).cast("boolean"), "mixed": F.lit(False)})
+    else:
+        styles = date_styles(raw, by).withColumnRenamed(by, "_by")
+        styled = named.join(styles, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    typed = styled.withColumns({
+        "date": parsed_day(F.col("raw_date"), F.col("day_first")),
         "qty_sold": F.col("raw_qty").try_cast("double"),
     })
+    first, second, _ = numeric_parts(F.col("raw_date"))
+    swapped = (first <= 12) & (second <= 12) & F.col("date").isNull()
     in_range = F.col("date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
     finite = ~F.isnan("qty_sold") & (F.abs("qty_sold") != float("inf"))
-    error = F.when(~F.coalesce(in_range, F.lit(False)), "bad date").when(
+    error = F.when(swapped & F.col("mixed"), "mixed date styles").when(swapped, "ambiguous date").when(
+        ~F.coalesce(in_range, F.lit(False)), "bad date").when(
         ~F.coalesce(finite, F.lit(False)), "bad qty_sold")
-    return typed.withColumn("error", error)
+    return typed.withColumn("error", error).drop("day_first", "mixed")
 
 
 def good_rows(checked: DataFrame) -> DataFrame:

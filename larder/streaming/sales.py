@@ -41,7 +41,7 @@ def ingest(drops: DataFrame, table: str, quarantine: str, checkpoint: str, **tri
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        checked = validate(dropped_rows(batch)).persist()
+        checked = validate(dropped_rows(batch), by="file").persist()
         error = F.when(F.col("series").isNull(), "no series").otherwise(F.col("error"))
         judged = checked.withColumn("error", error)
         name = batch_name(batch.sparkSession, checkpoint, batch_id)

@@ -1,5 +1,6 @@
 """Files, payloads, published tables and streams."""
 
+import csv
 import datetime as dt
 import os
 
@@ -252,3 +253,90 @@ def test_appended_contacts_are_read_back(spark, tmp_path):
     for _ in range(2):
         published.append_rows(people.accepted_contacts(rows), str(tmp_path / "contacts"))
     assert spark.read.parquet(str(tmp_path / "contacts")).count() == 2
+
+
+# --- records across lines and splits -------------------------------------------------------------
+
+MESSY = [
+    ["2024-01-01", "plain", "1", "s1"], ["2024-01-02", "two\nlines", "2", "s1"], ["2024-01-03", 'a "quoted" word, and\n\n\nfour lines', "3", "s1"],
+    ["2024-01-04", "\n", "4", "s2"], ["2024-01-05", '"', "5", "s2"], ["2024-01-06", "", "6", "s2"], ["2024-01-07", "x" * 300 + "\n" + "y" * 300, "7", "s2"],
+]
+
+
+def write_messy(folder, blank_lines="\n  \n\n"):
+    folder.mkdir()
+    wanted = []
+    for number in range(3):
+        with open(folder / f"f{number}.csv", "w", newline="") as out:
+            out.write(blank_lines * (number != 1))
+            writer = csv.writer(out, lineterminator="\n" if number else "\r\n")
+            writer.writerow(["date", "note", "qty_sold", "series"])
+            for k in range(40):
+                row = [*MESSY[(k * (number + 1)) % len(MESSY)]]
+                row[3] += f"-{number}-{k}"
+                writer.writerow(row)
+                wanted.append(tuple(row))
+    return sorted(wanted)
+
+
+@pytest.mark.parametrize("split", ["150", "1000", "128m"])
+def test_records_are_the_same_at_any_split(spark, tmp_path, split):
+    wanted = write_messy(tmp_path / "in")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if split != "128m" else "4m")
+    try:
+        found = sales.read_csv(spark, str(tmp_path / "in")).select("date", "note", "qty_sold", "series")
+        assert sorted(map(tuple, found.collect())) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_quote_without_its_pair_tears_no_other_record(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('date,qty_sold,note\n2024-01-01,1,5" nails\n2024-01-02,2,ok\n2024-01-03,3,ok\n')
+    (tmp_path / "in" / "b.csv").write_text("\n \n")
+    checked = sales.validate(sales.read_csv(spark, str(tmp_path / "in")))
+    assert sorted((str(r.date), r.qty_sold) for r in sales.good_rows(checked).collect()) == [
+        ("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-03", 3.0)]
+
+
+def test_the_stream_reads_the_same_records(spark, tmp_path):
+    wanted = write_messy(tmp_path / "drops")
+    table, quarantine = str(tmp_path / "table"), str(tmp_path / "quarantine")
+    sales_stream.ingest(sales_stream.read_drops(spark, str(tmp_path / "drops")), table, quarantine, str(tmp_path / "check")).awaitTermination()
+    found = published.read_series(spark, table).select("date", "qty_sold", "series").collect()
+    assert sorted((str(r.date), r.qty_sold, r.series) for r in found) == sorted((d, float(q), s) for d, _, q, s in wanted)
+    assert spark.read.parquet(quarantine).count() == 0
+
+
+# --- dates ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("given, day_first, wanted", [
+    ("2024-01-02", None, "2024-01-02"), ("2024/1/2", None, "2024-01-02"), ("2024-01-02T10:00:00", None, "2024-01-02"), ("20240102", None, "2024-01-02"),
+    ("13/02/2024", True, "2024-02-13"), ("02/13/2024", False, "2024-02-13"), ("1.2.2024", True, "2024-02-01"), ("1-2-2024 08:30", False, "2024-01-02"),
+    ("03/03/2024", None, "2024-03-03"), ("01/02/2024", None, None), ("31/02/2024", True, None), ("2024-02-30", None, None), ("2024-13-01", None, None),
+    ("2 Jan 2024", None, "2024-01-02"), ("02-January-2024", None, "2024-01-02"), ("Jan. 2, 2024", None, "2024-01-02"), ("Foo 2, 2024", None, None),
+    ("2024", None, None), ("2024-01", None, None), ("1/2/24", True, None), ("", None, None), (None, None, None), ("12024-01-02", None, None),
+])
+def test_spellings(spark, given, day_first, wanted):
+    row = spark.createDataFrame([(given, day_first)], "t string, f boolean").select(sales.parsed_day(F.col("t"), F.col("f")).alias("d")).first()
+    assert (row.d and str(row.d)) == wanted
+
+
+def test_styles_by_file(spark):
+    files = {
+        "uk": ["01/02/2024", "13/02/2024", "2024-05-06"], "us": ["01/02/2024", "02/13/2024"], "open": ["01/02/2024", "04/04/2024", "3 Mar 2024"],
+        "both": ["13/02/2024", "02/13/2024", "01/02/2024"], None: ["25.12.2023", "01.02.2024"], "iso": ["2024-01-02", "2024", "32/01/2024"],
+    }
+    rows = [(f, text, "1") for f, texts in files.items() for text in texts]
+    checked = sales.validate(spark.createDataFrame(rows, "file string, date string, qty_sold string"), by="file").collect()
+    found = {(r.file, r.raw_date): (str(r.date) if r.date else None, r.error) for r in checked}
+    assert len(checked) == len(rows)
+    assert found["uk", "01/02/2024"] == ("2024-02-01", None) and found["us", "01/02/2024"] == ("2024-01-02", None)
+    assert found[None, "01.02.2024"] == ("2024-02-01", None) and found["uk", "2024-05-06"] == ("2024-05-06", None)
+    assert found["open", "01/02/2024"] == (None, "ambiguous date") and found["open", "04/04/2024"] == ("2024-04-04", None)
+    assert found["both", "13/02/2024"] == found["both", "02/13/2024"] == ("2024-02-13", None)
+    assert found["both", "01/02/2024"] == (None, "mixed date styles") and found["iso", "2024"] == (None, "bad date")
+    assert found["iso", "32/01/2024"] == (None, "bad date")
