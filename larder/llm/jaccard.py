@@ -6,11 +6,13 @@ k = (100 - percent) / (100 + percent), they differ in at most k * (size + size)
 
 1. Equal sets become one class, represented by the smallest doc_id.
 2. Where to search. Sizes fall into classes such that links join equal or neighbouring ones.
-   For each class the shingles are dealt into some more parts than the k that linked sets can
-   differ in, so linked sets agree in the others: a part's fingerprint is a signature. (Only if as
-   many parts are empty as must agree can all that agree be empty. Such a set deals anew with
-   another seed, and so on; at the last level empty parts count as well.) Signature groups are tied to their smallest member,
-   and the components of these ties hold all links. Nothing else is compared.
+   For each class the shingles are dealt into groups of three parts, more groups than half the
+   shingles that linked sets can differ in. So in some group at most one part differs, and two agree:
+   the fingerprint of every two parts of a group is a signature. (Only if as many groups have
+   two empty parts as must agree can all that agree be empty. Such a set deals anew with
+   another seed, and so on; at the last level empty parts count as well.) Sets that share a signature
+   are tied to the smallest of them, and the components of a class's ties hold all its
+   links. Ties of different classes aren't mixed, so chance ties don't run on from size to size.
 3. Search. In each component, or pair of blocks of a large one (by documents or shingles), an inverted file lists
    the documents of every shingle. A query must reach overlap T; its L longest lists are set
    aside, the short ones are merged, documents met at least T - L times are candidates, and
@@ -25,7 +27,7 @@ have a null component. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ BLOCK_DOCUMENTS = 2048
 BLOCK_SHINGLES = 1_000_000
 CHUNK = 100_000
 LEVELS = 6
+CLASS_BITS = 8  # size classes of sets of up to 10^11 shingles at 0.9
 CACHED_WORDS = 150_000
 U64 = np.uint64
 
@@ -81,63 +84,68 @@ def shingle_sets(texts_: list[list[bytes]], n: int, prints: WordPrints) -> tuple
 
 
 def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size of each class, how many parts its sets are dealt into, and in how many of them
-    linked sets can differ."""
-    first, parts, differ = [], [], []
+    """First size of each class, how many groups its sets are dealt into, and in how many of them
+    linked sets agree in two parts at least."""
+    first, groups, agree = [], [], []
     low = 1
     while True:
         high = low * 100 // percent
+        half = 2 * high * (100 - percent) // (100 + percent) // 2
         first.append(low)
-        k = 2 * high * (100 - percent) // (100 + percent)
-        differ.append(k)
-        parts.append(k + 3 + (k + 1) // 10 if k else 1)
+        groups.append(half + 2 + half // 8)
+        agree.append(groups[-1] - half)
         if low > largest:
-            return np.array(first), np.array(parts), np.array(differ)
+            return np.array(first), np.array(groups), np.array(agree)
         low = high + 1
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the document and signature, for its own size class and the next."""
-    first, parts, differ = size_classes(int(sizes.max(initial=1)) + 1, percent)
+    """Number of the document and signature, for its own size class and the next; the class is
+    the signature's last CLASS_BITS bits."""
+    first, groups, agree = size_classes(int(sizes.max(initial=1)) + 1, percent)
     mine = np.searchsorted(first, sizes, "right") - 1
-    out_owner, out_sign = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    out = [(np.zeros(0, np.int64), np.zeros(0, U64))]
     weight = mixed(value ^ U64(0x5851F42D4C957F2D))
     for step in (0, 1):
-        scheme = np.minimum(mine + step, len(parts) - 1)
+        scheme = np.minimum(mine + step, len(groups) - 1)
         active = sizes > 0
         for level in range(LEVELS):
             use = active[owner]
-            own, many = owner[use], np.where(active, parts[scheme], 0)
+            own, many = owner[use], np.where(active, groups[scheme], 0)
             if not len(own):
                 break
             begin = np.cumsum(many) - many
             spread = mixed(value[use] + U64((level + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U64(32)
-            cell = begin[own] + ((spread * many[own].astype(U64)) >> U64(32)).astype(np.int64)
-            total = np.zeros(many.sum(), U64)
-            np.add.at(total, cell, weight[use])
-            count = np.bincount(cell, minlength=len(total))
+            part = 3 * begin[own] + ((spread * (3 * many[own]).astype(U64)) >> U64(32)).astype(np.int64)
+            total = np.zeros(3 * many.sum(), U64)
+            np.add.at(total, part, weight[use])
+            count = np.bincount(part, minlength=len(total)).reshape(-1, 3)
+            total = mixed(total).reshape(-1, 3)
             holder = np.repeat(np.arange(len(sizes)), many)
-            part = np.arange(len(total)) - begin[holder]
-            label = mixed(scheme[holder].astype(U64) * U64(1 << 40) + part.astype(U64) * U64(16) + U64(level))
-            sign = mixed(total + mixed(count.astype(U64) + label))
-            kept = (count > 0) | (level == LEVELS - 1)
-            out_owner.append(holder[kept])
-            out_sign.append(sign[kept])
-            active &= np.bincount(holder[count == 0], minlength=len(sizes)) >= (parts - differ)[scheme]
-    return np.concatenate(out_owner), np.concatenate(out_sign)
-
-
-def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Rows in groups of about CHUNK words."""
-    group, size, start = [], 0, 0
-    for i, text in enumerate(batch.column("text").to_pylist()):
+            place = np.arange(len(holder)) - begin[holder]
+            label = mixed(scheme[holder].astype(U64) * U64(1 << 40) + place.astype(U64) * U64(16) + U64(level))
+            weak = np.zeros(len(holder), bool)
+            for one, other in ((0, 1), (0, 2), (1, 2)):
+                both = count[:, one] + count[:, other]
+                sign = mixed(total[:, one] * U64(3) + total[:, other] * U64(5) + mixed(label + U64(3 * one + other)))
+                kept = (both > 0) | (level == LEVELS - 1)
+                weak |= both == 0
+                out.append((holder[kept], (sign[kept] >> U64(CLASS_BITS) << U64(CLASS_BITS)) | scheme[holder[kept]].astype(U64)))
+            active &= np.bincount(holder[weak], minlength=len(sizes)) >= agree[scheme]
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
+
+
+def chunks(found: Iterable[str | None]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """Texts in groups of about CHUNK words, with the places of the first and of the one after the last."""
+    group, size, start, stop = [], 0, 0, 0
+    for stop, text in enumerate(found, 1):
         group.append(words(text))
         size += len(group[-1])
         if size >= CHUNK:
-            yield start, i + 1, group
-            group, size, start = [], 0, i + 1
+            yield start, stop, group
+            group, size, start = [], 0, stop
     if group:
-        yield start, len(batch), group
+        yield start, stop, group
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -146,7 +154,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = WordPrints()
         for batch in slices(batches):
-            for start, stop, group in chunks(batch):
+            for start, stop, group in chunks(batch.column("text").to_pylist()):
                 owner, value = shingle_sets(group, n, prints)
                 sizes = np.bincount(owner, minlength=len(group))
                 halves = []
@@ -162,12 +170,12 @@ def described(docs: DataFrame, n: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, sign: a row per signature."""
+    """doc_id, sign: a row per signature of documents (doc_id, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = WordPrints()
+        prints, unpacker = WordPrints(), zstandard.ZstdDecompressor()
         for batch in slices(batches):
-            for start, _, group in chunks(batch):
+            for start, _, group in chunks(unpacker.decompress(packed).decode() for packed in batch.column("packed").to_pylist()):
                 owner, value = shingle_sets(group, n, prints)
                 holder, sign = signatures(owner, value, np.bincount(owner, minlength=len(group)), percent)
                 ids = batch.column("doc_id").take(pa.array(holder + start))
@@ -298,15 +306,20 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, block_documen
     # only one document of each class is signed: copies neither travel nor meet
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
     sizes = linked.join(classes.select("print_a", "print_b", F.col("first").alias("doc_id")), ["print_a", "print_b", "doc_id"], "left_semi").select(
-        F.col("doc_id").alias("node"), "n_shingles").distinct()
-    signs = signed(docs.join(firsts, "doc_id", "left_semi"), n, percent)
+        "doc_id", "n_shingles").distinct()
+    signs = signed(packed_texts(docs).join(firsts, "doc_id", "left_semi"), n, percent)
     smallest = F.min("doc_id").over(Window.partitionBy("sign").orderBy("doc_id"))
-    ties = signs.withColumn("hub", smallest).where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    groups = components(ties)
+    tied = settle(signs.withColumn("hub", smallest).where("hub < doc_id").select(
+        "doc_id", "hub", F.col("sign").bitwiseAND((1 << CLASS_BITS) - 1).alias("size_class")).distinct(), "jaccard")
+    # a document is another node in each of its classes; should two nodes' hashes agree, groups only grow
+    nodes = tied.select(F.xxhash64("doc_id", "size_class").alias("a"), F.xxhash64("hub", "size_class").alias("b"), "doc_id", "hub")
+    names = nodes.select(F.col("a").alias("node"), "doc_id").unionByName(
+        nodes.select(F.col("b").alias("node"), F.col("hub").alias("doc_id"))).distinct()
+    groups = components(nodes.select("a", "b")).join(names, "node").select("component", "doc_id").distinct()
     needed = F.greatest(F.count(F.lit(1)) / block_documents, F.sum("n_shingles") / BLOCK_SHINGLES)
-    blocks = groups.join(sizes, "node").groupBy("component").agg(F.ceil(needed).alias("blocks"))
-    members = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = members.select("component", F.col("node").alias("doc_id"), "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    blocks = groups.join(sizes, "doc_id").groupBy("component").agg(F.ceil(needed).alias("blocks"))
+    members = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    members = members.select("component", "doc_id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
     # merged at every size: the members are a share of all documents, so no side stays small
     met = packed_texts(docs).join(members.hint("merge"), "doc_id")
