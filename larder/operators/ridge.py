@@ -383,10 +383,14 @@ def assemble(training: DataFrame) -> DataFrame:
 def fit_pooled(training: DataFrame, estimator=None, alpha: float = 1.0):
     """Fit one model over all series with any pyspark.ml regressor (ridge by default).
 
-    Passes read the assembled rows, settled once. pyspark.ml scales the squared error by n and both sides by the target's deviation,
-    so the matching penalty is alpha / n * std(y).
+    Passes read the assembled rows, settled once.
     """
-    rows = settle(assemble(training).select("features", "qty_sold"), "pooled")
+    return fit_rows(settle(assemble(training).select("features", "qty_sold"), "pooled"), estimator, alpha)
+
+
+def fit_rows(rows: DataFrame, estimator=None, alpha: float = 1.0):
+    """Fit on assembled rows. pyspark.ml scales the squared error by n and both sides by the target's
+    deviation, so the matching penalty is alpha / n * std(y)."""
     if estimator is None:
         n, spread = rows.agg(F.count("*"), F.stddev_pop("qty_sold")).first()
         estimator = LinearRegression(

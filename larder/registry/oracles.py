@@ -361,6 +361,12 @@ ORACLES["forecast_end_to_end"] = f"""WITH RECURSIVE {end_to_end(POLICY.horizon_d
 SELECT {rolled_rows('lo', 'hi')}, 'ridge' AS forecast_method
 FROM walk w JOIN opening o USING (series) JOIN bounds USING (series) WHERE step > 0"""
 
+ORACLES["pooled_forecast"] = f"""WITH RECURSIVE {TRAINING}, {ONE_ALPHA},
+pool AS (SELECT 1 AS pool, * FROM training), {systems('pool', 'pool')},
+pooled AS (SELECT series, intercept, coef FROM (SELECT DISTINCT series FROM daily), models),
+{rolled('pooled', 14)}
+SELECT {rolled_rows('0.0', '0.0')}, 'model' AS forecast_method FROM walk w JOIN opening o USING (series) WHERE step > 0"""
+
 NEEDS = ", ".join(f"CAST(trunc(level * {PER[i]}) AS BIGINT) AS {i}_need" for i in POLICY.ingredients)
 ORACLES["flat_forecast"] = f"""WITH {DENSE}, {ahead(POLICY.horizon_days)}
 SELECT series, date, CAST(trunc(level) AS BIGINT) AS qty_sold, {NEEDS} FROM (SELECT *, mean7 AS level FROM ahead)"""

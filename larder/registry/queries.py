@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from larder.operators import (
     ledger,
     menu,
     people,
+    pooled,
     ridge,
     scheduler,
     serving,
@@ -46,6 +48,8 @@ def r6(column: str | Column, name: str | None = None) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6).alias(name or column)
 
 
+POOLED_DAYS = 14
+
 # Coefficients with short decimals, for forecasts that must not depend on a fit.
 PINNED_INTERCEPT = 1.25
 PINNED_COEF = (0.31, -0.07, 0.83, 2.0, 1.5, -0.5, 3.0, 0.11, 0.17, 0.23, 0.29)
@@ -352,6 +356,25 @@ def forecast_end_to_end(spark, sf):
     return _rounded_forecast(forecast.forecast_demand(inputs.history(spark, sf), POLICY), "forecast_method")
 
 
+@query
+def pooled_forecast(spark, sf):
+    """One ridge over all series, without an interval, over a horizon given by a configuration."""
+    past = inputs.history(spark, sf)
+    config = {"forecast": {"forecast_horizon_days": POOLED_DAYS}}
+    model = pooled.fit_portable(features.training_rows(features.with_features(past)))
+    return _rounded_forecast(pooled.forecast_pooled(past, model, Policy.from_config(config)), "forecast_method")
+
+
+@query
+def boosted_forecast(spark, sf):
+    """Boosted trees over all series, with the quantiles of their residuals."""
+    past = inputs.history(spark, sf)
+    boosting = GBTRegressor(maxIter=10, maxDepth=4, seed=7)
+    model = pooled.fit_portable(
+        features.training_rows(features.with_features(past)), boosting, interval_alpha=POLICY.interval_alpha)
+    return _rounded_forecast(pooled.forecast_pooled(past, model, POLICY), "forecast_method")
+
+
 @query
 def flat_forecast(spark, sf):
     return forecast.flat_forecast(inputs.history(spark, sf), POLICY)
