@@ -13,9 +13,22 @@ PLAN_INTEGERS = ("qty_total", "special_added")
 
 
 def plan_export(plan: DataFrame) -> DataFrame:
-    """Whole-number plan: totals, specials and `_need` columns are cut to integers."""
+    """Whole-number plan: totals, specials and `_need` columns as integers.
+
+    A column is cut, unless it has an unknown value somewhere in the series: then it is rounded, half to
+    even, and the unknown values are 0. Integer columns need no look at the rest of the series.
+    """
     whole = [c for c in plan.columns if c in PLAN_INTEGERS or c.endswith("_need")]
-    return plan.withColumns({c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")) for c in whole})
+    fractions = {f.name for f in plan.schema.fields if isinstance(f.dataType, T.FractionalType)}
+    columns = {}
+    for name in whole:
+        number = F.col(name)
+        if name in fractions:
+            known = F.when(~F.isnan(number), number.cast("double"))
+            gaps = F.max(known.isNull()).over(whole_series())
+            number = F.when(gaps, F.rint(known)).otherwise(known)
+        columns[name] = F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint"))
+    return plan.withColumns(columns)
 
 
 def advisory_export(advisories: DataFrame) -> DataFrame:

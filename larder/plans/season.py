@@ -26,9 +26,16 @@ from larder.tables import Policy
 FILES_PER_WINDOW = 32
 
 
-def in_order(advisories: DataFrame) -> DataFrame:
-    """Advisories by series, day and type within each file, as readers show them."""
-    return advisories.sortWithinPartitions("series", "date", "type")
+def in_order(advisories: DataFrame, *first: str, files: int | None = None) -> DataFrame:
+    """Advisories by series, day and type over all files, read by name; as many files as they need, or `files`.
+
+    Rows go to the files by ranges of (series, date, type), so a long series spreads over several. Columns
+    that the table is partitioned by come `first`.
+    """
+    keys = [*first, "series", "date", "type"]
+    if files is None:
+        return advisories.orderBy(*keys)
+    return advisories.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
 
 
 def season_days(history: DataFrame, policy: Policy, bootstrap: bool = False) -> DataFrame:
@@ -102,4 +109,4 @@ def run_advisories_from_plan(spark: SparkSession, plan_path: str, out: str, run_
     signals = unpivot_signals(read_plan(spark, plan_path))
     source = plan_path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
     advisories = weekly_advisories(signals, policy).withColumn("source", F.lit(source))
-    publish(in_order(advisory_export(advisories)), out, run_id, "source")
+    publish(in_order(advisory_export(advisories), "source"), out, run_id, "source")

@@ -802,6 +802,7 @@ ORACLES["stored_advisories"] = f"""WITH {WEEKLY}
 SELECT series, date::VARCHAR AS date, type, ingredient, CAST(0 AS BIGINT) AS special_qty, message, week, 'plan_2024' AS source FROM weekly"""
 ORACLES["ordered_advisories"] = f"""WITH {WEEKLY}
 SELECT series, date, type, CAST(row_number() OVER (PARTITION BY series ORDER BY date, type) AS INTEGER) AS place FROM weekly"""
+ORACLES["sorted_advisories"] = ORACLES["ordered_advisories"]
 ORACLES["policy_config"] = f"""WITH {PLAN}
 SELECT series, date, 'flour' AS ingredient, qty_total * 2.0::DOUBLE AS need FROM plan UNION ALL
 SELECT series, date, 'sugar', qty_total * 5.0::DOUBLE FROM plan"""
@@ -882,6 +883,12 @@ FROM feed GROUP BY series"""
 ORACLES["plan_export"] = f"""WITH {BOOSTED}
 SELECT series, date, qty_total, special_added, qty_total * {PA} AS apples_need, qty_total // 2 AS dough_need FROM boosted"""
 
+ORACLES["plan_export_gaps"] = f"""WITH {PLAN},
+halves AS (SELECT series, date, qty_total, CASE WHEN series % 2 = 0 OR qty_total % 7 <> 0 THEN qty_total / 2 END AS half FROM plan)
+SELECT series, date, qty_total, CAST(coalesce(CASE WHEN count(*) OVER whole > count(half) OVER whole
+  THEN round_even(half, 0) ELSE trunc(half) END, 0) AS BIGINT) AS dough_need
+FROM halves WINDOW whole AS (PARTITION BY series)"""
+
 ORACLES["advisory_export"] = f"""WITH {PLAN}
 SELECT series, strftime(date, '%Y-%m-%d') AS date, CASE WHEN qty_total % 4 >= 2 THEN qty_total END AS qty,
   CASE WHEN qty_total % 3 = 0 THEN 0 ELSE qty_total END AS special_qty, round_even(pred_mean, 1) AS pred_mean FROM plan"""

@@ -695,6 +695,18 @@ def ordered_advisories(spark, sf):
     return placed.select("series", "date", "type", place.alias("place"))
 
 
+@query
+def sorted_advisories(spark, sf):
+    """The weekly advice published in twelve files: the place of each row among its series' rows, file after file."""
+    out = shared_folder(spark, "advice")
+    advice = advisories.weekly_advisories(advisories.unpivot_signals(_signal_columns(spark, sf)), POLICY)
+    published.publish(season.in_order(advice, files=12), out, "r1")
+    rows = published.read_latest(spark, out).select(
+        "series", "date", "type", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    place = F.row_number().over(Window.partitionBy("series").orderBy("file", "at"))
+    return rows.select("series", "date", "type", place.alias("place"))
+
+
 @query
 def policy_config(spark, sf):
     """Needs by a policy read from a nested mapping."""
@@ -758,6 +770,13 @@ def plan_export(spark, sf):
     return out.select("series", "date", "qty_total", "special_added", "apples_need", "dough_need")
 
 
+@query
+def plan_export_gaps(spark, sf):
+    """Halves of the demand, in every second series with unknown days."""
+    half = F.when((F.col("series") % 2 == 0) | (F.col("qty_total") % 7 != 0), F.col("qty_total") / 2)
+    return exports.plan_export(inputs.plan(spark, sf).select("series", "date", "qty_total", half.alias("dough_need")))
+
+
 @query
 def advisory_export(spark, sf):
     """Untyped quantities as they come out of a CSV."""

@@ -55,12 +55,6 @@ def newest_upload(rows: DataFrame) -> DataFrame:
     return summed.join(newest, ["series", UPLOAD]).select("series", "date", "qty_sold", UPLOAD)
 
 
-def replace_series(current: DataFrame, upload: DataFrame) -> DataFrame:
-    """Sales after an upload: its series are replaced whole, all others are kept."""
-    touched = upload.select("series").distinct()
-    return current.join(touched, "series", "left_anti").unionByName(upload)
-
-
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64(F.col("series").cast("string")), F.lit(buckets)).cast("int")
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators.spine import daily_totals, densify
+from larder.plans import season
 from larder.registry import inputs
 from larder.registry.queries import QUERIES
+from larder.sources.published import publish
 from tests.conftest import SF
 
 
@@ -67,3 +69,30 @@ def test_a_hot_series_changes_nothing(spark):
         key = (0 if i % 3 < 2 else i % 50, dt.date(2024, 1, 1) + dt.timedelta(days=i % 31))
         wanted[key] = wanted.get(key, 0) + i % 7
     assert found == wanted
+
+
+def test_advisories_are_in_one_order_over_all_files(spark, tmp_path):
+    days = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("series"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7919 % 900).cast("int")).alias("date"),
+        F.concat(F.lit("BUY_"), F.col("id") % 5).alias("type"), "id")
+    publish(season.in_order(days.repartition(5), files=9), str(tmp_path / "few"), "r")
+    publish(season.in_order(days.repartition(5)), str(tmp_path / "any"), "r")
+    for folder, least in (("few", 9), ("any", 1)):
+        files = sorted((tmp_path / folder / "snapshot=r").glob("part-*.parquet"))
+        assert len(files) >= least
+        rows = [(r["series"], r["date"], r["type"]) for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert len(rows) == 4000 and rows == sorted(rows)
+        if folder == "few":
+            hot = [f for f in files if spark.read.parquet(str(f)).where("series = 'hot'").count()]
+            assert len(hot) > 1
+
+
+def test_plan_columns_with_unknown_values_are_rounded(spark):
+    from larder.operators.exports import plan_export
+
+    rows = [("a", 1, 2.5, 7.9), ("a", 2, 3.5, None), ("a", 3, 1.6, 2.5), ("b", 1, 2.5, 7.9), ("b", 2, -1.5, float("nan")),
+            ("c", 1, 9.99, 4.5)]
+    plan = spark.createDataFrame(rows, "series string, date int, apples_need double, dough_need double")
+    found = [tuple(r) for r in plan_export(plan).orderBy("series", "date").collect()]
+    assert found == [("a", 1, 2, 8), ("a", 2, 3, 0), ("a", 3, 1, 2), ("b", 1, 2, 8), ("b", 2, -1, 0), ("c", 1, 9, 4)]
