@@ -2,10 +2,11 @@
 
 The vocabulary is an existing one. A word, with a mark in front, is written by any sequence of its
 pieces (single bytes among them); the forward recursion in log space adds up the
-probabilities of all segmentations. Each language of the learning rows (the most frequent ones; all
-others and null together) has piece probabilities of its own: they start from the weights
-the vocabulary's scores give and are re-estimated from the expected counts over the language's
-distinct learning words, which are what new words look like.
+probabilities of all segmentations. Each language with at least a hundredth of the labelled learning
+rows, so a hundred at most whatever the labels hold, has piece probabilities of its own, and so have
+all others and null together: they start from the weights the vocabulary's scores give and are
+re-estimated from the expected counts over the language's distinct learning words, which are what new
+words look like.
 
 The lattice of a word has two more edges, the word itself as a unit of its language and of all
 languages. With c_k occurrences among the N_k learning tokens of language k, c among all N,
@@ -15,12 +16,14 @@ The text's probability is the sum over languages of their share times the produc
 over its words and one end. `lang` is used for learning only; a text is scored from its
 words alone.
 
-Words with at least 1 / `heavy_share` of all tokens, so at most that many, are broadcast and scored
-where the text is read. The others travel as (document, word, number), meet the counts of
-their word, and come back as sums per document.
+Words with at least K / `heavy_share` of all tokens, K the number of languages, are scored in tasks and
+broadcast, at most `heavy_share` numbers. The others travel as (document, word, number), meet the
+counts of their word, and come back as sums per document. Both ways work in doubles, so which one a
+word takes changes nothing.
 
 Null text is the empty text: one end token. Rows that agree in doc_id and text are scored once
-and returned as often as they came; null doc_id counts as the empty text for the hash.
+and returned as often as they came; null doc_id counts as the empty text for the hash. Texts and
+words of any length are read whole: a word's lattice takes memory in proportion to its bytes.
 Without learning rows all counts are 0. An empty table gives an empty result.
 """
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import mixed, send, shared_value, slices, texts, words
 from larder.session import settle
 
-LANGUAGES = 16
-HEAVY_SHARE = 1_000_000
+LANGUAGE_SHARE = 100
+HEAVY_SHARE = 5_000_000
 HELD_WORDS = 300_000
 ROUNDS = 2
 LATTICE_WEIGHT = 0.95
@@ -256,15 +260,17 @@ def expected_pieces(counts: DataFrame, vocabulary: Vocabulary, languages: int) -
 
     found = counts.mapInArrow(run, "piece bigint, language bigint, uses double")
     out = np.zeros_like(vocabulary.log)
-    for row in found.groupBy("piece", "language").agg(F.sum("uses").alias("uses")).collect():
-        out[row["piece"], row["language"]] = row["uses"]
+    total = found.groupBy("piece", "language").agg(F.sum("uses").alias("uses")).toArrow()
+    out[total["piece"].to_numpy(), total["language"].to_numpy()] = total["uses"].to_numpy()
     return out
 
 
 def learned(docs: DataFrame, pieces: list[tuple[str, float]], heavy_share: int):
     """Word counts, model, vocabulary and the log probability of an end."""
-    seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    named = [r["lang"] for r in seen.where("lang IS NOT NULL").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    seen = settle(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "likelihood")
+    labelled = seen.where("lang IS NOT NULL")
+    rows = labelled.agg(F.sum("n")).first()[0] or 0
+    named = [r["lang"] for r in labelled.where(F.col("n") * LANGUAGE_SHARE >= rows).orderBy(F.desc("n"), "lang").collect()]
     languages = [*named, None]  # the last: null and all others
     number = F.coalesce(*[F.when(F.col("lang") == name, F.lit(i)) for i, name in enumerate(named)], F.lit(len(named)))
     ends = {r["k"]: r["n"] for r in seen.groupBy(number.alias("k")).agg(F.sum("n").alias("n")).collect()}
@@ -272,7 +278,7 @@ def learned(docs: DataFrame, pieces: list[tuple[str, float]], heavy_share: int):
     columns = [f"n{i}" for i in range(len(languages))]
     every = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
     total = counts.agg(
-        F.count(F.lit(1)).alias("types"), 
+        F.count(F.lit(1)).alias("types"),
         F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).alias("tokens"),
         F.array(*[F.count(F.when(F.col(c) > 0, 1)) for c in columns]).alias("types_by_language"),
         F.array(*[F.count(F.when(F.col(c) == 1, 1)) for c in columns]).alias("once")).first().asDict()
@@ -282,7 +288,7 @@ def learned(docs: DataFrame, pieces: list[tuple[str, float]], heavy_share: int):
     for _ in range(ROUNDS):
         ends = model.ends * types / np.maximum(model.tokens, 1.0)
         end_log = vocabulary.learn(expected_pieces(counts, vocabulary, len(languages)), ends)
-    floor = max(1.0, model.train_tokens / heavy_share)
+    floor = max(1.0, model.train_tokens * len(languages) / heavy_share)
     heavy = counts.where((every >= floor) & (F.length("word") <= 64))
     return counts, heavy, model, vocabulary, end_log
 
@@ -293,53 +299,60 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
     counts, heavy, model, vocabulary, end_log = learned(rows.where(~held_out_column()).select("text", "lang"), pieces, heavy_share)
     width = len(model.languages)
     columns = [f"n{i}" for i in range(width)]
-    top = heavy.collect()  # at most heavy_share rows with words of at most 64 bytes
-    raws = [bytes(r["word"]) for r in top]
-    top_counts = np.array([[r[c] for c in columns] for r in top], float).reshape(-1, width)
-    end = model.scores(model.ends[None, :], end_log[None, :])
-    table = np.vstack([model.scores(top_counts, lattice_log(vocabulary, raws)), end])
-    base = np.r_[model.base(top_counts.sum(1)), model.base(model.ends.sum()[None])]
-    shared = send(docs.sparkSession, ({raw: i for i, raw in enumerate(raws)}, table, base))
-    spelled = send(docs.sparkSession, (vocabulary, model))
     sums = [f"s{i}" for i in range(width)]
-    floats = ", ".join(f"{s} float" for s in sums)
+    doubles = ", ".join(f"{s} double" for s in sums)
+    spelled = send(docs.sparkSession, (vocabulary, model))
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, model = shared_value(spelled)
+        for batch in batches:
+            seen = np.column_stack([np.asarray(batch.column(c), float) for c in columns])
+            logs = model.scores(seen, lattice_log(vocabulary, batch.column("word").to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(model.base(seen.sum(1))), *(pa.array(logs[:, k]) for k in range(width))],
+                names=["word", "base", *sums])
+
+    # at most heavy_share / width words of at most 64 bytes
+    top = heavy.mapInArrow(known_words, f"word binary, base double, {doubles}").toArrow()
+    end = model.scores(model.ends[None, :], end_log[None, :])
+    table = np.vstack([np.column_stack([top[s].to_numpy() for s in sums]), end])
+    base = np.r_[top["base"].to_numpy(), model.base(model.ends.sum()[None])]
+    shared = send(docs.sparkSession, ({raw: i for i, raw in enumerate(top["word"].to_pylist())}, table, base))
     end_known = int(model.ends.sum() > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the broadcast words of each text, and its other words as lists."""
         number, table, base = shared_value(shared)
         last = len(base) - 1
+        by_language = np.ascontiguousarray(table.T)
         for batch in slices(batches, 2048):
-            ids, times, owner, other, other_n, offsets, n_tokens = [], [], [], [], [], [0], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = Counter(words(text))
-                n_tokens.append(found.total() + 1)
-                before = len(ids)
-                for word, n in found.items():
-                    place = number.get(word)
-                    if place is None:
-                        other.append(word)
-                        other_n.append(n)
-                    else:
-                        ids.append(place)
-                        times.append(n)
-                ids.append(last)
-                times.append(1)
-                owner += [i] * (len(ids) - before)
-                offsets.append(len(other))
-            size, times_, owner_ = len(n_tokens), np.array(times, float), np.array(owner, np.int64)
-            known = np.bincount(owner_, times_, size).astype(np.int64) - (1 - end_known)
-            logs = [np.bincount(owner_, table[ids, k] * times_, size) for k in range(table.shape[1])]
+            found = [Counter(words(text)) for text in batch.column("text").to_pylist()]
+            size = len(found)
+            raws = list(chain.from_iterable(found))
+            times = np.fromiter(chain.from_iterable(c.values() for c in found), np.int64, len(raws))
+            ids = np.fromiter(map(number.get, raws, repeat(-1)), np.int64, len(raws))
+            owner = np.repeat(np.arange(size), [len(c) for c in found])
+            n_tokens = np.bincount(owner, times, size).astype(np.int64) + 1
+            new = np.flatnonzero(ids < 0)
+            other, other_n = [raws[i] for i in new], times[new]
+            offsets = np.r_[0, np.cumsum(np.bincount(owner[new], minlength=size))]
+            # the end of each text stands after its words
+            old = ids >= 0
+            ids = np.r_[ids[old], np.full(size, last)]
+            times = np.r_[times[old], np.ones(size, np.int64)]
+            owner = np.r_[owner[old], np.arange(size)]
+            known = np.bincount(owner, times, size).astype(np.int64) - (1 - end_known)
+            logs = [np.bincount(owner, column[ids] * times, size) for column in by_language]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("sign"), pa.array(n_tokens, pa.int64()), pa.array(known),
-                 pa.array(np.bincount(owner_, base[ids] * times_, size)), *(pa.array(x) for x in logs),
+                 pa.array(np.bincount(owner, base[ids] * times, size)), *(pa.array(x) for x in logs),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(other, pa.binary())),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(other_n, pa.int32()))],
                 names=["doc_id", "sign", "n_tokens", "n_known", "base", *sums, "other", "times"])
 
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("sign"))
     first = settle(keyed.mapInArrow(read, "doc_id bigint, sign bigint, n_tokens bigint, n_known bigint, base double, "
-                                    + floats.replace("float", "double") + ", other array<binary>, times array<int>"), "likelihood")
+                                    + doubles + ", other array<binary>, times array<int>"), "likelihood")
     rare = first.select("doc_id", "sign", F.explode(F.arrays_zip("other", "times")).alias("w")).select(
         "doc_id", "sign", F.col("w.other").alias("word"), F.col("w.times").alias("times"))
     joined = rare.join(counts, "word", "left")
@@ -362,13 +375,13 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
             short = ids.group_by(["doc_id", "sign"]).aggregate([(c, "sum") for c in ("known", "base", *sums)])
             yield pa.RecordBatch.from_arrays(
                 [short["doc_id"].combine_chunks(), short["sign"].combine_chunks(), short["known_sum"].combine_chunks().cast(pa.int64()),
-                 short["base_sum"].combine_chunks(), *(short[f"{s}_sum"].combine_chunks().cast(pa.float32()) for s in sums)],
+                 short["base_sum"].combine_chunks(), *(short[f"{s}_sum"].combine_chunks() for s in sums)],
                 names=["doc_id", "sign", "n_known", "base", *sums])
 
-    partial = joined.mapInArrow(meet, f"doc_id bigint, sign bigint, n_known bigint, base double, {floats}")
+    partial = joined.mapInArrow(meet, f"doc_id bigint, sign bigint, n_known bigint, base double, {doubles}")
     own = first.select("doc_id", "sign", "n_tokens", "n_known", "base", *sums, F.lit(1).alias("rows"))
     added = partial.select("doc_id", "sign", F.lit(0).cast("bigint").alias("n_tokens"), "n_known", "base",
-                           *(F.col(s).cast("double").alias(s) for s in sums), F.lit(0).alias("rows"))
+                           *sums, F.lit(0).alias("rows"))
     total = own.unionByName(added).groupBy("doc_id", "sign").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", *sums, "rows")))
     shared_by = [F.col(s) / F.col("rows") + F.lit(float(model.shares[k])) for k, s in enumerate(sums)]
     best = F.greatest(*shared_by) if width > 1 else shared_by[0]
