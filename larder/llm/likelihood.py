@@ -17,12 +17,12 @@ over its words and one end. `lang` is used for learning only; a text is scored f
 words alone.
 
 Words with at least K / `heavy_share` of all tokens, K the number of languages, are scored in tasks and
-broadcast, at most `heavy_share` numbers. The others travel as (document, word, number), meet the
-counts of their word, and come back as sums per document. Both ways work in doubles, so which one a
+broadcast, at most `heavy_share` numbers. The others travel as (row, word, number), meet the
+counts of their word, and come back as sums per row. Both ways work in doubles, so which one a
 word takes changes nothing.
 
-Null text is the empty text: one end token. Rows that agree in doc_id and text are scored once
-and returned as often as they came; null doc_id counts as the empty text for the hash. Texts and
+Null text is the empty text: one end token. Repeated rows are scored and returned as often as they
+come, each under a number of its own that is written down with its first sums; null doc_id counts as the empty text for the hash. Texts and
 words of any length are read whole: a word's lattice takes memory in proportion to its bytes.
 Without learning rows all counts are 0. An empty table gives an empty result.
 """
@@ -344,17 +344,17 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
             known = np.bincount(owner, times, size).astype(np.int64) - (1 - end_known)
             logs = [np.bincount(owner, column[ids] * times, size) for column in by_language]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("sign"), pa.array(n_tokens, pa.int64()), pa.array(known),
+                [batch.column("doc_id"), batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(known),
                  pa.array(np.bincount(owner, base[ids] * times, size)), *(pa.array(x) for x in logs),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(other, pa.binary())),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(other_n, pa.int32()))],
-                names=["doc_id", "sign", "n_tokens", "n_known", "base", *sums, "other", "times"])
+                names=["doc_id", "row", "n_tokens", "n_known", "base", *sums, "other", "times"])
 
-    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("sign"))
-    first = settle(keyed.mapInArrow(read, "doc_id bigint, sign bigint, n_tokens bigint, n_known bigint, base double, "
+    keyed = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    first = settle(keyed.mapInArrow(read, "doc_id bigint, row bigint, n_tokens bigint, n_known bigint, base double, "
                                     + doubles + ", other array<binary>, times array<int>"), "likelihood")
-    rare = first.select("doc_id", "sign", F.explode(F.arrays_zip("other", "times")).alias("w")).select(
-        "doc_id", "sign", F.col("w.other").alias("word"), F.col("w.times").alias("times"))
+    rare = first.select("row", F.explode(F.arrays_zip("other", "times")).alias("w")).select(
+        "row", F.col("w.other").alias("word"), F.col("w.times").alias("times"))
     joined = rare.join(counts, "word", "left")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,24 +370,24 @@ def score_documents(docs: DataFrame, pieces: list[tuple[str, float]], heavy_shar
             logs = model.scores(seen, lattice_log(vocabulary, list(place)))
             whole = seen.sum(1)
             times = np.asarray(batch.column("times"), float)
-            ids = pa.table({"doc_id": batch.column("doc_id"), "sign": batch.column("sign"), "known": times * (whole[code] > 0),
+            ids = pa.table({"row": batch.column("row"), "known": times * (whole[code] > 0),
                             "base": model.base(whole)[code] * times, **{s: logs[code, k] * times for k, s in enumerate(sums)}})
-            short = ids.group_by(["doc_id", "sign"]).aggregate([(c, "sum") for c in ("known", "base", *sums)])
+            short = ids.group_by("row").aggregate([(c, "sum") for c in ("known", "base", *sums)])
             yield pa.RecordBatch.from_arrays(
-                [short["doc_id"].combine_chunks(), short["sign"].combine_chunks(), short["known_sum"].combine_chunks().cast(pa.int64()),
+                [short["row"].combine_chunks(), short["known_sum"].combine_chunks().cast(pa.int64()),
                  short["base_sum"].combine_chunks(), *(short[f"{s}_sum"].combine_chunks() for s in sums)],
-                names=["doc_id", "sign", "n_known", "base", *sums])
-
-    partial = joined.mapInArrow(meet, f"doc_id bigint, sign bigint, n_known bigint, base double, {doubles}")
-    own = first.select("doc_id", "sign", "n_tokens", "n_known", "base", *sums, F.lit(1).alias("rows"))
-    added = partial.select("doc_id", "sign", F.lit(0).cast("bigint").alias("n_tokens"), "n_known", "base",
-                           *sums, F.lit(0).alias("rows"))
-    total = own.unionByName(added).groupBy("doc_id", "sign").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", *sums, "rows")))
-    shared_by = [F.col(s) / F.col("rows") + F.lit(float(model.shares[k])) for k, s in enumerate(sums)]
+                names=["row", "n_known", "base", *sums])
+
+    partial = joined.mapInArrow(meet, f"row bigint, n_known bigint, base double, {doubles}")
+    own = first.select("row", "doc_id", "n_tokens", "n_known", "base", *sums)
+    added = partial.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_tokens"),
+                           "n_known", "base", *sums)
+    total = own.unionByName(added).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", *sums)))
+    shared_by = [F.col(s) + F.lit(float(model.shares[k])) for k, s in enumerate(sums)]
     best = F.greatest(*shared_by) if width > 1 else shared_by[0]
     spread = sum((F.pow(F.lit(10.0), x - best) for x in shared_by[1:]), F.pow(F.lit(10.0), shared_by[0] - best))
     return total.select(
-        "doc_id", held_out_column().alias("held_out"), (F.col("n_tokens") / F.col("rows")).cast("bigint").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("bigint").alias("n_known"), F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (best + F.log10(spread)).alias("score"),
-        F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("row")).drop("row")
+        "doc_id", held_out_column().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"), (best + F.log10(spread)).alias("score"))
