@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.features import split_features, training_rows
-from larder.operators.ridge import fit_best_alpha, with_prediction
+from larder.operators.features import after_warm_up, split_features, training_rows, with_features
+from larder.operators.ridge import fit_best_alpha, scores_by_cut, with_prediction
 from larder.operators.spine import by_day
 
 SMALLEST_TARGET = 2.220446049250313e-16
@@ -61,3 +61,10 @@ def holdout_metrics(history: DataFrame, last_train_day: str) -> DataFrame:
     return scored.groupBy("series").agg(
         F.first("alpha").alias("alpha"), F.count("*").alias("rows"), mae(y, p).alias("mae"), mape(y, p).alias("mape")
     )
+
+
+def rolling_backtest(history: DataFrame, cuts: list[str], days: int = 28, alpha: float = 1.0) -> DataFrame:
+    """(series, cut, n_train, rows, mae, mape): one ridge per series and cut date, scored one day ahead
+    on the `days` days after the cut. Inputs are the full windows of the days before each row."""
+    rows = training_rows(after_warm_up(with_features(history, full_only=True)))
+    return scores_by_cut(rows, cuts, days, alpha, SMALLEST_TARGET)

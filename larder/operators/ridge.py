@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators.grid import fold, nest
+from larder.operators.grid import DOUBLES, LONGS, fold, nest, unnest
 from larder.operators.spine import by_day, whole_series
 from larder.session import settle
 from larder.tables import ALPHA_GRID, CV_FOLDS, DEMAND_FEATURES, FEATURES
 
 P = len(FEATURES)
-FLAT = 1e-9  # a column whose deviation is smaller is constant
 PAIRS = list(combinations_with_replacement(range(P), 2))
 IS_DEMAND = np.array([name in DEMAND_FEATURES for name in FEATURES], dtype=float)
 
@@ -238,139 +237,129 @@ def with_validation_block(training: DataFrame, folds: int = CV_FOLDS) -> DataFra
     return numbered.withColumn("block", block.cast("int")).drop("_at", "_n", "_size")
 
 
-def fit_alpha_grid(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
-    """(series, n_train, fold_models, final_models): every fold's and the full fit per alpha.
+class Stretch:
+    """The training rows of a batch of series, one series after the other, with what fits need.
 
-    Moments are summed per validation block once; a fold's training moments are the
-    running total over the blocks before it, so no row is copied into several folds.
-    Models are flat arrays of (intercept, coefficients), fold-major then alpha.
+    `block` cuts every series' rows into consecutive blocks. Moments are summed per block, and a
+    model's moments are the running total over the blocks it learns from, so no row is copied.
     """
-    blocks = moments(with_validation_block(training, folds), "block")
-    gathered = blocks.groupBy("series").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("block", F.lit(0)).alias("block"), "n", "level", "sums")))
-        .alias("_b")
-    ).select(
-        "series",
-        F.size("_b").alias("blocks"),
-        F.col("_b")[0]["level"].alias("level"),
-        F.col("_b.n").alias("n"),
-        F.flatten(F.col("_b.sums")).alias("sums"),
-    )
-    width = P + len(PAIRS) + 1 + P
 
-    def run(batches):
-        for batch in batches:
-            blocks_of = batch["blocks"].to_numpy()
-            if not len(blocks_of):
-                continue
-            level = _doubles(batch["level"])
-            n = np.zeros((len(level), folds + 1))
-            sums = np.zeros((len(level), folds + 1, width))
-            present = np.arange(folds + 1) < blocks_of[:, None]
-            n[present] = batch["n"].flatten().to_numpy(zero_copy_only=False)
-            sums[present] = batch["sums"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            n, sums = n.cumsum(axis=1), sums.cumsum(axis=1)
-            fitted = np.empty((len(level), folds + 1, len(alphas), P + 1))
-            for b in range(folds + 1):
-                for a, alpha in enumerate(alphas):
-                    fitted[:, b, a, 0], fitted[:, b, a, 1:] = solve(n[:, b], level, sums[:, b], alpha)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["series"],
-                    pa.array(n[:, -1].astype(np.int64)),
-                    _list_column(fitted[:, :folds].reshape(len(level), -1)),
-                    _list_column(fitted[:, folds].reshape(len(level), -1)),
-                ],
-                names=["series", "n_train", "fold_models", "final_models"],
-            )
-
-    schema = _schema(gathered, {
-        "n_train": T.LongType(),
-        "fold_models": T.ArrayType(T.DoubleType()),
-        "final_models": T.ArrayType(T.DoubleType()),
-    })
-    return gathered.mapInArrow(run, schema)
+    def __init__(self, batch: pa.RecordBatch):
+        self.lengths = np.asarray(batch["n"], np.int64)
+        self.series = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.at = np.arange(len(self.series)) - (np.cumsum(self.lengths) - self.lengths)[self.series]
+        self.y = batch["qty_sold"].flatten().to_numpy(zero_copy_only=False)
+        self.x = np.column_stack([batch[c].flatten().to_numpy(zero_copy_only=False) for c in FEATURES])
+
+    def moments_up_to(self, block: np.ndarray, blocks: int):
+        """(n, level, sums) by series and last block, as `solve` takes them."""
+        count = len(self.lengths)
+        level = np.bincount(self.series, self.y, count) / np.maximum(self.lengths, 1)
+        x = self.x - level[self.series, None] * IS_DEMAND
+        y = self.y - level[self.series]
+        first, second = np.array(PAIRS).T
+        totals = np.concatenate([x, x[:, first] * x[:, second], y[:, None], y[:, None] * x], axis=1)
+        key = self.series * blocks + block
+        n = np.bincount(key, minlength=count * blocks).reshape(count, blocks)
+        sums = np.zeros((count * blocks, totals.shape[1]))
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        if len(begins):
+            sums[key[begins]] = np.add.reduceat(totals, begins, axis=0)
+        return n.cumsum(axis=1), level, sums.reshape(count, blocks, -1).cumsum(axis=1)
+
+    def predicted(self, rows: np.ndarray, intercept: np.ndarray, coef: np.ndarray) -> np.ndarray:
+        """Predictions for some rows, each by the model given for it."""
+        return intercept + np.einsum("ij,ij->i", self.x[rows], coef)
+
+
+def nested_rows(training: DataFrame) -> DataFrame:
+    """A series' rows as one row of arrays, bounded by its calendar."""
+    columns = [F.col(c).cast("double").alias(c) for c in ("qty_sold", *FEATURES)]
+    return nest(training.select("series", "date", *columns), ["date", "qty_sold", *FEATURES])
 
 
-def validation_scores(training: DataFrame, grid: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
-    """(series, at, alpha, mean_mae) of the series long enough to validate.
+def tuned(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
+    """model(series, n_train, alpha, intercept, coef) with the alpha of lowest mean error, and
+    `errors`, the mean validation error of every alpha (null for a series too short to validate).
 
-    A tested row is repeated once per alpha: the generated code stays short enough to be
-    compiled, and the partial aggregation takes the copies out before any exchange.
+    The folds are those of `with_validation_block`. Ties go to the earlier alpha; a series too
+    short keeps alpha 1. A series is gathered once and fitted, scored and chosen for in one step,
+    for all series of a batch together.
     """
-    tested = with_validation_block(training, folds).where(F.col("block") >= 1)
-    scored = tested.join(grid.select("series", "fold_models"), "series").select(
-        "series", "block", "qty_sold", *FEATURES, "fold_models",
-        F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("at", "alpha"),
-    )
-    first = ((F.col("block") - 1) * len(alphas) + F.col("at")) * (P + 1)
-    pred = F.get("fold_models", F.col("first"))
-    for i, name in enumerate(FEATURES):
-        pred = pred + F.get("fold_models", F.col("first") + (i + 1)) * F.col(name)
-    errors = scored.withColumn("first", first).withColumn("error", F.abs(F.col("qty_sold") - pred))
-    per_fold = errors.groupBy("series", "block", "at", "alpha").agg(F.avg("error").alias("mae"))
-    return per_fold.groupBy("series", "at", "alpha").agg(F.avg("mae").alias("mean_mae"))
+    default = list(alphas).index(1.0) if 1.0 in alphas else 0
+
+    def step(batch) -> dict:
+        rows = Stretch(batch)
+        size = rows.lengths // (folds + 1)
+        past = rows.at - (rows.lengths - folds * size)[rows.series]
+        block = np.where(past < 0, 0, past // np.maximum(size, 1)[rows.series] + 1)
+        block = np.where(size[rows.series] > 0, block, 0)
+        n, level, sums = rows.moments_up_to(block, folds + 1)
+        tested = np.flatnonzero(block)
+        owner, fold_of = rows.series[tested], block[tested] - 1
+        errors = np.zeros((len(size), len(alphas)))
+        final = np.zeros((len(size), len(alphas), P + 1))
+        for a, alpha in enumerate(alphas):
+            fits = [solve(n[:, b], level, sums[:, b], alpha) for b in range(folds + 1)]
+            intercept, coef = (np.stack(part, axis=1) for part in zip(*fits, strict=True))
+            error = np.abs(rows.y[tested] - rows.predicted(tested, intercept[owner, fold_of], coef[owner, fold_of]))
+            errors[:, a] = np.bincount(owner, error, len(size)) / np.maximum(folds * size, 1)
+            final[:, a, 0], final[:, a, 1:] = intercept[:, folds], coef[:, folds]
+        best = np.where(size > 0, errors.argmin(axis=1), default)
+        chosen = final[np.arange(len(size)), best]
+        return {
+            "alpha": pa.array(np.asarray(alphas, float)[best]), "intercept": pa.array(chosen[:, 0]),
+            "coef": _list_column(chosen[:, 1:]),
+            "errors": pa.array([e if long else None for e, long in zip(errors.tolist(), size > 0, strict=True)], pa.list_(pa.float64())),
+        }
+
+    outputs = {"alpha": T.DoubleType(), "intercept": T.DoubleType(), "coef": DOUBLES, "errors": DOUBLES}
+    fitted = fold(nested_rows(training), step, outputs, batch_rows=64, keep=["series", "n"])
+    return fitted.select("series", F.col("n").cast("bigint").alias("n_train"), *outputs)
+
+
+def validation_scores(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
+    """(series, at, alpha, mean_mae) of the series long enough to validate."""
+    grid = F.array(*[F.lit(float(a)) for a in alphas])
+    scored = tuned(training, alphas, folds).select("series", F.posexplode("errors").alias("at", "mean_mae"))
+    return scored.select("series", "at", F.get(grid, F.col("at")).alias("alpha"), "mean_mae")
 
 
 def fit_best_alpha(training: DataFrame, alphas=ALPHA_GRID, folds: int = CV_FOLDS) -> DataFrame:
-    """model(series, n_train, alpha, intercept, coef) with the alpha of lowest mean error.
+    """model(series, n_train, alpha, intercept, coef) as `tuned` chooses it."""
+    return tuned(training, alphas, folds).drop("errors")
 
-    Ties go to the earlier alpha; a series too short to validate keeps alpha 1. A series is
-    gathered once, bounded by its calendar, and fitted, scored and chosen for in one step, so the
-    features are worked out a single time.
-    """
-    columns = [F.col(c).cast("double").alias(c) for c in ("qty_sold", *FEATURES)]
-    nested = nest(training.select("series", "date", *columns), ["qty_sold", *FEATURES])
-    default = list(alphas).index(1.0) if 1.0 in alphas else 0
+
+def scores_by_cut(training: DataFrame, cuts: list[str], days: int, alpha: float, smallest: float) -> DataFrame:
+    """(series, cut, n_train, rows, mae, mape): a fit up to every cut date, scored on the `days` days
+    after it. One pass over the rows serves all cuts. A cut with nothing to learn from or nothing
+    to score gives no row; percentages are of the target, `smallest` at least."""
+    named = sorted(set(cuts))
+    at = np.array(named, "datetime64[D]").astype(np.int64)
 
     def step(batch) -> dict:
-        lengths = batch["n"].to_numpy()
-        stops = np.cumsum(lengths)
-        y = batch["qty_sold"].flatten().to_numpy(zero_copy_only=False)
-        x = np.column_stack([batch[c].flatten().to_numpy(zero_copy_only=False) for c in FEATURES])
-        chosen, intercepts, coefs = [], [], []
-        for start, stop in zip(stops - lengths, stops, strict=True):
-            rows, target = x[start:stop], y[start:stop]
-            at = _best_of(rows, target, alphas, folds, default)
-            weights, constants = _ridges(rows, target, [alphas[at]])
-            chosen.append(float(alphas[at]))
-            intercepts.append(constants[0])
-            coefs.append(weights[0])
-        flat = np.concatenate(coefs) if coefs else np.zeros(0)
-        offsets = (np.arange(len(coefs) + 1) * P).astype(np.int32)
+        rows = Stretch(batch)
+        day = batch["date"].flatten().cast(pa.int32()).to_numpy(zero_copy_only=False).astype(np.int64)
+        # a row after c cuts is in block c, so the fit at cut c takes the blocks up to c
+        n, level, sums = rows.moments_up_to(np.searchsorted(at, day, side="left"), len(at) + 1)
+        found = np.zeros((3, len(rows.lengths), len(at)))
+        for c, cut in enumerate(at):
+            intercept, coef = solve(n[:, c], level, sums[:, c], alpha)
+            tested = np.flatnonzero((day > cut) & (day <= cut + days))
+            owner = rows.series[tested]
+            error = np.abs(rows.y[tested] - rows.predicted(tested, intercept[owner], coef[owner]))
+            share = error / np.maximum(np.abs(rows.y[tested]), smallest)
+            for place, weight in enumerate((None, error, share)):
+                found[place, :, c] = np.bincount(owner, weight, len(rows.lengths))
         return {
-            "alpha": pa.array(chosen, pa.float64()), "intercept": pa.array(intercepts, pa.float64()),
-            "coef": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            "n_train": _list_column(n[:, :-1].astype(np.int64)), "rows": _list_column(found[0].astype(np.int64)),
+            "mae": _list_column(found[1] / np.maximum(found[0], 1)), "mape": _list_column(found[2] / np.maximum(found[0], 1)),
         }
 
-    outputs = {"alpha": T.DoubleType(), "intercept": T.DoubleType(), "coef": T.ArrayType(T.DoubleType())}
-    fitted = fold(nested, step, outputs, keep=["series", "n"])
-    return fitted.select("series", F.col("n").cast("bigint").alias("n_train"), "alpha", "intercept", "coef")
-
-
-def _ridges(x: np.ndarray, y: np.ndarray, alphas) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and constants of one ridge per alpha, on columns scaled to deviation 1."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale < FLAT, 1.0, scale)
-    z = (x - mean) / scale
-    gram, cross = z.T @ z, z.T @ (y - y.mean())
-    systems = gram + np.asarray(alphas, float)[:, None, None] * np.eye(P)
-    weights = np.linalg.solve(systems, np.broadcast_to(cross[:, None], (len(systems), P, 1)))[..., 0] / scale
-    return weights, y.mean() - weights @ mean
-
-
-def _best_of(x: np.ndarray, y: np.ndarray, alphas, folds: int, default: int) -> int:
-    """Place of the alpha with the lowest mean error over the expanding folds."""
-    size = len(y) // (folds + 1)
-    if not size:
-        return default
-    errors = np.zeros(len(alphas))
-    for k in range(folds, 0, -1):
-        begin = len(y) - k * size
-        weights, constants = _ridges(x[:begin], y[:begin], alphas)
-        predicted = x[begin : begin + size] @ weights.T + constants
-        errors += np.abs(predicted - y[begin : begin + size, None]).mean(axis=0)
-    return int(errors.argmin())
+    outputs = {"n_train": LONGS, "rows": LONGS, "mae": DOUBLES, "mape": DOUBLES}
+    by_cut = unnest(fold(nested_rows(training), step, outputs, batch_rows=64, keep=["series"]), list(outputs))
+    dates = F.array(*[F.lit(c).cast("date") for c in named])
+    return by_cut.where("n_train > 0 AND rows > 0").select("series", F.get(dates, F.col("step")).alias("cut"), *outputs)
 
 
 # --- one model over all series ---------------------------------------------------------

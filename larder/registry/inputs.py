@@ -5,6 +5,8 @@ Suppliers play the series. All inputs cover the whole tables.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from larder.tables import Policy
 
 POLICY = Policy(shelf_life={"dough": 6})
 LAST_TRAIN_DAY = "1999-12-31"
+CUT_DAYS = [str(date(1999, month + 1, 1) - timedelta(days=1)) for month in range(1, 12)] + [LAST_TRAIN_DAY]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

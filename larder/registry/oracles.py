@@ -11,7 +11,7 @@ from statistics import NormalDist
 from larder.functions.messages import PLACEHOLDER_MARKERS, PLACEHOLDER_PREFIX
 from larder.operators.menu import seeded_ideas
 from larder.operators.people import CONTACT_ERRORS, EMAIL_PATTERN
-from larder.registry.inputs import LAST_TRAIN_DAY, POLICY
+from larder.registry.inputs import CUT_DAYS, LAST_TRAIN_DAY, POLICY
 from larder.tables import ALPHA_GRID, CV_FOLDS, FEATURES
 
 ORACLES: dict[str, str] = {}
@@ -285,6 +285,20 @@ SELECT series, alpha, count(*) AS rows, round(avg(abs(y - p)), 6) AS mae,
 FROM (SELECT t.series, f.alpha, qty_sold AS y, {PREDICTED} AS p FROM test t JOIN fitted f ON f.series = t.series)
 GROUP BY series, alpha"""
 
+ORACLES["rolling_backtest"] = f"""WITH RECURSIVE {DENSE}, {ONE_ALPHA},
+cuts(cut) AS (VALUES {', '.join(f"(DATE '{day}')" for day in CUT_DAYS)}),
+known AS (SELECT *, min(date) OVER (PARTITION BY series) AS first_day FROM ({lags(True, 'dense')})),
+usable AS MATERIALIZED (
+  SELECT * EXCLUDE (first_day), {CALENDAR} FROM known
+  WHERE date >= first_day + 28 AND lag_7 IS NOT NULL AND roll28 IS NOT NULL),
+cut_rows AS (SELECT cut, u.* FROM cuts JOIN usable u ON u.date <= cut),
+{systems('cut_rows', 'series, cut')}
+SELECT series, cut, any_value(n) AS n_train, count(*) AS rows, round(avg(abs(y - p)), 6) AS mae,
+       printf('%.8e', avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16))) AS mape
+FROM (SELECT m.series, m.cut, m.n, qty_sold AS y, {PREDICTED} AS p
+      FROM models m JOIN usable t ON t.series = m.series AND t.date > m.cut AND t.date <= m.cut + 28)
+GROUP BY series, cut"""
+
 ORACLES["residual_interval"] = f"""WITH {DENSE}
 SELECT series, round(quantile_cont(r, 0.025), 6) + 0.0 AS q_lo, round(quantile_cont(r, 0.975), 6) + 0.0 AS q_hi
 FROM (SELECT series, qty_sold - lag(qty_sold, 7) OVER {BY_DAY} AS r FROM dense) WHERE r IS NOT NULL GROUP BY series"""

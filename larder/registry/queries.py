@@ -29,7 +29,7 @@ from larder.operators import (
 )
 from larder.plans import season
 from larder.registry import inputs
-from larder.registry.inputs import LAST_TRAIN_DAY, POLICY
+from larder.registry.inputs import CUT_DAYS, LAST_TRAIN_DAY, POLICY
 from larder.session import shared_folder
 from larder.sources import policy, published, sales
 from larder.streaming import sales as sales_stream
@@ -297,8 +297,7 @@ def cv_folds(spark, sf):
 
 @query
 def alpha_search(spark, sf):
-    training = _strict_training(spark, sf)
-    scores = ridge.validation_scores(training, ridge.fit_alpha_grid(training))
+    scores = ridge.validation_scores(_strict_training(spark, sf))
     return scores.select("series", "alpha", r6("mean_mae"))
 
 
@@ -314,6 +313,13 @@ def holdout_metrics(spark, sf):
     return scored.select("series", "alpha", "rows", r6("mae"), F.format_string("%.8e", "mape").alias("mape"))
 
 
+@query
+def rolling_backtest(spark, sf):
+    """A fit up to the end of every month of a year, each scored on the 28 days that follow."""
+    scored = accuracy.rolling_backtest(inputs.history(spark, sf), CUT_DAYS)
+    return scored.select("series", "cut", "n_train", "rows", r6("mae"), F.format_string("%.8e", "mape").alias("mape"))
+
+
 @query
 def residual_interval(spark, sf):
     """Residual offsets of a seasonal-naive forecast."""

@@ -106,7 +106,7 @@ def brute_alpha(x, y):
 def test_alpha_search(three):
     training = features.training_rows(features.with_features(three)).persist()
     expected = matrix_of(training)
-    scores = ridge.validation_scores(training, ridge.fit_alpha_grid(training)).collect()
+    scores = ridge.validation_scores(training).collect()
     for name, (x, y) in expected.items():
         alpha, wanted = brute_alpha(x, y)
         found = [r["mean_mae"] for r in sorted(scores, key=lambda r: r["alpha"]) if r["series"] == name]
@@ -120,6 +120,28 @@ def test_alpha_search(three):
         assert np.allclose(row["coef"], coef, atol=1e-8) and abs(row["intercept"] - intercept) < 1e-7
 
 
+def test_rolling_backtest_equals_a_fit_of_its_own_at_every_cut(three):
+    cuts = ["2023-12-01", "2023-11-05", "2024-01-10", "2023-11-20", "2025-01-01", "2023-01-01"]
+    rows = features.training_rows(features.after_warm_up(features.with_features(three, full_only=True))).orderBy("series", "date").collect()
+    wanted = {}
+    for name in {r["series"] for r in rows}:
+        own = [r for r in rows if r["series"] == name]
+        x, y = np.array([[float(r[f]) for f in FEATURES] for r in own]), np.array([r["qty_sold"] for r in own])
+        day = np.array([r["date"] for r in own])
+        for cut in map(dt.date.fromisoformat, cuts):
+            early, late = day <= cut, (day > cut) & (day <= cut + dt.timedelta(days=14))
+            if early.any() and late.any():
+                intercept, coef = closed_form(x[early], y[early], 2.0)
+                error = np.abs(y[late] - intercept - x[late] @ coef)
+                share = error / np.maximum(np.abs(y[late]), 2.220446049250313e-16)
+                wanted[name, cut] = (early.sum(), late.sum(), error.mean(), share.mean())
+    found = {(r["series"], r["cut"]): tuple(r)[2:] for r in accuracy.rolling_backtest(three, cuts, days=14, alpha=2.0).collect()}
+    assert found.keys() == wanted.keys() and len(wanted) > 5
+    for key, values in wanted.items():
+        assert found[key][:2] == values[:2] and np.allclose(found[key][2:], values[2:], rtol=1e-7, atol=1e-7)
+    assert accuracy.rolling_backtest(three.limit(0), cuts).count() == 0
+
+
 def test_intervals(three):
     training = features.training_rows(features.with_features(three)).persist()
     residuals = ridge.with_residual(training, ridge.fit_by_series(training)).persist()
