@@ -7,7 +7,9 @@ skipped when they come up. A merge costs a constant number of queue steps, so a
 millions of bytes takes n log n time and not n squared.
 
 Null text is the empty text: no ids, empty decoded bytes. Null doc_id and repeated rows pass
-through row by row. Other columns are dropped, whatever they are called.
+through row by row. Of equal pairs the leftmost merges first. Very long texts are cut by the pattern
+one piece at a time. An empty table gives an empty result. Other columns are dropped, whatever
+they are called.
 """
 
 from __future__ import annotations

@@ -22,9 +22,10 @@ counts of their word, and come back as sums per row. Both ways work in doubles,
 word takes changes nothing.
 
 Null text is the empty text: one end token. Repeated rows are scored and returned as often as they
-come, each under a number of its own that is written down with its first sums; null doc_id counts as the empty text for the hash. Texts and
-words of any length are read whole: a word's lattice takes memory in proportion to its bytes.
-Without learning rows all counts are 0. An empty table gives an empty result.
+come, each under a number of its own that is written down with its first sums; null doc_id counts as
+the empty text for the hash. Texts and words of any length are read whole: a word's lattice takes
+memory in proportion to its bytes. Languages equally frequent go by code point. Without learning rows
+all counts are 0. An empty table gives an empty result; other columns stay behind.
 """
 
 from __future__ import annotations

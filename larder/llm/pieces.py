@@ -11,7 +11,9 @@ candidates come in order of their start, so the longest last piece wins. A chara
 covers costs the lowest score less 10 and is replaced by its bytes' pieces (or counts as one
 unknown piece together with its unknown neighbours when the vocabulary has no byte pieces).
 
-Null or empty text: no pieces, score 0. Repeated rows and null doc_id pass through.
+Null or empty text: no pieces, score 0. Repeated rows and null doc_id pass through. Very long texts
+are solved segment by segment, a segment of any length in memory in proportion to it. An empty
+table gives an empty result; other columns stay behind, whatever they are called.
 """
 
 from __future__ import annotations

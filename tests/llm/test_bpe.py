@@ -53,6 +53,12 @@ def test_every_code_point(encoder, reference):
         assert ids(encoder, text) == reference.encode_ordinary(text)
 
 
+def test_very_long_pieces_and_texts(encoder, reference):
+    rng = random.Random(8)
+    for text in ("".join(rng.choices("abcdefghij", k=40_000)), "é" * 20_000, "a " * 300_000 + "the end" * 80_000):
+        assert ids(encoder, text) == reference.encode_ordinary(text)
+
+
 def test_rows_without_text(documents):
     found = encode_decode(documents([(1, None), (None, "a"), (2, ""), (2, "")]), PATH, public_tokenizers.PATTERN)
     assert sorted((r.doc_id or 0, len(r.ids), bytes(r.decoded)) for r in found.collect()) == [

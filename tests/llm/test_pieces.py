@@ -49,6 +49,14 @@ def test_rows(documents, pieces):
     assert token_counts(documents([]), pieces).collect() == []
 
 
+def test_very_long_texts(documents, pieces):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aenrst", k=30_000)), "the and of " * 40_000]
+    tokenizer = library(pieces, True)
+    found = {r.doc_id: r.n_pieces for r in token_counts(documents(list(enumerate(texts))), pieces).collect()}
+    assert found == {i: len(tokenizer.encode(marked(text)).tokens) for i, text in enumerate(texts)}
+
+
 def test_whole_table(spark, pieces):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     tokenizer = library(pieces, True)
