@@ -107,7 +107,7 @@ def fold(
     nested: DataFrame,
     step: Callable[[pa.RecordBatch], dict[str, pa.Array]],
     outputs: dict[str, T.DataType],
-    batch_rows: int = 1024,
+    batch_rows: int = 256,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The columns `step` computes for each batch of series, after those to keep (all if not given)."""

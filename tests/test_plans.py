@@ -6,12 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators.spine import daily_totals, densify
+from larder.operators import spine
+from larder.operators.spine import calendar_days, daily_totals, densify, spread
 from larder.plans import season
 from larder.registry import inputs
 from larder.registry.queries import QUERIES
 from larder.sources.published import publish
-from tests.conftest import SF
+from tests.conftest import SF, rows_of
 
 
 def executed(frame):
@@ -96,3 +97,21 @@ def test_plan_columns_with_unknown_values_are_rounded(spark):
     plan = spark.createDataFrame(rows, "series string, date int, apples_need double, dough_need double")
     found = [tuple(r) for r in plan_export(plan).orderBy("series", "date").collect()]
     assert found == [("a", 1, 2, 8), ("a", 2, 3, 0), ("a", 3, 1, 2), ("b", 1, 2, 8), ("b", 2, -1, 0), ("c", 1, 9, 4)]
+
+
+def test_tasks_grow_with_the_calendar(spark, monkeypatch):
+    """However many series there are, a task holds about as many calendar days."""
+    monkeypatch.setattr(spine, "DAYS_PER_TASK", 1500)
+    history = inputs.history(spark, SF)
+    per_task = [r["count"] for r in history.groupBy(F.spark_partition_id()).count().collect()]
+    days = sum(per_task)
+    assert days == calendar_days(inputs.table(spark, SF, "lineitem"), "l_suppkey", "l_shipdate")
+    assert history.rdd.getNumPartitions() == -(-days // 1500) > 4
+    plain = densify(inputs.daily_sales(spark, SF))
+    assert rows_of(history, "series", "date") == rows_of(plain, "series", "date")
+
+
+def test_calendar_days_of_nothing(spark):
+    daily = spark.createDataFrame([], "series string, date date, qty_sold double")
+    assert calendar_days(daily, "series", "date") == 0
+    assert spread(daily, 0).isEmpty()
