@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.session import settle
 from larder.tables import REQUIRED_SALES_COLUMNS
 
 CSV_FILES = "*.[cC][sS][vV]"
@@ -34,6 +35,12 @@ def records(text: Column) -> Column:
     return F.transform(F.split(F.array_join(plain, ""), LINE_END), lambda line: F.split(line, FIELD_END))
 
 
+def one_record(text: Column) -> Column:
+    """The fields of a single record. Most have no quotes: their commas are all there is to it."""
+    quoted = text.contains('"') | text.contains("\n") | text.contains("\r")
+    return F.when(quoted, records(text)[0]).otherwise(F.split(text, ","))
+
+
 def is_blank(record: Column) -> Column:
     return (F.size(record) == 1) & (F.btrim(record[0]) == "")
 
@@ -56,12 +63,14 @@ def scanned(lines: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             quotes = pc.fill_null(pc.count_substring(batch.column("value"), '"'), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = list(zip(batch.column("file").to_pylist(), batch.column("block_start").to_pylist(), strict=True))
-            starts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
+            file, start = batch.column("file"), batch.column("block_start")
+            same = pc.and_(pc.equal(file[1:], file[:-1]), pc.equal(start[1:], start[:-1])).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(~same) + 1)]
             out = np.zeros((5, len(batch)), np.int64)
             for begin, end in zip(starts, [*starts[1:], len(batch)], strict=True):
-                if keys[begin] != block:
-                    block, state = keys[begin], (0, 0, 0, 0)
+                key = (file[int(begin)].as_py(), start[int(begin)].as_py())
+                if key != block:
+                    block, state = key, (0, 0, 0, 0)
                 at, before, evens, odds = state
                 own = quotes[begin:end]
                 ahead = (before + np.cumsum(own) - own) % 2
@@ -75,8 +84,8 @@ def scanned(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
-def whole_records(lines: DataFrame) -> DataFrame:
-    """lines(value, file, block_start) -> the same columns and `at`, a row per record.
+def whole_records(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """lines(value, file, block_start) -> the same columns and `at`, a row per record of the given files.
 
     A record ends at a line end with an even number of quotes before it in its file. The parity at a
     block's start is that of all quotes in the file's blocks before, so however files are
@@ -85,7 +94,8 @@ def whole_records(lines: DataFrame) -> DataFrame:
     can be told to span lines: each line is one then.
     """
     others = [c for c in lines.columns if c not in ("value", "file", "block_start")]
-    rows = scanned(lines)
+    # only then, as a join may change the order
+    rows = scanned(lines).join(files.select("file"), "file", "left_semi")
     here = rows.groupBy("file", "block_start").agg(
         F.sum("own").alias("quotes"), F.max("evens").alias("evens"), F.max("odds").alias("odds"))
     before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,8 +103,8 @@ def whole_records(lines: DataFrame) -> DataFrame:
     sized = here.withColumn("unpaired", F.sum("quotes").over(Window.partitionBy("file")) % 2 == 1).withColumn(
         "odd", F.when(F.col("unpaired"), 0).otherwise(odd)).withColumn("records", F.when(F.col("odd") == 1, F.col("odds")).otherwise(F.col("evens")))
     open_at = F.last(F.when(F.col("records") > 0, F.struct("block_start", "records")), ignorenulls=True).over(before)
-    blocks = sized.withColumn("open_at", open_at).select(
-        F.col("file").alias("b_file"), F.col("block_start").alias("b_start"), "odd", "unpaired", "open_at")
+    blocks = settle(sized.withColumn("open_at", open_at).select(
+        F.col("file").alias("b_file"), F.col("block_start").alias("b_start"), "odd", "unpaired", "open_at"), "blocks")
     same = (F.col("file") == F.col("b_file")) & (F.col("block_start") == F.col("b_start"))
     # few blocks are out of the ordinary: all others start between records
     known = rows.join(blocks.where("odd = 1 OR unpaired").select("b_file", "b_start", "odd", "unpaired"), same, "left")
@@ -113,21 +123,55 @@ def whole_records(lines: DataFrame) -> DataFrame:
     return single.unionByName(joined)
 
 
-def with_own_header(lines: DataFrame) -> DataFrame:
+def first_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines with their place `at` in reading order, and files(file, spans, head): whether a line
+    holds an odd number of quotes, so that records may span lines, and the first line that isn't blank.
+
+    One row per file, settled, so that its size is known wherever it is joined.
+    """
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    value = F.col("value")
+    odd = value.contains('"') & ((F.length(value) - F.length(F.translate(value, '"', ""))) % 2 == 1)
+    blocks = placed.groupBy("file", "block_start").agg(
+        F.max(odd.cast("int")).alias("odd"), F.min(F.when(F.btrim(value) != "", F.col("at"))).alias("at"))
+    place = F.when(F.col("at").isNotNull(), F.struct("block_start", "at"))
+    files = blocks.groupBy("file").agg((F.max("odd") == 1).alias("spans"), F.min(place).alias("head"))
+    return placed, settle(files, "files")
+
+
+def with_heads(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lines(value, file, block_start) -> (records, heads): the records in `value` with their place in
+    the file, and heads(file, head, header), each file's first record that isn't blank, parsed once.
+
+    Only files whose records may span lines are put together; in all others a line is a record.
+    """
+    rows, files = first_lines(lines)
+    long = files.where("spans")
+    if not long.isEmpty():
+        plain = rows.join(files.where("NOT spans").select("file"), "file", "left_semi")
+        columns = ["file", "block_start", "at", *(c for c in lines.columns if c not in ("file", "block_start"))]
+        joined = whole_records(lines, long).where(F.btrim("value") != "")
+        place = F.struct("block_start", "at")
+        # the first record of a block is the only one that can be the file's first
+        first = joined.groupBy("file", "block_start").agg(F.min("at").alias("at")).groupBy("file").agg(F.min(place).alias("head"))
+        files = settle(files.where("NOT spans").select("file", "head").unionByName(first), "files")
+        rows = plain.select(*columns).unionByName(joined.select(*columns))
+    at_head = F.struct("block_start", "at") == F.col("head")
+    heads = rows.join(files.select("file", "head"), "file").where(at_head).select("file", "head", one_record(F.col("value")).alias("header"))
+    return rows, settle(heads, "heads")
+
+
+def with_own_header(lines: DataFrame, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """lines(value, file, block_start) -> (file, header, record), the header records left out.
 
-    A file's header is its first record that isn't blank.
+    A file's header is its first record that isn't blank. `found` is what `with_heads` gives for the lines.
     """
-    rows = whole_records(lines).where(F.btrim("value") != "")
-    place = F.struct("block_start", "at")
-    # the first record of a block is the only one that can be the file's first
-    first = rows.groupBy("file", "block_start").agg(F.min("at").alias("at")).groupBy("file").agg(F.min(place).alias("head"))
-    marked = rows.join(first, "file")
-    heads = marked.where(place == F.col("head")).select("file", F.col("value").alias("head_value"))
-    body = marked.where(place != F.col("head")).join(heads, "file")
-    parsed = body.select(
-        *(c for c in lines.columns if c != "value"), records(F.col("head_value"))[0].alias("header"), records(F.col("value"))[0].alias("record"))
-    return parsed.where(~is_blank(F.col("record")))
+    rows, heads = found or with_heads(lines)
+    body = rows.where(F.btrim("value") != "").join(heads, "file").where(F.struct("block_start", "at") != F.col("head"))
+    value = F.col("value")
+    # without quotes only a blank line has a single blank field
+    kept = body.where(F.when(value.contains('"'), ~is_blank(one_record(value))).otherwise(F.lit(True)))
+    return kept.select(*(c for c in lines.columns if c != "value"), "header", one_record(value).alias("record"))
 
 
 def file_lines(reader, *paths: str, glob: str = CSV_FILES) -> DataFrame:
@@ -145,8 +189,10 @@ def read_csv(spark: SparkSession, *paths: str, file: str | None = None, glob: st
     where a file lacks one, and the file's path under the name `file`, if given. The headers
     that occur are few and are looked at first.
     """
-    rows = with_own_header(file_lines(spark.read, *paths, glob=glob))
-    layouts = rows.select(F.transform("header", lambda c: F.btrim(c)).alias("header")).distinct().collect()
+    lines = file_lines(spark.read, *paths, glob=glob)
+    found = with_heads(lines)
+    rows = with_own_header(lines, found)
+    layouts = found[1].select(F.transform("header", lambda c: F.btrim(c)).alias("header")).distinct().collect()
     names = dict.fromkeys(name for row in sorted(layouts, key=lambda r: r["header"]) for name in row["header"])
     of_file = [F.col("file").alias(file)] if file else []
     return rows.select(*[field(F.col("header"), F.col("record"), name).alias(name) for name in names], *of_file)

@@ -340,3 +340,15 @@ def test_styles_by_file(spark):
     assert found["both", "13/02/2024"] == found["both", "02/13/2024"] == ("2024-02-13", None)
     assert found["both", "01/02/2024"] == (None, "mixed date styles") and found["iso", "2024"] == (None, "bad date")
     assert found["iso", "32/01/2024"] == (None, "bad date")
+
+
+def test_only_files_with_open_quotes_are_put_together(spark, tmp_path):
+    """Files whose lines are records are read by the scan alone; one that spans lines doesn't change them."""
+    (tmp_path / "a.csv").write_text('\n date ,note,qty_sold\n2024-01-01,"a, ""b""",1\n\n"  "\n2024-01-02,,2\n')
+    plain = sales.read_csv(spark, str(tmp_path))
+    assert "MapInArrow" not in plain._jdf.queryExecution().executedPlan().toString()
+    wanted = [("2024-01-01", 'a, "b"', "1"), ("2024-01-02", "", "2")]
+    assert [tuple(r) for r in plain.orderBy("date").collect()] == wanted
+    (tmp_path / "b.csv").write_text('"date",qty_sold,note\n2024-01-03,3,"x\ny"\n')
+    both = sales.read_csv(spark, str(tmp_path)).select("date", "note", "qty_sold")
+    assert [tuple(r) for r in both.orderBy("date").collect()] == [*wanted, ("2024-01-03", "x\ny", "3")]
