@@ -188,6 +188,15 @@ def test_recursive_forecast(three, spark):
         assert np.allclose([r["pred_upper"] - r["pred_lower"] for r in mine], 5.0)
 
 
+def test_the_intercept_is_added_last(history):
+    """A Thursday in May: 3 * 0.31 - 5 * 0.07 + 1.25 + 1.67 is 3.5, and half to even is 4; with the intercept first it is below."""
+    past = history({"a": (dt.date(2024, 4, 22), [1] * 10)})
+    coef = [0.31, -0.07, 0.83, 2.0, 1.5, -0.5, 3.0, 1.67, 0.0, 0.0, 0.0]
+    model = past.select("series").distinct().withColumns({"intercept": F.lit(1.25), "coef": F.array(*map(F.lit, coef))})
+    found = recursive_forecast(past, model, Policy(horizon_days=1))
+    assert rows_of(found.select("date", "qty_sold", "pred_mean"), "date") == [(dt.date(2024, 5, 2), 4, 3.5)]
+
+
 def test_forecast_year_cuts_the_horizon(three):
     policy = Policy(horizon_days=400, forecast_year=2023)
     flat = flat_forecast(three, policy)
