@@ -45,9 +45,14 @@ def is_blank(record: Column) -> Column:
     return (F.size(record) == 1) & (F.btrim(record[0]) == "")
 
 
+def names_of(record: Column) -> Column:
+    """A header record's names."""
+    return F.transform(record, lambda c: F.btrim(c))
+
+
 def field(header: Column, record: Column, name: str) -> Column:
-    """The record's field below a header name; null where the header lacks it."""
-    at = F.array_position(F.transform(header, lambda c: F.btrim(c)), name)
+    """The record's field below one of the header's names; null where it lacks this name."""
+    at = F.array_position(header, name)
     return F.when(at > 0, F.get(record, (at - 1).cast("int")))
 
 
@@ -141,7 +146,7 @@ def first_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_heads(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lines(value, file, block_start) -> (records, heads): the records in `value` with their place in
-    the file, and heads(file, head, header), each file's first record that isn't blank, parsed once.
+    the file, and heads(file, head, header), the names in each file's first record that isn't blank, parsed once.
 
     Only files whose records may span lines are put together; in all others a line is a record.
     """
@@ -150,14 +155,15 @@ def with_heads(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not long.isEmpty():
         plain = rows.join(files.where("NOT spans").select("file"), "file", "left_semi")
         columns = ["file", "block_start", "at", *(c for c in lines.columns if c not in ("file", "block_start"))]
-        joined = whole_records(lines, long).where(F.btrim("value") != "")
+        # headers, rows and every later reader take the records from here: gathering them is the costly part
+        joined = settle(whole_records(lines, long).where(F.btrim("value") != "").select(*columns), "records")
         place = F.struct("block_start", "at")
         # the first record of a block is the only one that can be the file's first
         first = joined.groupBy("file", "block_start").agg(F.min("at").alias("at")).groupBy("file").agg(F.min(place).alias("head"))
         files = settle(files.where("NOT spans").select("file", "head").unionByName(first), "files")
-        rows = plain.select(*columns).unionByName(joined.select(*columns))
+        rows = plain.select(*columns).unionByName(joined)
     at_head = F.struct("block_start", "at") == F.col("head")
-    heads = rows.join(files.select("file", "head"), "file").where(at_head).select("file", "head", one_record(F.col("value")).alias("header"))
+    heads = rows.join(files.select("file", "head"), "file").where(at_head).select("file", "head", names_of(one_record(F.col("value"))).alias("header"))
     return rows, settle(heads, "heads")
 
 
@@ -168,10 +174,9 @@ def with_own_header(lines: DataFrame, found: tuple[DataFrame, DataFrame] | None
     """
     rows, heads = found or with_heads(lines)
     body = rows.where(F.btrim("value") != "").join(heads, "file").where(F.struct("block_start", "at") != F.col("head"))
-    value = F.col("value")
-    # without quotes only a blank line has a single blank field
-    kept = body.where(F.when(value.contains('"'), ~is_blank(one_record(value))).otherwise(F.lit(True)))
-    return kept.select(*(c for c in lines.columns if c != "value"), "header", one_record(value).alias("record"))
+    # exploded, as filters and columns would else each parse the record anew
+    parsed = body.select(*(c for c in lines.columns if c != "value"), "header", F.explode(F.array(one_record(F.col("value")))).alias("record"))
+    return parsed.where(~is_blank(F.col("record")))
 
 
 def file_lines(reader, *paths: str, glob: str = CSV_FILES) -> DataFrame:
@@ -192,7 +197,7 @@ def read_csv(spark: SparkSession, *paths: str, file: str | None = None, glob: st
     lines = file_lines(spark.read, *paths, glob=glob)
     found = with_heads(lines)
     rows = with_own_header(lines, found)
-    layouts = found[1].select(F.transform("header", lambda c: F.btrim(c)).alias("header")).distinct().collect()
+    layouts = found[1].select("header").distinct().collect()
     names = dict.fromkeys(name for row in sorted(layouts, key=lambda r: r["header"]) for name in row["header"])
     of_file = [F.col("file").alias(file)] if file else []
     return rows.select(*[field(F.col("header"), F.col("record"), name).alias(name) for name in names], *of_file)
@@ -213,13 +218,14 @@ def payload_rows(payloads: DataFrame, content: str = "csv_content") -> DataFrame
     others = [c for c in payloads.columns if c != content]
     parsed = payloads.select(*others, records(F.col(content)).alias("_records"))
     body = parsed.select(
-        *others, F.col("_records")[0].alias("_header"),
+        *others, names_of(F.col("_records")[0]).alias("_header"),
         F.posexplode(F.slice("_records", 2, F.size("_records"))).alias("line", "_record"),
     ).where(~is_blank(F.col("_record")))
     values = [field(F.col("_header"), F.col("_record"), c).alias(c) for c in REQUIRED_SALES_COLUMNS]
     return body.select(*others, "line", *values)
 
 
+ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
 # Day, month and year in every order, with the parts of a time behind them.
 PARTED = r"^\s*(\d{1,4})[-/.](\d{1,2})[-/.](\d{1,4})(?:[T ].*)?$"
 PACKED = r"^\s*(\d{4})(\d{2})(\d{2})\s*$"
@@ -228,37 +234,41 @@ MONTH_DAY = r"^\s*([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}),? +(\d{4})\s*$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def numeric_parts(text: Column) -> tuple[Column, Column, Column]:
-    """The two parts of a day/month pair before a year of four digits; null for other texts."""
-    first, second, year = (F.regexp_extract(text, PARTED, i) for i in (1, 2, 3))
-    fits = (F.length(year) == 4) & (F.length(first) <= 2)
-    return tuple(F.when(fits, part.try_cast("int")) for part in (first, second, year))
+def day_parts(text: Column) -> Column:
+    """The three numbers of a PARTED text in their order; null for other texts."""
+    return F.when(text.rlike(PARTED), F.slice(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), 1, 3))
 
 
-def made_day(year: Column, month: Column, day: Column) -> Column:
-    """The date, null where there is none such."""
-    return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+def numeric_parts(parts: Column) -> tuple[Column, Column, Column]:
+    """The two parts of a day/month pair before a year of four digits; null for others."""
+    fits = (F.length(parts[2]) == 4) & (F.length(parts[0]) <= 2)
+    return tuple(F.when(fits, parts[i].try_cast("int")) for i in range(3))
 
 
-def parsed_day(text: Column, day_first: Column) -> Column:
+def parsed_day(text: Column, day_first: Column, parts: Column | None = None) -> Column:
     """A date with year, month and day in a usual spelling.
 
     Of two numbers before a year one above 12 is the day. Where both could be, `day_first` tells, and
-    null leaves the date open. A text without all three parts is no date.
+    null leaves the date open. A text without all three parts is no date. `parts` are the text's
+    `day_parts`, if they are at hand. No text has two of these forms; each row goes into one branch that brings
+    its parts in order, and the date is made once behind them.
     """
-    first, second, year = numeric_parts(text)
-    leading = [F.regexp_extract(text, PARTED, i) for i in (1, 2, 3)]
-    by_year = F.when((F.length(leading[0]) == 4) & (F.length(leading[2]) <= 2), made_day(leading[0], leading[1], leading[2]))
-    packed = F.when(text.rlike(PACKED), made_day(*(F.regexp_extract(text, PACKED, i) for i in (1, 2, 3))))
+    parts = day_parts(text) if parts is None else parts
+    first, second, _ = numeric_parts(parts)
+    by_year = (F.length(parts[0]) == 4) & (F.length(parts[2]) <= 2)
+    day_ahead = (first == second) | (first > 12) | (day_first & (second <= 12))
+    numbers = F.when(by_year, parts).when(day_ahead, F.reverse(parts)).when(
+        first.isNotNull() & ((second > 12) | ~day_first), F.array(parts[2], parts[0], parts[1]))
 
     def named(pattern: str, day: int, month: int) -> Column:
         number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, month)))
-        return F.when(text.rlike(pattern) & (number > 0), made_day(F.regexp_extract(text, pattern, 3), number, F.regexp_extract(text, pattern, day)))
+        return F.array(F.regexp_extract(text, pattern, 3), number.cast("string"), F.regexp_extract(text, pattern, day))
 
-    same = F.when(first == second, made_day(year.cast("string"), first, second))
-    either = F.when((first > 12) | (day_first & (second <= 12)), made_day(year.cast("string"), second, first)).when(
-        (second > 12) | ~day_first, made_day(year.cast("string"), first, second))
-    return F.coalesce(by_year, packed, named(DAY_MONTH, 1, 2), named(MONTH_DAY, 2, 1), same, either)
+    ordered = F.when(text.rlike(ISO_DAY), F.split(text, "-")).when(parts.isNotNull(), numbers).when(
+        text.rlike(PACKED), F.array(*(F.regexp_extract(text, PACKED, i) for i in (1, 2, 3)))).when(
+        text.rlike(DAY_MONTH), named(DAY_MONTH, 1, 2)).when(text.rlike(MONTH_DAY), named(MONTH_DAY, 2, 1))
+    # a part that is missing leaves too short a text, which is no date
+    return F.concat_ws("-", *(F.lpad(ordered[i], 4 if i == 0 else 2, "0") for i in range(3))).try_cast("date")
 
 
 def date_styles(raw: DataFrame, by: str, column: str = "date") -> DataFrame:
@@ -268,10 +278,10 @@ def date_styles(raw: DataFrame, by: str, column: str = "date") -> DataFrame:
     they are; one row per file is left. `day_first` is null without a vote or with votes for
     both, which is `mixed`.
     """
-    first, second, _ = numeric_parts(F.col(column))
+    first, second, _ = numeric_parts(F.col("_parts"))
     days = F.count_if((first > 12) & (first <= 31) & (second <= 12))
     months = F.count_if((second > 12) & (second <= 31) & (first <= 12))
-    votes = raw.groupBy(by).agg(days.alias("_days"), months.alias("_months"))
+    votes = raw.select(by, day_parts(F.col(column)).alias("_parts")).groupBy(by).agg(days.alias("_days"), months.alias("_months"))
     mixed = (F.col("_days") > 0) & (F.col("_months") > 0)
     style = F.when(~mixed & (F.col("_days") + F.col("_months") > 0), F.col("_days") > 0)
     return votes.select(by, style.alias("day_first"), mixed.alias("mixed"))
@@ -291,20 +301,21 @@ def validate(raw: DataFrame, first_day: str = FIRST_DAY, last_day: str = LAST_DA
     if by is None:
         styled = named.withColumns({"day_first": F.lit(None).cast("boolean"), "mixed": F.lit(False)})
     else:
-        styles = date_styles(raw, by).withColumnRenamed(by, "_by")
+        # one row per file, settled: of known size, so that no row moves to its file's task
+        styles = settle(date_styles(raw, by).withColumnRenamed(by, "_by"), "styles")
         styled = named.join(styles, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
-    typed = styled.withColumns({
-        "date": parsed_day(F.col("raw_date"), F.col("day_first")),
+    typed = styled.withColumn("_parts", day_parts(F.col("raw_date"))).withColumns({
+        "date": parsed_day(F.col("raw_date"), F.col("day_first"), F.col("_parts")),
         "qty_sold": F.col("raw_qty").try_cast("double"),
     })
-    first, second, _ = numeric_parts(F.col("raw_date"))
-    swapped = (first <= 12) & (second <= 12) & F.col("date").isNull()
+    first, second, _ = numeric_parts(F.col("_parts"))
+    swapped = F.col("date").isNull() & (first <= 12) & (second <= 12)
     in_range = F.col("date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
     finite = ~F.isnan("qty_sold") & (F.abs("qty_sold") != float("inf"))
     error = F.when(swapped & F.col("mixed"), "mixed date styles").when(swapped, "ambiguous date").when(
         ~F.coalesce(in_range, F.lit(False)), "bad date").when(
         ~F.coalesce(finite, F.lit(False)), "bad qty_sold")
-    return typed.withColumn("error", error).drop("day_first", "mixed")
+    return typed.withColumn("error", error).drop("day_first", "mixed", "_parts")
 
 
 def good_rows(checked: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from larder.operators import people
 from larder.plans import season
+from larder.registry import inputs, queries
 from larder.sources import published, sales
 from larder.streaming import sales as sales_stream
 from larder.streaming import signups as signup_stream
 from larder.tables import Policy
-from tests.conftest import rows_of
+from tests.conftest import SF, rows_of
 
 
 def write(folder, name, text):
@@ -318,7 +320,7 @@ def test_the_stream_reads_the_same_records(spark, tmp_path):
     ("13/02/2024", True, "2024-02-13"), ("02/13/2024", False, "2024-02-13"), ("1.2.2024", True, "2024-02-01"), ("1-2-2024 08:30", False, "2024-01-02"),
     ("03/03/2024", None, "2024-03-03"), ("01/02/2024", None, None), ("31/02/2024", True, None), ("2024-02-30", None, None), ("2024-13-01", None, None),
     ("2 Jan 2024", None, "2024-01-02"), ("02-January-2024", None, "2024-01-02"), ("Jan. 2, 2024", None, "2024-01-02"), ("Foo 2, 2024", None, None),
-    ("2024", None, None), ("2024-01", None, None), ("1/2/24", True, None), ("", None, None), (None, None, None), ("12024-01-02", None, None),
+    ("2024", None, None), ("2024-01", None, None), ("1/2/24", True, None), ("1/2/24", False, None), ("", None, None), (None, None, None), ("12024-01-02", None, None),
 ])
 def test_spellings(spark, given, day_first, wanted):
     row = spark.createDataFrame([(given, day_first)], "t string, f boolean").select(sales.parsed_day(F.col("t"), F.col("f")).alias("d")).first()
@@ -352,3 +354,15 @@ def test_only_files_with_open_quotes_are_put_together(spark, tmp_path):
     (tmp_path / "b.csv").write_text('"date",qty_sold,note\n2024-01-03,3,"x\ny"\n')
     both = sales.read_csv(spark, str(tmp_path)).select("date", "note", "qty_sold")
     assert [tuple(r) for r in both.orderBy("date").collect()] == [*wanted, ("2024-01-03", "x\ny", "3")]
+
+
+def test_files_do_not_grow_with_the_series(spark):
+    """The quoted sales are written by task, each file opening with blank lines, and read back whole."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("quoted-*"))
+    rows = queries.QUERIES["quoted_csv"](spark, SF)
+    (folder,) = set(root.glob("quoted-*")) - before
+    files = list(folder.rglob("part-*"))
+    assert 1 <= len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(file.read_text().startswith("\n\n  \ndate,note,qty_sold,series\n") for file in files)
+    assert rows.count() == inputs.daily_sales(spark, SF).count()
