@@ -366,3 +366,15 @@ def test_files_do_not_grow_with_the_series(spark):
     assert 1 <= len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert all(file.read_text().startswith("\n\n  \ndate,note,qty_sold,series\n") for file in files)
     assert rows.count() == inputs.daily_sales(spark, SF).count()
+
+
+def test_dated_files_follow_the_rows(spark, monkeypatch):
+    """More rows give more files of every style, written by tasks of their own, and the same dates."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    one = sorted(map(tuple, queries.QUERIES["dated_csv"](spark, SF).collect()), key=str)
+    monkeypatch.setattr(queries, "ROWS_PER_DATED_FILE", 400)
+    before = set(root.glob("dated-*"))
+    more = sorted(map(tuple, queries.QUERIES["dated_csv"](spark, SF).collect()), key=str)
+    (folder,) = set(root.glob("dated-*")) - before
+    assert len(list(folder.rglob("part-*"))) > len(queries.DATE_STYLES)
+    assert more == one
