@@ -10,7 +10,11 @@ predicted together, one day after the other.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +25,12 @@ from larder.operators.forecast import (
 from larder.operators.grid import DOUBLES, LONGS, fold, lists, matrix, unnest
 from larder.operators.ridge import assemble, fit_rows
 from larder.session import settle, shared_folder
-from larder.tables import CALENDAR_FEATURES, Policy
+from larder.tables import CALENDAR_FEATURES, FEATURES, Policy
 
 RANKS = 10_000  # a quantile is off by at most a share of 1 / RANKS of the rows
+STEPS = 512  # a feature's values are looked up at so many even ranks, to choose its bins from
+BINS = [f"bin_{name}" for name in FEATURES]
+GROUPS_PER_TASK = 100_000
 
 
 class Linear:
@@ -53,6 +60,11 @@ class Trees:
         self.roots = np.array(list(starts.values()), np.int64)
         self.weights = np.asarray(weights, float)
 
+    def on_values(self, cuts: list[np.ndarray]) -> Trees:
+        """The trees for a feature's values, where they were fitted on the numbers of its bins."""
+        self.threshold = np.array([cuts[f][int(t)] for f, t in zip(self.feature, self.threshold, strict=True)])
+        return self
+
     def predict(self, rows: np.ndarray) -> np.ndarray:
         at = np.broadcast_to(self.roots, (len(rows), len(self.roots)))
         place = np.arange(len(rows))[:, None]
@@ -104,20 +116,86 @@ def residual_offsets(residuals: DataFrame, alpha: float, ranks: int = RANKS) ->
         F.percentile_approx("resid", [alpha / 2, 1 - alpha / 2], ranks).alias("q")).first()["q"] or (0.0, 0.0))
 
 
+def by_bins(estimator) -> bool:
+    """Whether rows in the same bins may go into the fit as their number and mean: a tree's gains and
+    leaves, and the residuals that boosting goes on with, are the same then, as long as errors are
+    squared, every row takes part and no rule counts unweighted rows."""
+    if not isinstance(estimator, (GBTRegressor, DecisionTreeRegressor)) or estimator.isSet("weightCol"):
+        return False
+    boosted = isinstance(estimator, GBTRegressor)
+    plain = not boosted or (
+        estimator.getLossType() == "squared" and estimator.getSubsamplingRate() == 1.0 and not estimator.isSet("validationIndicatorCol"))
+    return plain and estimator.getMinInstancesPerNode() == 1
+
+
+def cut_points(rows: DataFrame, most: int) -> list[np.ndarray]:
+    """For every feature at most `most` thresholds, halfway between values at even ranks of all rows.
+
+    A feature that has no more values than that keeps them all apart, if each is its smallest, its
+    largest or that of one row in STEPS.
+    """
+    ranks = [i / STEPS for i in range(STEPS + 1)]
+    found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), ranks, RANKS).alias(f) for f in FEATURES]).first()
+    cuts = []
+    for name in FEATURES:
+        values = np.unique(found[name])
+        values = values[np.isfinite(values)]
+        kept = values[np.linspace(0, len(values) - 1, min(len(values), most + 1)).round().astype(int)]
+        between = np.unique(kept[:-1] / 2 + kept[1:] / 2)
+        cuts.append(between if len(between) else np.array([0.0]))  # all in one bin or two, whichever: nothing to tell apart
+    return cuts
+
+
+def binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Adds the number of each feature's bin; a value that equals a threshold belongs below it, as in a tree."""
+    splits = [[-np.inf, *np.nextafter(c, np.inf).tolist(), np.inf] for c in cuts]
+    found = Bucketizer(splitsArray=splits, inputCols=list(FEATURES), outputCols=BINS).transform(rows)
+    return found.withColumns({name: F.col(name).cast("int") for name in BINS})  # plain numbers: trees would take its buckets for categories
+
+
+def fit_by_bins(rows: DataFrame, estimator):
+    """(fitted, cuts): trees fitted on one row per combination of bins that occurs, weighted by its number of rows.
+
+    Every row counts. Combinations are bounded by the bins and grow far more slowly than the rows, so what
+    `pyspark.ml` keeps in memory from pass to pass does too.
+    """
+    cuts = cut_points(rows, estimator.getMaxBins() - 1)
+    groups = settle(binned(rows, cuts).groupBy(*BINS).agg(
+        F.count("*").cast("double").alias("weight"), F.avg("qty_sold").alias("qty_sold")), "bins")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, ceil(groups.count() / GROUPS_PER_TASK))
+    inputs = _bins_assembled(groups.repartition(tasks, *BINS)).select("features", "qty_sold", "weight")
+    return fit_rows(inputs, estimator.copy({estimator.getParam("weightCol"): "weight"})), cuts
+
+
+def _bins_assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=BINS, outputCol="features").transform(rows)
+
+
 def fit_portable(training: DataFrame, estimator=None, alpha: float = 1.0, interval_alpha: float | None = None):
     """One model over all series, ready to be rolled forward; None without any training row.
 
     Any `pyspark.ml` regressor (ridge with this alpha by default). With `interval_alpha` it has an
-    interval that leaves out that share of its residuals.
+    interval that leaves out that share of its residuals. Trees that allow it (`by_bins`) are fitted on
+    the combinations of their features' bins.
     """
+    if by_bins(estimator):
+        rows = settle(training.select(*FEATURES, F.col("qty_sold").cast("double").alias("qty_sold")), "pooled")
+        if rows.isEmpty():
+            return None
+        fitted, cuts = fit_by_bins(rows, estimator)
+        model = portable(training.sparkSession, fitted).on_values(cuts)
+        return _with_interval(model, lambda: fitted.transform(_bins_assembled(binned(rows, cuts))), interval_alpha)
     rows = settle(assemble(training).select("features", "qty_sold"), "pooled")
     if rows.isEmpty():
         return None
     fitted = fit_rows(rows, estimator, alpha)
-    model = portable(training.sparkSession, fitted)
+    return _with_interval(portable(training.sparkSession, fitted), lambda: fitted.transform(rows), interval_alpha)
+
+
+def _with_interval(model, predicted, interval_alpha: float | None):
     if interval_alpha is None:
         return model
-    residuals = fitted.transform(rows).select((F.col("qty_sold") - F.col("pred")).alias("resid"))
+    residuals = predicted().select((F.col("qty_sold") - F.col("pred")).alias("resid"))
     return WithOffsets(model, *residual_offsets(residuals, interval_alpha))
 
 

@@ -83,6 +83,52 @@ def test_interval_from_residuals(past, training):
     assert all(abs(r["pred_upper"] - r["pred_mean"] - model.high) < 1e-9 for r in rows)
 
 
+@pytest.mark.parametrize("estimator", [
+    lambda: DecisionTreeRegressor(maxDepth=5, seed=1), lambda: GBTRegressor(maxIter=6, maxDepth=4, seed=1),
+], ids=["tree", "boosted"])
+def test_a_fit_by_bins_is_the_fit_by_rows(spark, training, estimator):
+    """With no more values than bins both see the same thresholds; eight rows of each input differ in the target only."""
+    coarse = training.withColumns({name: F.floor(F.col(name) / 6) * 6.0 for name in features.FEATURES[-4:]})
+    many = coarse.crossJoin(spark.range(8)).withColumn("qty_sold", F.col("qty_sold") + F.col("id") % 3).persist()
+    seen = []
+
+    class Watched(type(estimator())):
+        def _fit(self, dataset):
+            seen.append(dataset.count())
+            return super()._fit(dataset)
+
+    watched = Watched(**{p.name: v for p, v in estimator().extractParamMap().items() if p.name in ("maxDepth", "maxIter", "seed")})
+    model = pooled.fit_portable(many, watched)
+    assert seen[0] * 8 <= many.count()
+    fitted = ridge.fit_rows(ridge.assemble(many).select("features", "qty_sold"), estimator())
+    rows = ridge.assemble(many.dropDuplicates(list(features.FEATURES))).select("features").collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    assert np.abs(model.predict(x) - [fitted.predict(r["features"]) for r in rows]).max() < 1e-9
+    assert len(np.unique(model.predict(x))) > 8
+
+
+def test_cuts_keep_rare_values_and_equal_values_below(spark, training):
+    one = training.limit(1).drop("is_xmas", "roll28", "lag_1")
+    rows = one.crossJoin(spark.range(3000).select(
+        (F.col("id") == 7).cast("int").alias("is_xmas"), (F.col("id") % 1000).cast("double").alias("roll28"),
+        F.when(F.col("id") % 5 == 0, F.col("id") % 50).otherwise(0).cast("double").alias("lag_1")))
+    cuts = dict(zip(features.FEATURES, pooled.cut_points(rows, 31), strict=True))
+    assert cuts["is_xmas"].tolist() == [0.5] and len(cuts["dow"]) == 1
+    assert cuts["lag_1"].tolist() == [2.5 + 5 * i for i in range(9)]
+    assert len(cuts["roll28"]) == 31 and np.abs(np.diff(cuts["roll28"]) - 1000 / 31).max() < 10
+    at = rows.limit(1).withColumn("lag_1", F.explode(F.array(F.lit(2.5), F.lit(2.500001))))
+    assert [r["bin_lag_1"] for r in pooled.binned(at, list(cuts.values())).orderBy("lag_1").collect()] == [0.0, 1.0]
+
+
+def test_fits_that_need_every_row_get_them(training):
+    plain = GBTRegressor(maxIter=2, maxDepth=2, seed=1)
+    assert pooled.by_bins(plain)
+    for other in (GBTRegressor(lossType="absolute"), GBTRegressor(subsamplingRate=0.5), GBTRegressor(minInstancesPerNode=5),
+                  GBTRegressor(weightCol="w"), RandomForestRegressor(), None):
+        assert not pooled.by_bins(other)
+    assert pooled.fit_portable(training.limit(0), plain) is None
+
+
 def test_rank_error_of_the_sketch(spark):
     rows, ranks = 200_000, 100
     table = spark.range(rows).select((F.pmod(F.xxhash64("id"), F.lit(10 ** 9))).cast("double").alias("resid"))
