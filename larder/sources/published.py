@@ -11,6 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.spine import whole_series
+from larder.session import settle
+
 BUCKETS = 256
 BASE_ID = "0"
 
@@ -46,13 +49,14 @@ UPLOAD = "upload"
 def newest_upload(rows: DataFrame) -> DataFrame:
     """Of every series the rows of its newest upload; a day given twice in one is summed.
 
-    Upload names sort by age; rows without one are older than any.
+    Upload names sort by age; rows without one are older than any, rows without a series are left out. One exchange by day, after which a
+    series has a row per day and upload, and one by series.
     """
     named = rows if UPLOAD in rows.columns else rows.withColumn(UPLOAD, F.lit(""))
-    named = named.withColumn(UPLOAD, F.coalesce(UPLOAD, F.lit("")))
+    named = named.where(F.col("series").isNotNull()).withColumn(UPLOAD, F.coalesce(UPLOAD, F.lit("")))
     summed = named.groupBy("series", "date", UPLOAD).agg(F.sum("qty_sold").alias("qty_sold"))
-    newest = summed.groupBy("series").agg(F.max(UPLOAD).alias(UPLOAD))
-    return summed.join(newest, ["series", UPLOAD]).select("series", "date", "qty_sold", UPLOAD)
+    newest = summed.withColumn("_newest", F.max(UPLOAD).over(whole_series()))
+    return newest.where(F.col(UPLOAD) == F.col("_newest")).select("series", "date", "qty_sold", UPLOAD)
 
 
 def _bucket(buckets: int):
@@ -87,7 +91,8 @@ def upsert_series(upload: DataFrame, path: str, snapshot: str, buckets: int | No
 
     The number of buckets is chosen when the table is made (BUCKETS if not given) and kept in
     its log. Snapshots are ordered by the turn they landed in; the same id again is the
-    same snapshot written over, from what stood before it.
+    same snapshot written over, from what stood before it. The upload is settled: which buckets it
+    touches has to be known before it is merged, in one pass with the rows that stand there.
     """
     spark = upload.sparkSession
     log = _log(spark, path)
@@ -100,13 +105,13 @@ def upsert_series(upload: DataFrame, path: str, snapshot: str, buckets: int | No
     if UPLOAD not in upload.columns and snapshot != BASE_ID:  # newer than what has landed
         age = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")
         upload = upload.withColumn(UPLOAD, F.concat_ws("|", age, F.lit(snapshot)))
-    arrived = newest_upload(upload).withColumn("bucket", _bucket(buckets)).persist()
+    named = [c for c in ("series", "date", "qty_sold", UPLOAD) if c in upload.columns]
+    arrived = settle(upload.where(F.col("series").isNotNull()).select(*named, _bucket(buckets).alias("bucket")), "arrived")
     touched = [r.bucket for r in arrived.select("bucket").distinct().collect()]  # at most `buckets` rows
     if touched:
         current = _read_buckets(spark, path, _series_log(spark, path, snapshot), set(touched))
-        merged = arrived.drop("bucket")
-        if current is not None:
-            merged = newest_upload(current.unionByName(merged))
+        rows = arrived.drop("bucket")
+        merged = newest_upload(rows if current is None else current.unionByName(rows, allowMissingColumns=True))
         # ranges end within a long series too, and a task writes to few buckets
         spread = merged.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket", "series", "date")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshot={snapshot}")
@@ -114,7 +119,6 @@ def upsert_series(upload: DataFrame, path: str, snapshot: str, buckets: int | No
             entries = spark.createDataFrame(
                 [(snapshot, b, turn, buckets) for b in touched], "id string, bucket int, turn bigint, buckets int")
             entries.coalesce(1).write.mode("append").parquet(f"{path}/published")
-    arrived.unpersist()
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

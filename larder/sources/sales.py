@@ -235,8 +235,8 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def day_parts(text: Column) -> Column:
-    """The three numbers of a PARTED text in their order; null for other texts."""
-    return F.when(text.rlike(PARTED), F.slice(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), 1, 3))
+    """The three numbers of a PARTED text in their order; null for other texts, and for ISO days, which need none."""
+    return F.when(~text.rlike(ISO_DAY) & text.rlike(PARTED), F.slice(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), 1, 3))
 
 
 def numeric_parts(parts: Column) -> tuple[Column, Column, Column]:

@@ -166,6 +166,22 @@ def test_streamed_drops_equal_one_batch(spark, tmp_path):
     assert rows_of(rejected.select("series", "error"), "series") == [("a", "bad date"), ("c", "bad qty_sold")]
 
 
+def test_the_newest_upload_takes_one_exchange_by_day_and_one_by_series(spark):
+    rows = [("a", "2024-01-01", 1.0, "u1"), ("a", "2024-01-02", 2.0, "u2"), ("a", "2024-01-02", 3.0, "u2"),
+            ("b", "2024-01-01", 4.0, None), (None, "2024-01-01", 5.0, "u3")]
+    newest = published.newest_upload(spark.createDataFrame(rows, "series string, date string, qty_sold double, upload string"))
+    assert rows_of(newest, "series") == [("a", "2024-01-02", 5.0, "u2"), ("b", "2024-01-01", 4.0, "")]
+    plan = newest._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    assert newest._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_iso_days_are_not_taken_apart(spark):
+    texts = ["2024-01-02", "2024/1/2", "02.01.2024", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(sales.day_parts(F.col("t"))).collect()
+    assert [r[0] for r in found] == [None, ["2024", "1", "2"], ["02", "01", "2024"], None]
+
+
 def totals_of(spark, table):
     found = published.read_series(spark, table).groupBy("series").agg(F.sum("qty_sold").alias("qty"))
     return rows_of(found, "series")
