@@ -10,15 +10,19 @@ k = (100 - percent) / (100 + percent), they differ in at most k * (size + size)
    shingles that linked sets can differ in. So in some group at most one part differs, and two agree:
    the fingerprint of every two parts of a group is a signature. (Only if as many groups have
    two empty parts as must agree can all that agree be empty. Such a set deals anew with
-   another seed, and so on; at the last level empty parts count as well.) Sets that share a signature
-   are tied to the smallest of them, and the components of a class's ties hold all its
-   links. Ties of different classes aren't mixed, so chance ties don't run on from size to size.
-3. Search. In each component, or pair of blocks of a large one (by documents or shingles), an inverted file lists
+   another seed, and so on; at the last level empty parts count as well.) Signatures travel packed, by
+   ranges of their values. Sets that share one are tied to the smallest of them, so linked sets are
+   tied to a common one.
+3. Ruling out. Among the sets that are tied to one, the parities of the shingles' numbers by hash differ in no
+   more places than the sets do in shingles. Pairs that differ in more than linked ones can are no
+   links; the components of the others hold all links. So chance ties, whose number
+   grows faster than the table, cost the bits of a set and not its text.
+4. Search. In each component, or pair of blocks of a large one (by documents or shingles), an inverted file lists
    the documents of every shingle. A query must reach overlap T; its L longest lists are set
    aside, the short ones are merged, documents met at least T - L times are candidates, and
    the long lists are probed for those by binary search. Candidates that are joined to the
    query already need no probe. Each block gives a spanning forest of the links it finds.
-4. Components of the links.
+5. Components of the links.
 
 Documents without words link with nothing and are their own component. Rows that share a doc_id
 are one node: the links of either hold for both. Rows with null doc_id link with nothing and
@@ -33,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import mixed, slices, texts, words
@@ -42,7 +46,10 @@ from larder.session import settle
 
 BLOCK_DOCUMENTS = 2048
 BLOCK_SHINGLES = 1_000_000
+BLOCK_PARITIES = 16_000_000  # shingles as well: their parities take a quarter of a byte each at most
 CHUNK = 100_000
+SIGNED = 1 << 20  # signatures that a task packs at a time
+RANGED = 1 << 19  # of a range of values, about
 LEVELS = 6
 CLASS_BITS = 8  # size classes of sets of up to 10^11 shingles at 0.9
 CACHED_WORDS = 150_000
@@ -135,6 +142,49 @@ def signatures(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent:
     return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
 
+def parities(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For every set a bit per place of its shingles' hashes: whether an odd number falls there. The places
+    are a power of two, from the set's size and 64 on, so that halves folded together are those of half as many."""
+    places = np.where(sizes > 0, 64, 0)
+    while (short := places < sizes).any():
+        places[short] *= 2
+    ends = np.cumsum(places)
+    at = (ends - places)[owner] + ((value >> U64(20)).astype(np.int64) & (places[owner] - 1))
+    bits = np.packbits((np.bincount(at, minlength=places.sum()) & 1).astype(bool))
+    return [bits[end - many : end].tobytes() for many, end in zip((places // 8).tolist(), (ends // 8).tolist(), strict=True)]
+
+
+def folded(bits: bytes, places: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, U64).reshape(-1, places // 64), axis=0)
+
+
+def not_ruled_out(sizes: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a block (or, where `side` holds both 0 and 1, of those between
+    the sides) whose parities differ in no more places than linked sets can in shingles."""
+    turn = np.argsort(sizes, kind="stable")
+    sizes, side, bits = sizes[turn], side[turn], [bits[i] for i in turn]
+    label, found, mixed_sides = np.arange(len(sizes)), [], side.min(initial=0) != side.max(initial=0)
+    last = np.searchsorted(sizes, sizes * 100 // percent, "right")  # larger ones that links reach
+    begin = np.searchsorted(sizes, 1)
+    while begin < len(sizes):
+        places = 8 * len(bits[begin])
+        end = np.searchsorted(sizes, places, "right")
+        table = np.stack([folded(bits[i], places) for i in range(begin, last[end - 1])])
+        for i in range(begin, end):
+            others = slice(i + 1, last[i])
+            differ = np.bitwise_count(table[i - begin] ^ table[i + 1 - begin : last[i] - begin]).sum(1, dtype=np.int64)
+            near = (100 + percent) * differ <= (100 - percent) * (sizes[i] + sizes[others])
+            near &= label[others] != label[i]
+            if mixed_sides:
+                near &= side[others] != side[i]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    found.append((int(turn[i]), int(turn[j])))
+        begin = end
+    return found
+
+
 def chunks(found: Iterable[str | None]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
     """Texts in groups of about CHUNK words, with the places of the first and of the one after the last."""
     group, size, start, stop = [], 0, 0, 0
@@ -149,7 +199,7 @@ def chunks(found: Iterable[str | None]) -> Iterator[tuple[int, int, list[list[by
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b (of the whole set) for every row."""
+    """doc_id, n_shingles, print_a, print_b (of the whole set), parities for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = WordPrints()
@@ -164,24 +214,82 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                     halves.append(mixed(total + sizes.astype(U64)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, stop - start), pa.array(sizes.astype(np.int64)), pa.array(halves[0]),
-                     pa.array(halves[1])], names=["doc_id", "n_shingles", "print_a", "print_b"])
+                     pa.array(halves[1]), pa.array(parities(owner, value, sizes), pa.binary())],
+                    names=["doc_id", "n_shingles", "print_a", "print_b", "parities"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, parities binary")
 
 
-def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, sign: a row per signature of documents (doc_id, packed)."""
+def signed(docs: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
+    """part, found: the signatures of documents (doc_id, packed) by range of their values. Each is cut to
+    48 bits; should two agree, sets are compared in vain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, unpacker = WordPrints(), zstandard.ZstdDecompressor()
+        held, size = [], 0
         for batch in slices(batches):
             for start, _, group in chunks(unpacker.decompress(packed).decode() for packed in batch.column("packed").to_pylist()):
                 owner, value = shingle_sets(group, n, prints)
                 holder, sign = signatures(owner, value, np.bincount(owner, minlength=len(group)), percent)
-                ids = batch.column("doc_id").take(pa.array(holder + start))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sign.astype(np.int64))], names=["doc_id", "sign"])
+                held.append((sign >> U64(16), batch.column("doc_id").to_numpy(zero_copy_only=False)[holder + start]))
+                size += len(holder)
+                if size >= SIGNED:
+                    yield packed_signatures(held, ranges)
+                    held, size = [], 0
+        if size:
+            yield packed_signatures(held, ranges)
+
+    return docs.mapInArrow(run, "part bigint, found binary")
+
+
+def packed_signatures(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """A row per range: how far each value is from the one before, then the doc_ids, both by planes of
+    bytes, so that those which hardly vary take no room."""
+    sign, ids = (np.concatenate(column) for column in zip(*held, strict=True))
+    order = np.argsort(sign, kind="stable")
+    sign, ids = sign[order], ids[order]
+    parts, begins = np.unique((sign >> U64(16)) * U64(ranges) >> U64(32), return_index=True)
+    packer, rows = zstandard.ZstdCompressor(level=1), []
+    for begin, end in zip(begins, [*begins[1:], len(sign)], strict=True):
+        steps = np.diff(sign[begin:end], prepend=U64(0))
+        planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T for x in (steps, ids[begin:end])]
+        rows.append(packer.compress(planes[0][:6].tobytes() + planes[1].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "found"])
+
+
+def unpacked_signatures(found: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(found, np.uint8).reshape(14, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes[:6].T
+    return np.cumsum(steps.view(U64).ravel()), np.ascontiguousarray(planes[6:].T).view(np.int64).ravel()
+
+
+def ties(signs: DataFrame) -> DataFrame:
+    """doc_id, hub: documents and the smallest one that shares a signature; rows come sorted by part."""
 
-    return docs.mapInArrow(run, "doc_id bigint, sign bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker, part, held = zstandard.ZstdDecompressor(), None, []
+        for batch in batches:
+            for number, found in zip(batch.column("part").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                if number != part:
+                    if held:
+                        yield found_ties(held)
+                    part, held = number, []
+                held.append(unpacked_signatures(unpacker.decompress(found)))
+        if held:
+            yield found_ties(held)
+
+    return signs.mapInArrow(run, "doc_id bigint, hub bigint")
+
+
+def found_ties(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    sign, ids = (np.concatenate(column) for column in zip(*held, strict=True))
+    order = np.argsort(sign, kind="stable")
+    sign, ids = sign[order], ids[order]
+    begins = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
+    hub = np.repeat(np.minimum.reduceat(ids, begins), np.diff(np.r_[begins, len(sign)]))
+    tied = np.unique(np.stack([ids, hub], 1)[ids != hub], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in tied.T], names=["doc_id", "hub"])
 
 
 class Forest:
@@ -259,34 +367,50 @@ def search_links(owner: np.ndarray, value: np.ndarray, side: np.ndarray, percent
     return found
 
 
+def by_block(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """(side, doc_id, other columns) of every block of two rows or more; rows come sorted by block."""
+    block, held = None, []
+    for batch in batches:
+        found = [batch.column(c).to_pylist() for c in ("component", "low", "high", "own", "doc_id", *columns)]
+        for component, low, high, own, *row in zip(*found, strict=True):
+            if (component, low, high) != block:
+                if len(held) > 1:
+                    yield held
+                block, held = (component, low, high), []
+            held.append((int(own != low), *row))
+    if len(held) > 1:
+        yield held
+
+
+def pairs_of(ids: tuple, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([ids[pair[i]] for pair in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def possible_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of every block that may be links; rows come sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_block(batches, "n_shingles", "parities"):
+            sides, ids, sizes, bits = zip(*held, strict=True)
+            yield pairs_of(ids, not_ruled_out(np.array(sizes), np.array(sides), list(bits), percent))
+
+    return members.mapInArrow(run, "a bigint, b bigint")
+
+
 def links_in_blocks(members: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: links found in every block; rows come sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, unpacker = WordPrints(), zstandard.ZstdDecompressor()
-        block, held = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "low", "high", "own", "doc_id", "packed")]
-            for component, low, high, own, doc_id, packed in zip(*columns, strict=True):
-                if (component, low, high) != block:
-                    if len(held) > 1:
-                        yield found_links(held, n, percent, prints)
-                    block, held = (component, low, high), []
-                held.append((doc_id, int(own != low), words(unpacker.decompress(packed).decode("utf-8", "replace"))))
-        if len(held) > 1:
-            yield found_links(held, n, percent, prints)
+        for held in by_block(batches, "packed"):
+            sides, ids, packed = zip(*held, strict=True)
+            found = [words(unpacker.decompress(text).decode("utf-8", "replace")) for text in packed]
+            owner, value = shingle_sets(found, n, prints)
+            yield pairs_of(ids, search_links(owner, value, np.array(sides), percent))
 
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def found_links(held: list[tuple], n: int, percent: int, prints: WordPrints) -> pa.RecordBatch:
-    ids, sides, found = zip(*held, strict=True)
-    owner, value = shingle_sets(list(found), n, prints)
-    links = search_links(owner, value, np.array(sides), percent)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
-
-
 def packed_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -297,6 +421,18 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, packed binary")
 
 
+def in_blocks(groups: DataFrame, sizes: DataFrame, rows: DataFrame, most_documents: int, most_shingles: int) -> DataFrame:
+    """The rows of the documents of `groups` (component, doc_id) by component and, where one is large, pair of its blocks."""
+    needed = F.greatest(F.count(F.lit(1)) / most_documents, F.sum("n_shingles") / most_shingles)
+    blocks = groups.join(sizes, "doc_id").groupBy("component").agg(F.ceil(needed).alias("blocks"))
+    members = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    members = members.select("component", "doc_id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+    # merged at every size: the members are a share of all documents, so no side stays small
+    met = rows.join(members.hint("merge"), "doc_id")
+    return met.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "doc_id")
+
+
 def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = texts(docs)
@@ -307,23 +443,15 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, block_documen
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
     sizes = linked.join(classes.select("print_a", "print_b", F.col("first").alias("doc_id")), ["print_a", "print_b", "doc_id"], "left_semi").select(
         "doc_id", "n_shingles").distinct()
-    signs = signed(packed_texts(docs).join(firsts, "doc_id", "left_semi"), n, percent)
-    smallest = F.min("doc_id").over(Window.partitionBy("sign").orderBy("doc_id"))
-    tied = settle(signs.withColumn("hub", smallest).where("hub < doc_id").select(
-        "doc_id", "hub", F.col("sign").bitwiseAND((1 << CLASS_BITS) - 1).alias("size_class")).distinct(), "jaccard")
-    # a document is another node in each of its classes; should two nodes' hashes agree, groups only grow
-    nodes = tied.select(F.xxhash64("doc_id", "size_class").alias("a"), F.xxhash64("hub", "size_class").alias("b"), "doc_id", "hub")
-    names = nodes.select(F.col("a").alias("node"), "doc_id").unionByName(
-        nodes.select(F.col("b").alias("node"), F.col("hub").alias("doc_id"))).distinct()
-    groups = components(nodes.select("a", "b")).join(names, "node").select("component", "doc_id").distinct()
-    needed = F.greatest(F.count(F.lit(1)) / block_documents, F.sum("n_shingles") / BLOCK_SHINGLES)
-    blocks = groups.join(sizes, "doc_id").groupBy("component").agg(F.ceil(needed).alias("blocks"))
-    members = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    members = members.select("component", "doc_id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
-    # merged at every size: the members are a share of all documents, so no side stays small
-    met = packed_texts(docs).join(members.hint("merge"), "doc_id")
-    searched = met.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "doc_id")
+    shingles = sizes.agg(F.sum("n_shingles")).first()[0] or 0
+    signs = signed(packed_texts(docs).join(firsts, "doc_id", "left_semi"), n, percent, shingles // RANGED + 1)
+    tied = settle(ties(signs.repartition("part").sortWithinPartitions("part")).distinct(), "jaccard")
+    stars = tied.select(F.col("hub").alias("component"), "doc_id").unionByName(
+        tied.select(F.col("hub").alias("component"), F.col("hub").alias("doc_id")).distinct())
+    sketches = linked.select("doc_id", "n_shingles", "parities").distinct()
+    possible = components(possible_in_blocks(in_blocks(stars, sizes, sketches, block_documents, BLOCK_PARITIES), percent))
+    groups = possible.select("component", F.col("node").alias("doc_id"))
+    searched = in_blocks(groups, sizes, packed_texts(docs), block_documents, BLOCK_SHINGLES)
     # classes with a common doc_id are one node
     same_id = classes_of_ids(linked, classes)
     found = components(links_in_blocks(searched, n, percent).unionByName(same_id))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from larder.llm import jaccard
 from larder.llm.common import table, words
 from larder.llm.graph import components
 from larder.llm.jaccard import WordPrints, link_documents, search_links, shingle_sets, signatures, size_classes
@@ -148,3 +149,61 @@ def test_components(spark):
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     assert result(op2_ngram_jaccard(spark, SF)) == brute(rows)
+
+
+def test_chance_ties_bring_no_texts_together(documents, monkeypatch):
+    rng, searched = random.Random(8), []
+    search = jaccard.links_in_blocks
+
+    def counted(members, n, percent):
+        searched.append(members.count())
+        return search(members, n, percent)
+
+    monkeypatch.setattr(jaccard, "links_in_blocks", counted)
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(3000)}" for _ in range(18)])) for i in range(150)]
+    rows += [(200 + i, f"{text} y") for i, text in rows[:5]]
+    assert result(link_documents(documents(rows), n=5, percent=80)) == sorted(
+        (i, len(shingles(t, 5)), i - 200 if i >= 200 else i) for i, t in rows)
+    assert searched == [10]  # the copies and what they are copied from, of 155 texts
+
+
+@pytest.mark.parametrize("percent", [90, 80, 40])
+def test_no_link_is_ruled_out(percent):
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sets = []
+        for size in rng.integers(1, 400, 4):
+            base = rng.integers(0, 1 << 62, size)
+            for _ in range(6):
+                kept = base[rng.random(size) < rng.uniform(0.6, 1)]
+                sets.append(set(np.r_[kept, rng.integers(0, 1 << 62, rng.integers(0, size // 8 + 2))].tolist()))
+        sets = [s for s in sets if s]
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        bits = jaccard.parities(owner, np.array([v for s in sets for v in s], np.uint64), sizes)
+        for side in (np.zeros(len(sets), int), rng.integers(0, 2, len(sets))):
+            group = np.arange(len(sets))
+            for a, b in jaccard.not_ruled_out(sizes, side, bits, percent):
+                group[group == group[a]] = group[b]
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets[:i]):
+                    if 100 * len(a & b) >= percent * len(a | b) and (side[i] != side[j] or side.min() == side.max()):
+                        assert group[i] == group[j]
+
+
+def test_packed_signatures():
+    rng = np.random.default_rng(7)
+    sign = rng.integers(0, 1 << 48, 5000).astype(np.uint64)
+    sign[:40] = sign[40:80]
+    ids = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    whole = [(sign[:2000], ids[:2000]), (sign[2000:], ids[2000:])]
+    found, ranges = [], jaccard.packed_signatures(whole, 9).to_pylist()
+    for row in ranges:
+        values, of = jaccard.unpacked_signatures(jaccard.zstandard.ZstdDecompressor().decompress(row["found"]))
+        assert np.all(values * np.uint64(9) >> np.uint64(48) == row["part"])
+        found += zip(values.tolist(), of.tolist(), strict=True)
+    assert sorted(found) == sorted(zip(sign.tolist(), ids.tolist(), strict=True)) and len(ranges) == 9
+    tied = jaccard.found_ties(whole).to_pylist()
+    assert sorted((r["doc_id"], r["hub"]) for r in tied) == sorted(
+        (max(a, b), min(a, b)) for a, b in zip(ids[:40].tolist(), ids[40:80].tolist(), strict=True))

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import time
 from statistics import NormalDist
 
 import pytest
@@ -9,6 +10,7 @@ from larder.functions import messages
 from larder.functions.calendar import calendar_features, iso_week, iso_year
 from larder.functions.quantities import round_up_lot, safety_stock, weekday_list, whole, z_scores
 from larder.operators.menu import hashed_ideas, random_ideas, seeded_ideas
+from larder.session import CLEANUP, settle
 from larder.sources.policy import ideas_by_table, need_by_table, recipe_lines
 from larder.tables import Policy, weekday_numbers
 from tests.conftest import rows_of
@@ -140,3 +142,18 @@ def test_settings_tables_have_no_limit(spark):
     found = dict((r[0], r[2].split(", ")) for r in ideas_by_table(asked, menu).collect())
     assert len(found["x"]) == len(found["y"]) == 5
     assert all(int(i[1:]) % 2 == 0 for i in found["x"]) and all(int(i[1:]) % 2 == 1 for i in found["y"])
+
+
+def test_settled_tables_leave_no_exchange(spark):
+    def exchanged():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f}
+
+    before, setting = exchanged(), spark.conf.get(CLEANUP, None)
+    table = settle(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "exchanges")
+    for _ in range(50):  # removed in the background
+        if exchanged() <= before:
+            break
+        time.sleep(0.1)
+    assert exchanged() <= before and spark.conf.get(CLEANUP, None) == setting
+    assert rows_of(table, "k") == [(k, 15 if k < 2 else 14) for k in range(7)]
